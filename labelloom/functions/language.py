@@ -14,6 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from labelloom import fixed
+from labelloom.functions.lambdas import filter_items, literal, literals, map_value
 
 UNKNOWN = "error"
 Profile = Mapping[str, Sequence[str]]
@@ -24,26 +25,17 @@ def word_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0))
 
 
-def language_score(tokens: Column, words: Sequence[str]) -> Column:
-    return F.size(F.filter(tokens, lambda w: w.isin(list(words))))
-
-
 def detect_language(text: Column, profile: Profile = fixed.LANGUAGE_WORDS) -> Column:
     """Best language of a text, ties by name; ``error`` if no token is known."""
     vocabulary = sorted({w for words in profile.values() for w in words})
-    known = F.filter(word_tokens(text), lambda w: w.isin(vocabulary))
-    # Struct order is (score, name); the negated score makes the minimum the
-    # best score with the first name.
-    ranked = F.array_min(
-        F.array(
-            *[
-                F.struct(
-                    (-language_score(known, profile[lang])).alias("score"),
-                    F.lit(lang).alias("lang"),
-                )
-                for lang in sorted(profile)
-            ]
-        )
-    )
-    best = F.coalesce(F.when(ranked["score"] < 0, ranked["lang"]), F.lit(UNKNOWN))
-    return best
+    known = filter_items(word_tokens(text), f"w in ({literals(vocabulary)})")
+    # The smallest (rank, name) wins: -2 * hits per language, and -1 for
+    # "error", which therefore loses to a single hit and beats none.
+    candidates = [
+        f"struct(-2 * size(filter(w, t -> t in ({literals(profile[name])}))) as rank,"
+        f" {literal(name)} as lang)"
+        for name in sorted(profile)
+    ]
+    nothing = f"struct(-1 as rank, {literal(UNKNOWN)} as lang)"
+    best = map_value(known, f"array_min(array({', '.join(candidates)}, {nothing})).lang")
+    return F.when(text.isNull(), F.lit(UNKNOWN)).otherwise(best)

@@ -14,6 +14,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from labelloom import fixed
+from labelloom.functions.lambdas import (
+    filter_items,
+    literal,
+    literals,
+    map_items,
+    map_value,
+)
 
 # Body of a character class holding every Unicode blank.
 BLANKS = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -95,50 +102,46 @@ def alpha_tokens(
 def remove_stop_words(
     tokens: Column, stop_words: Iterable[str] = fixed.REMOVED_STOP_WORDS
 ) -> Column:
-    words = list(stop_words)
-    return F.filter(tokens, lambda w: ~w.isin(words)) if words else tokens
+    words = literals(stop_words)
+    return filter_items(tokens, f"w not in ({words})") if words else tokens
+
 
+def _lemma_rules() -> str:
+    """Suffix rules and word lists as one SQL case over the word ``w``."""
+    irregular = " ".join(
+        f"when {literal(plural)} then {literal(lemma)}"
+        for plural, lemma in fixed.LEMMA_IRREGULAR.items()
+    )
 
-def _less(word: Column, chars: int) -> Column:
-    return F.left(word, F.length(word) - chars)
+    def ends(*suffixes: str) -> str:
+        return "(" + " or ".join(f"endswith(w, '{s}')" for s in suffixes) + ")"
 
+    def less(chars: int) -> str:
+        return f"left(w, length(w) - {chars})"
 
-def lemmatize_noun(word: Column) -> Column:
-    """Singular form of a lower-case noun by suffix rules and short word lists.
+    # Only words on the list or ending in "s" or "men" can change.
+    return f"""case
+        when w in ({literals(fixed.LEMMA_IRREGULAR)}) then case w {irregular} end
+        when not {ends("s", "men")} or w in ({literals(fixed.LEMMA_UNCHANGED)}) then w
+        when {ends("men")} then concat({less(2)}, 'an')
+        when {ends("ss", "us", "is")} then w
+        when {ends("ies")} and length(w) > 4 then concat({less(3)}, 'y')
+        when {ends("sses", "ches", "shes", "xes", "oes")} then {less(2)}
+        when {ends("uses")} and not {ends("auses", "ouses")} then {less(2)}
+        else {less(1)} end"""
+
+
+def lemmatize_tokens(tokens: Column) -> Column:
+    """Singular forms of lower-case nouns by suffix rules and short word lists.
 
     An approximation: the full rules ask a dictionary which candidate is a
     word. ``operators.vocabulary`` applies them against a vocabulary table.
     """
-    irregular = F.create_map(
-        *[F.lit(v) for pair in fixed.LEMMA_IRREGULAR.items() for v in pair]
-    )
-    suffix_rules = (
-        F.when(word.isin(list(fixed.LEMMA_UNCHANGED)), word)
-        .when(word.endswith("men"), F.concat(_less(word, 2), F.lit("an")))
-        .when(~word.endswith("s"), word)
-        .when(word.endswith("ss") | word.endswith("us") | word.endswith("is"), word)
-        .when(word.endswith("ies") & (F.length(word) > 4), F.concat(_less(word, 3), F.lit("y")))
-        .when(
-            word.endswith("sses") | word.endswith("ches") | word.endswith("shes")
-            | word.endswith("xes") | word.endswith("oes"),
-            _less(word, 2),
-        )
-        .when(
-            word.endswith("uses") & ~word.endswith("auses") & ~word.endswith("ouses"),
-            _less(word, 2),
-        )
-        .otherwise(_less(word, 1))
-    )
-    # Only words on the list or ending in "s" or "men" can change.
-    return (
-        F.when(word.isin(list(fixed.LEMMA_IRREGULAR)), F.element_at(irregular, word))
-        .when(word.endswith("s") | word.endswith("men"), suffix_rules)
-        .otherwise(word)
-    )
+    return map_items(tokens, _lemma_rules())
 
 
-def lemmatize_tokens(tokens: Column) -> Column:
-    return F.transform(tokens, lemmatize_noun)
+def lemmatize_noun(word: Column) -> Column:
+    return map_value(word, _lemma_rules())
 
 
 def clean_before_tokens(text: Column) -> Column:
@@ -190,7 +193,9 @@ def marker_flag(
     text: Column, markers: Sequence[str] = fixed.ABSTRACT_MARKERS
 ) -> Column:
     """1 where the lower-cased text holds a marker, else 0."""
-    return F.coalesce(contains_any(F.lower(text), markers).cast("int"), F.lit(0))
+    # One alternation, so that the text is lower-cased once and not per marker.
+    pattern = "|".join(rf"\Q{marker}\E" for marker in markers)
+    return F.coalesce(F.lower(text).rlike(pattern).cast("int"), F.lit(0))
 
 
 def strip_id_prefix(value: Column, prefix: str | None = None) -> Column:

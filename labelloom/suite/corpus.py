@@ -13,14 +13,15 @@ from labelloom.suite.registry import (
     sql_language,
     sql_process_text,
     table,
+    texts,
 )
 
 
 def sources(spark, sf_dir):
     """The four kinds of sources, made from the test tables."""
-    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    documents = texts(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    conversations = table(spark, sf_dir, "conversations")
+    conversations = texts(spark, sf_dir, "conversations")
     benchmark = table(spark, sf_dir, "benchmark")
     abstracts = documents.join(labels, "doc_id").select(
         F.col("doc_id").cast("string").alias("ID"),

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from labelloom import schemas
 from labelloom.operators.sampling import bucket_split
 from labelloom.sources import readers, staging, writers
-from labelloom.suite.registry import query, sql_process_text, sql_random, table
+from labelloom.suite.registry import query, sql_process_text, sql_random, table, texts
 
 
 @query("select doc_id, text, lang from documents")
@@ -39,7 +38,7 @@ def corpus_round_trip(spark, sf_dir):
     """The cleaned corpus through its CSV sink; empty texts come back empty."""
     from labelloom.plans.corpus import clean
 
-    rows = table(spark, sf_dir, "conversations").select(
+    rows = texts(spark, sf_dir, "conversations").select(
         "text", F.lit(1).alias("label"), F.lit(0).alias("is_abstract")
     )
     path = writers.write_corpus(clean(rows), staging.new_path(spark, "corpus"), True, True)
