@@ -175,10 +175,11 @@ def clean_synthetic_text(
 
 def clean_model_output(text: Column, marker: str = fixed.ANSWER_MARKER) -> Column:
     """Tail after a single marker, restricted to plain letters and punctuation."""
-    parts = F.split(text, rf"\Q{marker}\E", -1)
-    tail = F.when(F.size(parts) == 2, F.element_at(parts, 2)).otherwise(text)
-    plain = F.regexp_replace(tail, r"[^A-Za-z0-9(),.:!?\"']", " ")
-    return F.trim(F.regexp_replace(plain, r" {2,}", " "))
+    once = F.regexp_count(text, F.lit(rf"\Q{marker}\E")) == 1
+    tail = F.when(once, F.substring_index(text, marker, -1)).otherwise(text)
+    # A blank is no permitted character either, so one pattern both replaces
+    # what is not permitted and collapses runs of blanks.
+    return F.trim(F.regexp_replace(tail, r"[^A-Za-z0-9(),.:!?\"']+", " "))
 
 
 def contains_any(text: Column, markers: Sequence[str]) -> Column:

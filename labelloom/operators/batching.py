@@ -32,9 +32,9 @@ def collect_batches(
     df: DataFrame, group: Sequence[str], order: Sequence[str], value: str, name: str = "items"
 ) -> DataFrame:
     """One row per batch with its values in order; at most a batch's size each."""
-    packed = F.array_sort(F.collect_list(F.struct(*order, value)))
+    packed = F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("_value"))))
     return df.groupBy(*group, "batch_id").agg(
-        F.transform(packed, lambda item: item[value]).alias(name)
+        F.transform(packed, lambda item: item["_value"]).alias(name)
     )
 
 

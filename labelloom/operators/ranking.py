@@ -7,7 +7,7 @@ group holds most of the rows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -79,22 +79,28 @@ def random_position(
 
 
 def smallest_k_cut(
-    rows: DataFrame, label: str, key: str, row_id: str, quotas: DataFrame
+    rows: DataFrame,
+    label: str,
+    key: str,
+    row_id: str,
+    quotas: Callable[[DataFrame], DataFrame],
 ) -> DataFrame:
     """Per label the (key, row id) of its quota-th smallest row, as a staged table.
 
-    ``quotas`` has the columns ``label`` and ``quota``; a label with quota 0 has
-    no cut. Only the one bucket per label that holds the cut is ever ranked.
+    ``quotas`` maps the label sizes (label, n) to (label, quota); a label with
+    quota 0 has no cut. Two passes read only label, key and row id: one counts
+    the buckets, one ranks the single bucket per label that holds the cut.
     ``rows`` never need a shuffle of their own: whoever compares them with the
     cut joins one row per label.
     """
     bucketed = rows.select(label, key, row_id).withColumn("_bucket", _bucket(key))
-    counts = bucketed.groupBy(label, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    counts = stage(bucketed.groupBy(label, "_bucket").agg(F.count(F.lit(1)).alias("_n")), "counts")
+    wanted = quotas(counts.groupBy(label).agg(F.sum("_n").alias("n")))
     upto = Window.partitionBy(label).orderBy("_bucket").rowsBetween(
         Window.unboundedPreceding, 0
     )
     running = counts.withColumn("_upto", F.sum("_n").over(upto))
-    boundary = running.join(quotas, _same(running, quotas, [label])).filter(
+    boundary = running.join(wanted, _same(running, wanted, [label])).filter(
         (F.col("_upto") >= F.col("quota")) & (F.col("_upto") - F.col("_n") < F.col("quota"))
     )
     boundary = stage(

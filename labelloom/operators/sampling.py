@@ -116,9 +116,9 @@ def stratified_split(
 ) -> DataFrame:
     """Add ``split`` (train or test) with the same label shares in both parts."""
     keyed = _keyed(df, seed, row_id)
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    quotas = stage(stratified_quotas(counts, label, share), "quotas")
-    cut = smallest_k_cut(keyed, label, _KEY, row_id, quotas)
+    cut = smallest_k_cut(
+        keyed, label, _KEY, row_id, lambda sizes: stratified_quotas(sizes, label, share)
+    )
     marked = _below_cut(keyed, cut, label, row_id, "_test")
     return _with_split(marked, F.col("_test")).drop(_KEY, "_test")
 
@@ -155,9 +155,9 @@ def rule_based_split(
     marked = _below_cut(keyed, guaranteed_cut, label, row_id, "_first")
     marked = marked.withColumn("_first", F.col("_first") & is_eligible)
     rest = marked.filter(~F.col("_first"))
-    counts = rest.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    quotas = stage(stratified_quotas(counts, label, share), "quotas")
-    cut = smallest_k_cut(rest, label, _KEY, row_id, quotas)
+    cut = smallest_k_cut(
+        rest, label, _KEY, row_id, lambda sizes: stratified_quotas(sizes, label, share)
+    )
     marked = _below_cut(marked, cut, label, row_id, "_test")
     is_test = F.col("_first") | F.col("_test")
     return _with_split(marked, is_test).drop(_KEY, "_first", "_test")
@@ -188,12 +188,15 @@ def exact_split(
     """Unstratified split whose second part has exactly ceil(share * n) rows."""
     numerator, denominator = _share_fraction(share)
     keyed = _keyed(df, seed, row_id).withColumn("_all", F.lit(0))
-    size = F.count(F.lit(1))
-    quota = F.ceil(size.cast("decimal(19,0)") * numerator / F.lit(denominator).cast("decimal(19,0)"))
-    quotas = stage(
-        keyed.groupBy("_all").agg(quota.cast("bigint").alias("quota")), "quotas"
+    exact = "decimal(19,0)"
+    quota = F.ceil(F.col("n").cast(exact) * numerator / F.lit(denominator).cast(exact))
+    cut = smallest_k_cut(
+        keyed,
+        "_all",
+        _KEY,
+        row_id,
+        lambda sizes: sizes.select("_all", quota.cast("bigint").alias("quota")),
     )
-    cut = smallest_k_cut(keyed, "_all", _KEY, row_id, quotas)
     marked = _below_cut(keyed, cut, "_all", row_id, "_second")
     return marked.withColumn(
         "split", F.when(F.col("_second"), names[1]).otherwise(names[0])

@@ -15,7 +15,7 @@ from labelloom.functions.hashing import random_index, random_key
 from labelloom.functions.text import clean_model_output
 from labelloom.operators.batching import batch_number
 from labelloom.operators.filters import drop_refusals
-from labelloom.operators.lookup import skip_done, zip_by_key
+from labelloom.operators.lookup import skip_done, union_all, zip_by_key
 from labelloom.operators.ranking import random_position
 from labelloom.sources.staging import stage
 
@@ -23,18 +23,30 @@ ATTRIBUTES = ("sdg_id", "main_topic", "sub_topic", "style", "length")
 DRAWS_PER_CHUNK = 10_000
 
 
-def _numbered(values: DataFrame, group: list[str], value: str, number: str) -> DataFrame:
-    """Number the values of each group from 1 in a fixed random order."""
-    keyed = values.withColumn("_key", random_key("catalogue", F.col(value)))
-    return random_position(keyed, group, "_key", value, number).drop("_key")
+# The four catalogues as one table: (kind, sdg_id, main_topic, value, number).
+_GROUP = ["kind", "sdg_id", "main_topic"]
 
 
-def _numbered_list(values: DataFrame, number: str) -> tuple[DataFrame, int]:
-    table = stage(
-        _numbered(values.select("value").withColumn("_all", F.lit(0)), ["_all"], "value", number).drop("_all"),
-        number,
-    )
-    return table, table.count()
+def _catalogue(subtopics: DataFrame, styles: DataFrame, lengths: DataFrame) -> DataFrame:
+    """All values, numbered from 1 in their group in a fixed random order."""
+    none = F.lit(None)
+
+    def entries(df: DataFrame, kind: str, sdg_id: Column, topic: Column, value: str) -> DataFrame:
+        return df.select(
+            F.lit(kind).alias("kind"),
+            sdg_id.cast("bigint").alias("sdg_id"),
+            topic.cast("string").alias("main_topic"),
+            F.col(value).cast("string").alias("value"),
+        )
+
+    sdg_id = F.col("sdg_id")
+    values = union_all(
+        entries(styles, "style", none, none, "value"),
+        entries(lengths, "length", none, none, "value"),
+        entries(subtopics.select("sdg_id", "main_topic").distinct(), "topic", sdg_id, none, "main_topic"),
+        entries(subtopics, "sub", sdg_id, F.col("main_topic"), "sub_topic"),
+    ).withColumn("_key", random_key("catalogue", F.col("value")))
+    return stage(random_position(values, _GROUP, "_key", "value", "number").drop("_key"), "catalogue")
 
 
 def expand_plan(plan: DataFrame) -> DataFrame:
@@ -71,40 +83,44 @@ def draw_attributes(
     ``plan``: sdg_id, n. ``subtopics``: sdg_id, main_topic, sub_topic.
     ``styles`` and ``lengths``: value.
     """
-    topics = subtopics.groupBy("sdg_id", "main_topic").agg(F.count(F.lit(1)).alias("n_subs"))
-    topics = stage(_numbered(topics, ["sdg_id"], "main_topic", "topic_no"), "topics")
-    subs = stage(
-        _numbered(
-            subtopics.select("sdg_id", "main_topic", "sub_topic"),
-            ["sdg_id", "main_topic"], "sub_topic", "sub_no",
-        ),
-        "subtopics",
-    )
-    style_table, n_styles = _numbered_list(styles, "style_no")
-    length_table, n_lengths = _numbered_list(lengths, "length_no")
-
-    per_class = topics.groupBy("sdg_id").agg(F.count(F.lit(1)).alias("n_topics"))
-    draws = expand_plan(plan.select("sdg_id", "n").join(per_class, "sdg_id"))
+    catalogue = _catalogue(subtopics, styles, lengths)
+    sizes = stage(catalogue.groupBy(*_GROUP).agg(F.max("number").alias("size")), "sizes")
+
+    def listed(table: DataFrame, kind: str, *columns: Column) -> DataFrame:
+        return table.filter(F.col("kind") == kind).select(*columns)
+
+    value, number, size = F.col("value"), F.col("number"), F.col("size")
+    class_id, topic = F.col("sdg_id"), F.col("main_topic")
+    # Two numbers: how many styles and how many lengths there are.
+    whole = {r["kind"]: r["size"] for r in sizes.filter(F.col("kind").isin("style", "length")).collect()}
+    per_class = listed(sizes, "topic", class_id, size.alias("n_topics"))
+    topics = listed(
+        catalogue, "topic", class_id, value.alias("main_topic"), number.alias("topic_no")
+    ).join(listed(sizes, "sub", class_id, topic, size.alias("n_subs")), ["sdg_id", "main_topic"])
+    subs = listed(catalogue, "sub", class_id, topic, value.alias("sub_topic"), number.alias("sub_no"))
     seed = F.col("sdg_id") + seed_offset
 
-    def pick(size: Column, what: str) -> Column:
-        return random_index(size, seed, F.col("draw_no"), F.lit(what))
+    def pick(choices: Column, what: str) -> Column:
+        return random_index(choices, seed, F.col("draw_no"), F.lit(what))
 
+    planned = plan.select(F.col("sdg_id").cast("bigint").alias("sdg_id"), "n")
     return (
-        draws.select(
+        expand_plan(planned.join(per_class, "sdg_id"))
+        .select(
             "sdg_id",
             "draw_no",
             pick(F.col("n_topics"), "topic").alias("topic_no"),
-            pick(F.lit(n_styles), "style").alias("style_no"),
-            pick(F.lit(n_lengths), "length").alias("length_no"),
+            pick(F.lit(whole["style"]), "style").alias("style_no"),
+            pick(F.lit(whole["length"]), "length").alias("length_no"),
         )
         .join(topics, ["sdg_id", "topic_no"])
         .withColumn("sub_no", pick(F.col("n_subs"), "sub"))
         .join(subs, ["sdg_id", "main_topic", "sub_no"])
-        .join(style_table.withColumnRenamed("value", "style"), "style_no")
-        .join(length_table.withColumnRenamed("value", "length"), "length_no")
+        .join(listed(catalogue, "style", value.alias("style"), number.alias("style_no")), "style_no")
+        .join(listed(catalogue, "length", value.alias("length"), number.alias("length_no")), "length_no")
         .select(
-            "sdg_id", "draw_no", "main_topic", "sub_topic", "style",
+            F.col("sdg_id").cast("int").alias("sdg_id"),
+            "draw_no", "main_topic", "sub_topic", "style",
             F.col("length").cast("int").alias("length"),
         )
     )

@@ -8,7 +8,7 @@ from labelloom.operators import batching, categories, targets
 from labelloom.plans import classifier, corpus, papers
 from labelloom.plans import targets as target_plans
 from labelloom.suite.corpus import sources
-from labelloom.suite.registry import query, table
+from labelloom.suite.registry import query, table, texts
 
 # --- category paths: region > nation > customer segment -----------------------
 
@@ -224,7 +224,7 @@ def _cell(tag, value):
 def html_metadata(spark, sf_dir):
     """Key and value rows out of a metadata block; a repeated key keeps its last value."""
     c = F.col
-    pages = table(spark, sf_dir, "customer").select(
+    pages = texts(spark, sf_dir, "customer").select(
         c("c_custkey").alias("id"),
         F.concat(
             F.lit('<html><div class="x"><table class="a ep_block b"><caption>c</caption>'),
@@ -252,7 +252,7 @@ def html_table_rows(spark, sf_dir):
     c = F.col
     header = _row(_cell("th", F.lit("Target")), _cell("th", F.lit("Indicator")))
     opening = F.lit("<p>text</p><table class='wikitable sortable'>")
-    pages = table(spark, sf_dir, "part").select(
+    pages = texts(spark, sf_dir, "part").select(
         c("p_partkey").alias("page_id"),
         F.concat(
             opening,
