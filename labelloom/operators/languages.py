@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from labelloom.functions.language import UNKNOWN, Profile, word_tokens
 from labelloom.operators.ranking import first_per_group
+from labelloom.sources.staging import stage
 
 
 def learn_profiles(
@@ -14,12 +15,12 @@ def learn_profiles(
 ) -> DataFrame:
     """The most frequent tokens per language as (lang, token, weight).
 
-    The weight is the token's share in its language, in parts per 10,000. Per
-    row the tokens are counted before the shuffle by the usual partial
-    aggregation; the ranking reads one row per (language, token).
+    The weight is the token's share in its language, in parts per 10,000. The
+    texts are read once: their token counts (pre-aggregated before the shuffle)
+    are staged, and totals and ranking read that table.
     """
     tokens = df.select(F.col(language).alias("lang"), F.explode(word_tokens(F.col(text))).alias("token"))
-    counts = tokens.groupBy("lang", "token").agg(F.count(F.lit(1)).alias("n"))
+    counts = stage(tokens.groupBy("lang", "token").agg(F.count(F.lit(1)).alias("n")), "tokens")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     top = first_per_group(counts, ["lang"], [F.col("n").desc(), F.col("token")], size)
     return top.join(totals, "lang").select(
