@@ -59,22 +59,21 @@ def random_position(
     ``key`` holds random hexadecimal digits. Rows are ranked inside buckets of
     the key; bucket counts give each bucket its offset.
     """
-    bucketed = df.withColumn("_bucket", _bucket(key))
-    counts = bucketed.groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(
+    # A struct of the group's columns is never null, so plain equality serves
+    # null groups too, and window and join share one shuffle.
+    place = ["_group", "_bucket"]
+    bucketed = df.withColumn("_group", F.struct(*group)).withColumn("_bucket", _bucket(key))
+    counts = bucketed.groupBy(*place).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_group").orderBy("_bucket").rowsBetween(
         Window.unboundedPreceding, -1
     )
     offsets = counts.select(
-        *group, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")
+        *place, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")
     )
-    inside = Window.partitionBy(*group, "_bucket").orderBy(key, row_id)
+    inside = Window.partitionBy(*place).orderBy(key, row_id)
     ranked = bucketed.withColumn("_rank", F.row_number().over(inside))
-    return (
-        ranked.join(offsets, _same(ranked, offsets, [*group, "_bucket"]))
-        .select(
-            *[ranked[c] for c in df.columns],
-            (F.col("_offset") + F.col("_rank")).cast("bigint").alias(name),
-        )
+    return ranked.join(offsets, place).select(
+        *df.columns, (F.col("_offset") + F.col("_rank")).cast("bigint").alias(name)
     )
 
 

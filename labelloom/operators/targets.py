@@ -23,41 +23,38 @@ def forward_fill(
     ``row_no`` is an integer that is unique in its group, so a chunk has at
     most ``chunk`` rows whatever the group's size.
     """
-    chunked = df.withColumn("_chunk", F.floor(F.col(row_no) / chunk))
-    for name, value in values.items():
-        chunked = chunked.withColumn(f"_own_{name}", value)
-    inside = Window.partitionBy(group, "_chunk").orderBy(row_no).rowsBetween(
-        Window.unboundedPreceding, 0
+    # A struct is never null, so plain equality serves a null group too, and
+    # window and join share one shuffle.
+    place = ["_group", "_chunk"]
+    own = {name: f"_own_{name}" for name in values}
+    chunked = df.select(
+        *df.columns,
+        F.struct(group).alias("_group"),
+        F.floor(F.col(row_no) / chunk).alias("_chunk"),
+        *[value.alias(own[name]) for name, value in values.items()],
     )
+    inside = Window.partitionBy(*place).orderBy(row_no).rowsBetween(Window.unboundedPreceding, 0)
     filled = chunked.select(
         *df.columns,
-        "_chunk",
-        *[F.last(f"_own_{n}", ignorenulls=True).over(inside).alias(f"_in_{n}") for n in values],
+        *place,
+        *[F.last(own[n], ignorenulls=True).over(inside).alias(f"_in_{n}") for n in values],
     )
     # max_by ignores rows whose ordering is null, so only filled rows compete.
-    ends = chunked.groupBy(group, "_chunk").agg(
+    ends = chunked.groupBy(*place).agg(
         *[
-            F.max_by(f"_own_{n}", F.when(F.col(f"_own_{n}").isNotNull(), F.col(row_no))).alias(
-                f"_end_{n}"
-            )
+            F.max_by(own[n], F.when(F.col(own[n]).isNotNull(), F.col(row_no))).alias(f"_end_{n}")
             for n in values
         ]
     )
-    before = Window.partitionBy(group).orderBy("_chunk").rowsBetween(
+    before = Window.partitionBy("_group").orderBy("_chunk").rowsBetween(
         Window.unboundedPreceding, -1
     )
     carried = ends.select(
-        F.col(group).alias("_group"),
-        F.col("_chunk").alias("_of_chunk"),
+        *place,
         *[F.last(f"_end_{n}", ignorenulls=True).over(before).alias(f"_carry_{n}") for n in values],
     )
-    joined = filled.join(
-        carried,
-        filled[group].eqNullSafe(F.col("_group")) & (F.col("_chunk") == F.col("_of_chunk")),
-    )
-    return joined.select(
-        *[filled[c] for c in df.columns],
-        *[F.coalesce(f"_in_{n}", f"_carry_{n}").alias(n) for n in values],
+    return filled.join(carried, place).select(
+        *df.columns, *[F.coalesce(f"_in_{n}", f"_carry_{n}").alias(n) for n in values]
     )
 
 

@@ -53,14 +53,16 @@ def expand_plan(plan: DataFrame) -> DataFrame:
     """``draw_no`` 1..n for each planned class; classes with n = 0 yield nothing.
 
     The numbers are made in two steps so that a large n is spread over tasks
-    instead of being one row's array.
+    instead of being one row's array. The partition count is given because the
+    chunk rows are tiny and would be coalesced, while their draws are not.
     """
+    tasks = int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     last = F.ceil(F.col("n") / DRAWS_PER_CHUNK) - 1
     others = [c for c in plan.columns if c != "n"]
     chunks = (
         plan.filter(F.col("n") > 0)
         .withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
-        .repartition("sdg_id", "_chunk")
+        .repartition(tasks, "sdg_id", "_chunk")
     )
     first = F.col("_chunk") * DRAWS_PER_CHUNK + 1
     end = F.least(F.col("n").cast("bigint"), (F.col("_chunk") + 1) * DRAWS_PER_CHUNK)
