@@ -197,10 +197,15 @@ def exact_split(
         row_id,
         lambda sizes: sizes.select("_all", quota.cast("bigint").alias("quota")),
     )
-    marked = _below_cut(keyed, cut, "_all", row_id, "_second")
-    return marked.withColumn(
-        "split", F.when(F.col("_second"), names[1]).otherwise(names[0])
-    ).drop(_KEY, "_all", "_second")
+    # One row: the cut is a literal, not a join.
+    found = cut.first()
+    second = F.lit(False)
+    if found is not None:
+        limit = F.struct(
+            F.lit(found["cut"][_KEY]), F.lit(found["cut"][row_id]).cast(df.schema[row_id].dataType)
+        )
+        second = F.struct(F.col(_KEY), F.col(row_id)) <= limit
+    return keyed.withColumn("split", F.when(second, names[1]).otherwise(names[0])).drop(_KEY, "_all")
 
 
 def shuffle_rows(

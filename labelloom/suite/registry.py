@@ -73,10 +73,11 @@ def sql_tokens(expression: str) -> str:
     raw = f"list_filter(string_split({spaced}, ' '), lambda w: w <> '')"
     stopped = "|".join(["\\p{L}", *fixed.ABBREVIATIONS])
     # An abbreviation keeps its full stop unless it ends the text.
+    # A one-element list names the token list, so that it is made once per text.
     words = (
-        f"list_transform({raw}, lambda w, i: case"
-        f" when i < len({raw}) and regexp_matches(w, '^(?:{stopped})\\.$') then ''"
-        f" else regexp_extract(w, '^(\\p{{L}}+?)(?:n''t|''(?:s|m|d|ll|re|ve)?)?\\.?''*$', 1) end)"
+        f"list_transform([{raw}], lambda r: list_transform(r, lambda w, i: case"
+        f" when i < len(r) and regexp_matches(w, '^(?:{stopped})\\.$') then ''"
+        f" else regexp_extract(w, '^(\\p{{L}}+?)(?:n''t|''(?:s|m|d|ll|re|ve)?)?\\.?''*$', 1) end))[1]"
     )
     fused = (
         f"flatten(list_transform({words}, lambda w: case w when 'cannot' then ['can', 'not']"

@@ -13,6 +13,8 @@ TABLES = (
     " embeddings pages benchmark labels conversations"
 ).split()
 
+DUCKDB_TYPES = {"int": "integer", "string": "varchar"}
+
 
 def connect(sf_dir: str):
     con = duckdb.connect()
@@ -50,6 +52,10 @@ def compare(spark, con, name, function, sql, sf_dir):
     expected = cursor.fetchall()
     if sorted(names) != sorted(frame.columns):
         return f"columns {sorted(frame.columns)} != {sorted(names)}", seconds, len(found)
+    wanted_types = {r[0]: r[1].lower() for r in con.execute(f"describe {sql}").fetchall()}
+    types = {n: DUCKDB_TYPES.get(t, t) for n, t in frame.dtypes}
+    if types != wanted_types:
+        return f"types {types} != {wanted_types}", seconds, len(found)
     left, right = _rows(frame.columns, found), _rows(names, expected)
     if len(left) != len(right):
         return f"rows {len(left)} != {len(right)}", seconds, len(found)

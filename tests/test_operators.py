@@ -167,6 +167,24 @@ def test_first_per_group_with_a_hot_group(spark):
     assert values(got, "id") == [(4997,), (4998,), (4999,)]
 
 
+def test_first_per_group_limits_before_each_shuffle(spark):
+    df = spark.range(100).withColumn("g", F.lit(1))
+    plan = ranking.first_per_group(df, ["g"], [F.col("id")], 3)._jdf.queryExecution().executedPlan()
+    assert plan.toString().count("Partial") == 2
+
+
+def test_positions_move_rows_once(spark, sf_dir):
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        shuffled = sampling.shuffle_rows(documents, "doc_id")
+        plan = shuffled._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    text_side = plan.split("Inner", 1)[1].split("Window [sum")[0]
+    assert text_side.split("FileScan")[0].count("Exchange") == 1
+
+
 def test_batches(spark):
     df = spark.range(45).select(F.lit("a").alias("g"), "id")
     packed = batching.collect_batches(batching.number_batches(df, ["g"], ["id"]), ["g"], ["id"], "id")

@@ -13,9 +13,17 @@ def con(sf_dir):
 
 @pytest.mark.parametrize("name", sorted(entry.queries()))
 def test_query(spark, con, sf_dir, name):
-    function = entry.queries()[name]
+    frames = []
+
+    def function(spark, sf_dir):
+        frames.append(entry.queries()[name](spark, sf_dir))
+        return frames[0]
+
     message, _, rows = oracle.compare(spark, con, name, function, entry.oracle_sql().get(name), sf_dir)
     assert message is None
+    plan = frames[0]._jdf.queryExecution().executedPlan().toString()
+    for unwanted in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python"):
+        assert unwanted not in plan
     assert rows > 0 or name in {"exact_skip", "rejected_rows", "unmatched_ids"}
 
 
