@@ -178,8 +178,9 @@ def clean_model_output(text: Column, marker: str = fixed.ANSWER_MARKER) -> Colum
     once = F.regexp_count(text, F.lit(rf"\Q{marker}\E")) == 1
     tail = F.when(once, F.substring_index(text, marker, -1)).otherwise(text)
     # A blank is no permitted character either, so one pattern both replaces
-    # what is not permitted and collapses runs of blanks.
-    return F.trim(F.regexp_replace(tail, r"[^A-Za-z0-9(),.:!?\"']+", " "))
+    # what is not permitted and collapses runs of blanks. The look-ahead only
+    # rejects letters early.
+    return F.trim(F.regexp_replace(tail, r"(?![A-Za-z])[^A-Za-z0-9(),.:!?\"']+", " "))
 
 
 def contains_any(text: Column, markers: Sequence[str]) -> Column:
