@@ -8,7 +8,6 @@ therefore become broadcast joins only while it really is below
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,15 +16,17 @@ CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only in local mode."""
+    """The shared folder named in ``spark.checkpoint.dir``.
+
+    Where it is unset, a folder below the user's home on the session's default
+    Hadoop file system, which all executors reach.
+    """
     named = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="labelloom-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    home = spark.sparkContext._jvm.org.apache.hadoop.fs.FileSystem.get(hadoop).getHomeDirectory()
+    return f"{home.toString().rstrip('/')}/.labelloom"
 
 
 def new_path(spark: SparkSession, name: str) -> str:

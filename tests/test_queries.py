@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from labelloom.suite import QUERIES, SQL
 from tests import oracle
 
 
@@ -11,15 +12,15 @@ def con(sf_dir):
     return oracle.connect(sf_dir)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, sf_dir, name):
     frames = []
 
     def function(spark, sf_dir):
-        frames.append(entry.queries()[name](spark, sf_dir))
+        frames.append(QUERIES[name](spark, sf_dir))
         return frames[0]
 
-    message, _, rows = oracle.compare(spark, con, name, function, entry.oracle_sql().get(name), sf_dir)
+    message, _, rows = oracle.compare(spark, con, name, function, SQL.get(name), sf_dir)
     assert message is None
     plan = frames[0]._jdf.queryExecution().executedPlan().toString()
     for unwanted in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python"):
@@ -29,7 +30,8 @@ def test_query(spark, con, sf_dir, name):
 
 def test_sql_only_for_registered_queries():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"classify"}
+    assert set(QUERIES) <= set(entry.queries())
+    assert set(QUERIES) - set(SQL) == {"classify"}
 
 
 def test_entry(spark):
