@@ -1,6 +1,6 @@
 """Operators for large training-data pipelines, with their registered queries."""
 
-from labelloom.llm import bpe, hosts, pieces
+from labelloom.llm import bpe, hosts, pieces, pii, quality, secrets
 from labelloom.llm.common import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "bpe", "hosts", "pieces"]
+__all__ = ["QUERIES", "SQL", "bpe", "hosts", "pieces", "pii", "quality", "secrets"]
