@@ -1,6 +1,6 @@
 """Operators for large training-data pipelines, with their registered queries."""
 
-from labelloom.llm import bpe, chat, hosts, leaks, lm, pieces, pii, quality, secrets
+from labelloom.llm import bpe, chat, dedup, hosts, leaks, lm, pieces, pii, quality, secrets
 from labelloom.llm.common import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "bpe", "chat", "hosts", "leaks", "lm", "pieces", "pii", "quality", "secrets"]
+__all__ = ["QUERIES", "SQL", "bpe", "chat", "dedup", "hosts", "leaks", "lm", "pieces", "pii", "quality", "secrets"]
