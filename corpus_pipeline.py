@@ -1,4 +1,61 @@
-STAGES = []
+"""From raw documents to token ids: filter, deduplicate, decontaminate, mask, encode."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from labelloom.llm import bpe, dedup, leaks, pii, quality
+from labelloom.llm.common import table
+from labelloom.sources.staging import stage
+
+
+def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts; it learns from the labels of the given documents."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates."""
+    return dedup.keep_one(docs)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return leaks.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced by the name of its kind; ``n_chars`` follows the new text."""
+    masked = pii.mask_personal(docs)
+    if "n_chars" in masked.columns:
+        masked = masked.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast(masked.schema["n_chars"].dataType)))
+    return masked
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, and digests of the ids and of the text decoded from them."""
+    coded = bpe.encode_decode(docs, bpe.vocabulary_path())
+    return bpe.digests(coded, keep=("ids",))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality classifier", drop_low_quality),
+    ("near duplicates", drop_near_duplicates),
+    ("benchmark decontamination", drop_benchmark_leaks),
+    ("personal data", mask_personal_data),
+    ("byte-pair encoding", encode),
+]
+
+#: The learned classifier, the sampled bands and the encoder have no SQL form; tests hold the stages against plain Python.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply the stages to ``documents``; every stage is written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, function in STAGES:
+        docs = stage(function(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+    return docs

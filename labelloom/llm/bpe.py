@@ -229,14 +229,15 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
-def digests(coded: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Digest columns of ``encode_decode``."""
+def digests(coded: DataFrame, key: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Digest columns of ``encode_decode``, and the columns named in ``keep``."""
     ids = F.concat_ws(",", F.col("ids").cast("array<string>"))
     return coded.select(
         key,
         F.size("ids").cast("long").alias("n_tokens"),
         sha256(ids).alias("ids_sha256"),
         sha256("decoded").alias("decoded_sha256"),
+        *keep,
     )
 
 

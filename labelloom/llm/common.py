@@ -48,7 +48,12 @@ def map_texts(
     schema of the function's tuple. Texts reach Python in Arrow batches that Spark
     bounds in rows and in bytes; results go back in the same batches.
     """
-    chosen = df.select(*(F.col(f"`{c}`").alias(k) for k, c in keys.items()), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"))
+    columns = [F.col(f"`{c}`").alias(k) for k, c in keys.items()]
+    # A text that is passed on anyway travels once.
+    at = list(keys.values()).index(text) if text in keys.values() else len(keys)
+    if at == len(keys):
+        columns.append(F.col(f"`{text}`").alias("_text"))
+    chosen = df.select(*columns)
     key_schema = StructType([chosen.schema[k] for k in keys])
     schema = StructType([*key_schema.fields, *StructType.fromDDL(fields).fields])
     n = len(keys)
@@ -57,7 +62,7 @@ def map_texts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         function = make()
         for batch in batches:
-            rows = [function(t) for t in batch.column(n).to_pylist()]
+            rows = [function(t or "") for t in batch.column(at).to_pylist()]
             made = [pa.array([r[i] for r in rows], kind) for i, (_, kind) in enumerate(arrow)]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:n], *made], [*batch.schema.names[:n], *(name for name, _ in arrow)]

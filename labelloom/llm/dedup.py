@@ -344,12 +344,17 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", simi
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> DataFrame:
     """One document of each class, with all its columns: the one with the least key.
 
-    Rows that share this key are told apart by a hash of their text; equal rows leave one.
+    Repeated rows with this key leave one of them. Classes in which every key is null
+    keep one row for each different text.
     """
     classes = near_duplicates(df, key, text, similar)
-    kept = classes.select(F.col(key).alias("_kept")).filter(F.col(key).eqNullSafe(F.col("class_id"))).distinct()
+    first = F.col(key).eqNullSafe(F.col("class_id"))
+    kept = stage(classes.filter(first).groupBy(F.col(key).alias("_kept")).agg(F.count(F.lit(1)).alias("_rows")), "dedup-kept")
     rows = df.join(kept, F.col(f"`{key}`").eqNullSafe(F.col("_kept")), "left_semi")
-    return rows
+    if kept.filter("_rows > 1").isEmpty():
+        return rows
+    words = normalised(F.col(f"`{text}`"))
+    return rows.withColumn("_node", node_of(F.col(f"`{text}`"), words)).dropDuplicates([key, "_node"]).drop("_node")
 
 
 @query("op3_near_duplicates")

@@ -162,7 +162,7 @@ def find_leaks(
 
 def drop_leaks(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents whose key has no leak, with all their columns."""
-    found = find_leaks(df, benchmark, key, text).select(F.col("key").alias("_leaked")).distinct()
+    found = stage(find_leaks(df, benchmark, key, text).select(F.col("key").alias("_leaked")).distinct(), "leaked")
     return df.join(found, F.col(f"`{key}`").eqNullSafe(F.col("_leaked")), "left_anti")
 
 
