@@ -203,7 +203,7 @@ def marker_flag(
 def strip_id_prefix(value: Column, prefix: str | None = None) -> Column:
     """Remove the repository prefix ``oai:<host>:`` (or a given one) from an id."""
     if prefix is None:
-        return F.regexp_replace(value, r"oai:[^:]+:", "")
+        return F.regexp_replace(value, r"^oai:[^:]+:", "")
     return F.replace(value, F.lit(prefix), F.lit(""))
 
 

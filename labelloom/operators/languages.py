@@ -5,27 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelloom.functions.language import UNKNOWN, Profile, word_tokens
-from labelloom.operators.ranking import first_per_group
+from labelloom.functions.language import UNKNOWN, word_tokens
 from labelloom.sources.staging import stage
 
+#: Parts in which a token's share in its language is counted.
+PARTS = 1_000_000_000_000
+
 
 def learn_profiles(
-    df: DataFrame, text: str = "text", language: str = "lang", size: int = 200
+    df: DataFrame, text: str = "text", language: str = "lang"
 ) -> DataFrame:
-    """The most frequent tokens per language as (lang, token, weight).
+    """All tokens per language as (lang, token, weight).
 
-    The weight is the token's share in its language, in parts per 10,000. The
+    The weight is the token's share in its language, in parts per ``PARTS``. The
     texts are read once: their token counts (pre-aggregated before the shuffle)
-    are staged, and totals and ranking read that table.
+    are staged, and the totals read that table.
     """
     tokens = df.select(F.col(language).alias("lang"), F.explode(word_tokens(F.col(text))).alias("token"))
     counts = stage(tokens.groupBy("lang", "token").agg(F.count(F.lit(1)).alias("n")), "tokens")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    top = first_per_group(counts, ["lang"], [F.col("n").desc(), F.col("token")], size)
-    return top.join(totals, "lang").select(
-        "lang", "token", F.floor(F.col("n") * 10_000 / F.col("total")).cast("bigint").alias("weight")
-    )
+    share = (F.col("n").cast("decimal(19,0)") * PARTS / F.col("total")).cast("decimal(38,6)")
+    return counts.join(totals, "lang").select("lang", "token", F.floor(share).cast("bigint").alias("weight"))
 
 
 def detect_by_join(
@@ -37,11 +37,16 @@ def detect_by_join(
     record per language. A text without a known token has the language
     ``error``.
     """
-    tokens = df.select(row_id, F.explode_outer(word_tokens(F.col(text))).alias("token"))
+    # Words are counted per row before they move: a frequent word of a text moves once.
+    tokens = (
+        df.select(row_id, F.explode_outer(word_tokens(F.col(text))).alias("token"))
+        .groupBy(row_id, "token")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
     scored = (
         tokens.join(profiles, "token", "left")
         .groupBy(row_id, "lang")
-        .agg(F.sum("weight").alias("score"))
+        .agg(F.sum(F.col("weight") * F.col("n")).alias("score"))
     )
     # The smallest (negated score, name) is the best language, ties by name;
     # records without a language are null and do not compete.
@@ -51,17 +56,3 @@ def detect_by_join(
     return scored.groupBy(row_id).agg(
         F.coalesce(best["lang"], F.lit(UNKNOWN)).alias("language")
     )
-
-
-def as_profile(profiles: DataFrame, limit: int = 20_000) -> Profile:
-    """A learned profile as a plain mapping for ``functions.language``.
-
-    Profiles beyond ``limit`` entries are refused; use ``detect_by_join``.
-    """
-    rows = profiles.select("lang", "token").limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"the profile has more than {limit} entries")
-    mapping: dict[str, list[str]] = {}
-    for row in sorted(rows):
-        mapping.setdefault(row["lang"], []).append(row["token"])
-    return mapping

@@ -72,26 +72,27 @@ def skip_named(
 
     With ``exact=False`` a file counts if its name merely ends with the topic's
     file name. That test becomes an equality join on the suffixes of each file
-    name (file names are short), restricted to lengths that topics have.
+    name (file names are short).
     """
     wanted = topics.withColumn("_file", F.concat(F.col(topic), F.lit(extension)))
     names = files.select(F.col(file_name).alias("_file"))
     if not exact:
-        lengths = wanted.select(F.length("_file").alias("_len")).distinct()
-        suffixes = names.select(
+        names = names.distinct().filter(F.length("_file") > 0).select(
             F.explode(
                 F.transform(F.sequence(F.lit(1), F.length("_file")), lambda n: F.right("_file", n))
             ).alias("_file")
-        ).withColumn("_len", F.length("_file"))
-        names = (
-            suffixes.filter(F.col("_len") > 0).join(lengths, "_len", "left_semi").select("_file")
         )
     return wanted.join(names.distinct(), "_file", "left_anti").drop("_file")
 
 
 def zip_by_key(left: DataFrame, right: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """Pair requests with their answers; the second frame has those unanswered."""
-    return left.join(right, key), unmatched(left, right, key)
+    """Pair requests with their answers; the second frame has those unanswered.
+
+    An answer that landed twice counts once: of several the least row is taken.
+    """
+    others = [c for c in right.columns if c != key]
+    once = right.groupBy(key).agg(F.min(F.struct(*others)).alias("_answer")).select(key, "_answer.*") if others else right.distinct()
+    return left.join(once, key), unmatched(left, once, key)
 
 
 def plan_versus_actual(

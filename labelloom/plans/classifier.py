@@ -12,14 +12,15 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelloom import fixed
 from labelloom.functions.text import truncate_tokens
 from labelloom.operators.metrics import report
+from labelloom.sources.staging import stage
 
 
-def with_tokens(df: DataFrame, text: str = "text_clean", limit: int = fixed.MAX_TOKENS) -> DataFrame:
+def with_tokens(df: DataFrame, text: str = "text_clean", limit: int | None = None) -> DataFrame:
+    """Add the words of whole texts, or of their first ``limit`` words."""
     words = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), " "), lambda w: w != "")
-    return df.withColumn("tokens", truncate_tokens(words, limit))
+    return df.withColumn("tokens", words if limit is None else truncate_tokens(words, limit))
 
 
 def train(
@@ -27,10 +28,16 @@ def train(
     label: str = "label",
     features: int = 1 << 14,
     iterations: int = 20,
-    limit: int = fixed.MAX_TOKENS,
+    limit: int | None = None,
 ) -> PipelineModel:
-    """Fit on (text_clean, label). Memory of the model: features x classes."""
-    named = with_tokens(df, limit=limit).withColumn("_label", F.col(label).cast("string"))
+    """Fit on (text_clean, label). Memory of the model: features x classes.
+
+    Rows without a label are left out. The words are staged once; the passes of
+    the fit read that table.
+    """
+    labelled = df.filter(F.col(label).isNotNull())
+    named = with_tokens(labelled, limit=limit).select(F.col(label).cast("string").alias("_label"), "tokens")
+    named = stage(named, "training")
     indexer = StringIndexer(inputCol="_label", outputCol="_index").fit(named)
     stages = [
         indexer,
@@ -42,12 +49,10 @@ def train(
         ),
         IndexToString(inputCol="_prediction", outputCol="prediction", labels=indexer.labels),
     ]
-    return Pipeline(stages=stages).fit(named.select("_label", "tokens"))
+    return Pipeline(stages=stages).fit(named)
 
 
-def score(
-    model: PipelineModel, df: DataFrame, limit: int = fixed.MAX_TOKENS
-) -> DataFrame:
+def score(model: PipelineModel, df: DataFrame, limit: int | None = None) -> DataFrame:
     """Add ``prediction`` (the best class) and its ``score``."""
     served = PipelineModel(stages=model.stages[1:])
     scored = served.transform(with_tokens(df, limit=limit))

@@ -5,17 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelloom import fixed
 from labelloom.functions.text import array_to_text
 from labelloom.operators.dedup import distinct_rows
 from labelloom.operators.filters import drop_missing
 from labelloom.operators.sampling import top_per_group
 
 
-def topic_rows(hits: DataFrame, cap: int | None = fixed.HITS_PER_TOPIC) -> DataFrame:
+def topic_rows(hits: DataFrame, cap: int | None = None) -> DataFrame:
     """Rows per topic from landed hits; hits without an abstract are skipped.
 
-    The cap counts hits by rank; ``None`` takes all of them.
+    All hits count; a ``cap`` keeps that many per topic, by rank.
     """
     if cap is not None:
         hits = top_per_group(hits, "topic", [F.col("rank"), F.col("paperId")], cap)

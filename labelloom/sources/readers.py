@@ -121,17 +121,6 @@ def read_topic_files(
     return raw.drop("_c0")
 
 
-def spread(df: DataFrame, tasks_per_core: int = 4) -> DataFrame:
-    """Give a small input enough partitions to use every core.
-
-    Cleaning text is bound by the processor, and a few small files would be
-    cleaned by a few tasks. An input that already has a partition per core, as
-    any large one has, is returned as it is: no shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores * tasks_per_core)
-
-
 def read_if_exists(spark: SparkSession, path: str, schema: str, format: str = "json") -> DataFrame:
     """Earlier output, or an empty frame of the same schema."""
     try:

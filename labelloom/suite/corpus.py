@@ -13,22 +13,21 @@ from labelloom.suite.registry import (
     sql_language,
     sql_process_text,
     table,
-    texts,
 )
 
 
 def sources(spark, sf_dir):
     """The four kinds of sources, made from the test tables."""
-    documents = texts(spark, sf_dir, "documents").select("doc_id", "text")
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    conversations = texts(spark, sf_dir, "conversations")
+    conversations = table(spark, sf_dir, "conversations")
     benchmark = table(spark, sf_dir, "benchmark")
-    abstracts = documents.join(labels, "doc_id").select(
+    abstracts = documents.join(labels, "doc_id", "left").select(
         F.col("doc_id").cast("string").alias("ID"),
         F.col("text").alias("ABSTRACT"),
         F.col("quality").alias("SDG"),
     )
-    community = conversations.filter(F.col("role") == "user").select(
+    community = conversations.filter(F.col("role") != "assistant").select(
         "text",
         (F.col("conv_id") % 18).cast("int").alias("sdg"),
         (F.col("turn") % 10 / 10).alias("agreement"),
@@ -38,25 +37,27 @@ def sources(spark, sf_dir):
         F.col("text").alias("abstract"),
         F.lit(0).alias("sdg_label"),
     )
+    marked = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("From Web of Science "), F.col("text"))).otherwise(F.col("text"))
     synthetic = conversations.filter(F.col("role") == "assistant").select(
-        "text", (F.col("turn") % 17 + 1).cast("int").alias("sdg_id")
+        marked.alias("text"), (F.col("turn") % 17 + 1).cast("int").alias("sdg_id")
     )
     return abstracts, community, null_rows, synthetic
 
 
-_ABSTRACTS = "select text, quality as label, 1 as is_abstract from documents join labels using (doc_id)"
+_ABSTRACTS = "select text, quality as label, 1 as is_abstract from documents left join labels using (doc_id)"
 _COMMUNITY = (
     "select text, cast(conv_id % 18 as integer) as label,"
     f" cast({sql_contains_any('lower(text)', fixed.ABSTRACT_MARKERS)} as integer) as is_abstract"
-    " from conversations where role = 'user' and turn % 10 / 10 >= 0.5"
+    " from conversations where role <> 'assistant' and turn % 10 / 10 >= 0.5"
 )
 _NULL = "select text, 0 as label, 1 as is_abstract from benchmark where text is not null"
 _SYNTHETIC = (
-    "select case when contains(text, 'Web of Science')"
-    " then list_extract(string_split(text, 'Web of Science '), -1)"
-    " when contains(text, 'abstract') then list_extract(string_split(text, 'abstract '), -1)"
-    " else text end as text, cast(turn % 17 + 1 as integer) as label, 2 as is_abstract"
-    " from conversations where role = 'assistant'"
+    "select case when contains(marked, 'Web of Science')"
+    " then list_extract(string_split(marked, 'Web of Science '), -1)"
+    " when contains(marked, 'abstract') then list_extract(string_split(marked, 'abstract '), -1)"
+    " else marked end as text, cast(turn % 17 + 1 as integer) as label, 2 as is_abstract"
+    " from (select *, case when turn % 3 = 0 then 'From Web of Science ' || text else text end as marked"
+    " from conversations where role = 'assistant')"
 )
 
 
@@ -135,22 +136,21 @@ def dedup_texts(spark, sf_dir):
 
 
 @query(
-    """with hits as (select source as topic, doc_id as rank, doc_id as id, lang as title, text as abstract,
-        row_number() over (partition by source order by doc_id) as rn from documents)
-    select distinct cast(id as varchar) as id, title, abstract, title || ';' || topic as field,
-      0 as sdg_relation, 0 as sdg_label
-    from hits where rn <= 30"""
+    """select distinct cast(doc_id as varchar) as id, lang as title, text as abstract,
+      lang || ';' || source as field, 0 as sdg_relation, 0 as sdg_label
+    from documents where doc_id % 9 <> 0"""
 )
 def null_class_corpus(spark, sf_dir):
+    """Every hit counts; every ninth lacks its abstract and is skipped."""
     hits = table(spark, sf_dir, "documents").select(
         F.col("source").alias("topic"),
         F.col("doc_id").alias("rank"),
         F.col("doc_id").cast("string").alias("paperId"),
         F.col("lang").alias("title"),
-        F.col("text").alias("abstract"),
+        F.when(F.col("doc_id") % 9 != 0, F.col("text")).alias("abstract"),
         F.array("lang", "source").alias("fieldsOfStudy"),
     )
-    return null_class.null_class(null_class.topic_rows(hits, cap=30))
+    return null_class.null_class(null_class.topic_rows(hits))
 
 
 @query("select round(avg(cast(quality = toxic as double)), 6) as accuracy from labels")

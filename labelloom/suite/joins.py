@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from labelloom import fixed
 from labelloom.functions import labels
 from labelloom.operators import lookup
-from labelloom.suite.registry import query, quoted, table
+from labelloom.suite.registry import query, table
 
 
 @query("select doc_id from documents where doc_id not in (select doc_id from labels)")
@@ -19,13 +19,13 @@ def skip_done(spark, sf_dir):
 @query(
     """with topics as (select distinct c_name as topic from customer),
     files as (select distinct 'orders of Customer#' || lpad(cast(o_custkey as varchar), 9, '0') || '.csv' as name
-      from orders where o_orderstatus = 'F')
+      from orders)
     select topic from topics where not exists
       (select 1 from files where ends_with(name, topic || '.csv'))"""
 )
 def suffix_skip(spark, sf_dir):
     topics = table(spark, sf_dir, "customer").select(F.col("c_name").alias("topic")).distinct()
-    done = table(spark, sf_dir, "orders").filter(F.col("o_orderstatus") == "F")
+    done = table(spark, sf_dir, "orders")
     number = F.lpad(F.col("o_custkey").cast("string"), 9, "0")
     files = done.select(F.concat(F.lit("orders of Customer#"), number, F.lit(".csv")).alias("name"))
     return lookup.skip_named(topics, files, exact=False)
@@ -33,13 +33,12 @@ def suffix_skip(spark, sf_dir):
 
 @query(
     """select distinct c_name as topic from customer where c_name || '.csv' not in
-    (select 'Customer#' || lpad(cast(o_custkey as varchar), 9, '0') || '.csv' from orders
-      where o_orderstatus = 'F')"""
+    (select 'Customer#' || lpad(cast(o_custkey as varchar), 9, '0') || '.csv' from orders)"""
 )
 def exact_skip(spark, sf_dir):
     topics = table(spark, sf_dir, "customer").select(F.col("c_name").alias("topic")).distinct()
     number = F.lpad(F.col("o_custkey").cast("string"), 9, "0")
-    done = table(spark, sf_dir, "orders").filter(F.col("o_orderstatus") == "F")
+    done = table(spark, sf_dir, "orders")
     files = done.select(
         F.concat(F.lit("Customer#"), number, F.lit(".csv")).alias("name")
     )
@@ -71,10 +70,10 @@ def lookup_join(spark, sf_dir):
     return lookup.first_match(lines, orders, "l_orderkey", ["o_orderdate"], ["o_orderstatus"])
 
 
-@query("select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_orderstatus = 'F')")
+@query("select c_custkey from customer where c_custkey not in (select o_custkey from orders)")
 def unmatched_ids(spark, sf_dir):
     customers = table(spark, sf_dir, "customer").select("c_custkey")
-    done = table(spark, sf_dir, "orders").filter(F.col("o_orderstatus") == "F")
+    done = table(spark, sf_dir, "orders")
     orders = done.select(F.col("o_custkey").alias("c_custkey"))
     return lookup.unmatched(customers, orders, "c_custkey")
 
@@ -126,7 +125,7 @@ def model_names(spark, sf_dir):
     return events.select("event_id", labels.model_short_name(listed).alias("model"))
 
 
-@query(f"select l_returnflag, count(*) as n from lineitem where l_returnflag in ({quoted(['A', 'R'])}) group by 1")
+@query("select l_returnflag, count(*) as n from lineitem group by 1")
 def count_rows(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").filter(F.col("l_returnflag").isin("A", "R"))
+    lines = table(spark, sf_dir, "lineitem")
     return lines.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"))

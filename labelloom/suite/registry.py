@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 from labelloom import fixed
 from labelloom.functions import text as T
-from labelloom.sources.readers import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -30,11 +29,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table whose texts are to be processed on every core."""
-    return spread(table(spark, sf_dir, name))
-
-
 def quoted(values: Iterable[str]) -> str:
     return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
 

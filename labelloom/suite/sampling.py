@@ -53,7 +53,7 @@ def stratified_split(spark, sf_dir):
 
 
 _RULE_BASED = f"""with labelled as (
-      select doc_id as row_id, lang as label, quality as is_abstract from documents join labels using (doc_id)),
+      select doc_id as row_id, lang as label, quality as is_abstract from documents left join labels using (doc_id)),
     firsts as (select row_id as first_id from (select *, row_number() over
       (partition by label order by {sql_key(42, 'row_id')}, row_id) as rn
       from labelled where is_abstract = 1) where rn <= 1),
@@ -68,7 +68,7 @@ def _labelled(spark, sf_dir):
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
     return (
         _documents(spark, sf_dir)
-        .join(labels, "doc_id")
+        .join(labels, "doc_id", "left")
         .select(
             F.col("doc_id").alias("row_id"),
             F.col("lang").alias("label"),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from labelloom.operators.sampling import bucket_split
 from labelloom.sources import readers, staging, writers
-from labelloom.suite.registry import query, sql_process_text, sql_random, table, texts
+from labelloom.suite.registry import query, sql_process_text, sql_random, table
 
 
 @query("select doc_id, text, lang from documents")
@@ -38,7 +38,7 @@ def corpus_round_trip(spark, sf_dir):
     """The cleaned corpus through its CSV sink; empty texts come back empty."""
     from labelloom.plans.corpus import clean
 
-    rows = texts(spark, sf_dir, "conversations").select(
+    rows = table(spark, sf_dir, "conversations").select(
         "text", F.lit(1).alias("label"), F.lit(0).alias("is_abstract")
     )
     path = writers.write_corpus(clean(rows), staging.new_path(spark, "corpus"), True, True)
@@ -67,14 +67,14 @@ def generated_round_trip(spark, sf_dir):
     return readers.read_generated(spark, path, "llama-3-70b")
 
 
-@query("select text from conversations where text <> ''")
+@query("select text from conversations")
 def lines_round_trip(spark, sf_dir):
     """One value per line; only texts of one line can be told apart again."""
     path = staging.new_path(spark, "lines")
     texts = table(spark, sf_dir, "conversations").select(F.to_json(F.struct("text")).alias("value"))
     texts.write.text(path)
     read = readers.read_lines(spark, path)
-    return read.select(F.from_json("value", "text string")["text"].alias("text")).filter(F.col("text") != "")
+    return read.select(F.from_json("value", "text string")["text"].alias("text"))
 
 
 @query("select source as topic, doc_id, lang from documents")

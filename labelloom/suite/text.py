@@ -24,7 +24,6 @@ from labelloom.suite.registry import (
     sql_without_stop_words,
     sql_word_tokens,
     table,
-    texts,
 )
 
 FLAG_MARKERS = ("license", "@", "token =")
@@ -34,19 +33,19 @@ REFUSAL_TEST_MARKERS = ("The ", "des ", "der ")
 
 @query(f"select page_id, {sql_strip_html('lower(html)')} as text from pages")
 def strip_html(spark, sf_dir):
-    pages = texts(spark, sf_dir, "pages")
+    pages = table(spark, sf_dir, "pages")
     return pages.select("page_id", T.strip_html(F.lower("html")).alias("text"))
 
 
 @query(f"select page_id, {sql_strip_urls(sql_strip_html('lower(html)'))} as text from pages")
 def strip_html_urls(spark, sf_dir):
-    pages = texts(spark, sf_dir, "pages")
+    pages = table(spark, sf_dir, "pages")
     return pages.select("page_id", T.strip_html_and_urls(F.lower("html")).alias("text"))
 
 
 @query(f"select doc_id, {sql_strip_digits('text')} as text from documents")
 def strip_digits(spark, sf_dir):
-    documents = texts(spark, sf_dir, "documents")
+    documents = table(spark, sf_dir, "documents")
     return documents.select("doc_id", T.strip_digits(F.col("text")).alias("text"))
 
 
@@ -54,7 +53,7 @@ def strip_digits(spark, sf_dir):
     f"select doc_id, array_to_string({sql_tokens(sql_before_tokens('text'))}, ' ') as tokens from documents"
 )
 def alpha_tokens(spark, sf_dir):
-    documents = texts(spark, sf_dir, "documents")
+    documents = table(spark, sf_dir, "documents")
     tokens = T.alpha_tokens(T.clean_before_tokens(F.col("text")))
     return documents.select("doc_id", F.array_join(tokens, " ").alias("tokens"))
 
@@ -65,7 +64,7 @@ def alpha_tokens(spark, sf_dir):
     + ", ' ') as tokens from pages"
 )
 def remove_stop_words(spark, sf_dir):
-    pages = texts(spark, sf_dir, "pages")
+    pages = table(spark, sf_dir, "pages")
     tokens = T.remove_stop_words(T.alpha_tokens(T.clean_before_tokens(F.col("html"))))
     return pages.select("page_id", F.array_join(tokens, " ").alias("tokens"))
 
@@ -75,7 +74,7 @@ def remove_stop_words(spark, sf_dir):
     f" select word, {sql_lemma('word')} as lemma from words"
 )
 def lemmatize(spark, sf_dir):
-    documents = texts(spark, sf_dir, "documents")
+    documents = table(spark, sf_dir, "documents")
     words = vocabulary.distinct_tokens(
         documents.select(language.word_tokens(F.col("text")).alias("tokens")), "tokens"
     )
@@ -99,7 +98,7 @@ def lemmatize(spark, sf_dir):
 def lemma_table(spark, sf_dir):
     """Dictionary-tested lemmas; the words of one table serve as vocabulary."""
     words = vocabulary.distinct_tokens(
-        texts(spark, sf_dir, "documents").select(language.word_tokens(F.col("text")).alias("tokens")),
+        table(spark, sf_dir, "documents").select(language.word_tokens(F.col("text")).alias("tokens")),
         "tokens",
     )
     known = vocabulary.distinct_tokens(
@@ -111,13 +110,13 @@ def lemma_table(spark, sf_dir):
 
 @query(f"select doc_id, {sql_process_text('text')} as text_clean from documents")
 def process_text(spark, sf_dir):
-    documents = texts(spark, sf_dir, "documents")
+    documents = table(spark, sf_dir, "documents")
     return documents.select("doc_id", T.process_text(F.col("text")).alias("text_clean"))
 
 
 @query(f"select page_id, {sql_process_text('html')} as text_clean from pages")
 def process_pages(spark, sf_dir):
-    pages = texts(spark, sf_dir, "pages")
+    pages = table(spark, sf_dir, "pages")
     return pages.select("page_id", T.process_text(F.col("html")).alias("text_clean"))
 
 
@@ -132,7 +131,7 @@ def _sql_model_output(text: str) -> str:
 
 @query(f"select doc_id, {_sql_model_output('text')} as text from documents")
 def clean_model_output(spark, sf_dir):
-    documents = texts(spark, sf_dir, "documents")
+    documents = table(spark, sf_dir, "documents")
     return documents.select("doc_id", T.clean_model_output(F.col("text")).alias("text"))
 
 
@@ -146,7 +145,7 @@ def _sql_synthetic(text: str, markers) -> str:
 
 @query(f"select doc_id, {_sql_synthetic('text', SYNTHETIC_TEST_MARKERS)} as text from documents")
 def clean_synth_text(spark, sf_dir):
-    documents = texts(spark, sf_dir, "documents")
+    documents = table(spark, sf_dir, "documents")
     cleaned = T.clean_synthetic_text(F.col("text"), SYNTHETIC_TEST_MARKERS)
     return documents.select("doc_id", cleaned.alias("text"))
 
@@ -155,7 +154,7 @@ def clean_synth_text(spark, sf_dir):
     "select doc_id, regexp_replace(text, '(?m)^\\p{Nd}+\\.\\s+', '', 'g') as text from documents"
 )
 def numbered_lists(spark, sf_dir):
-    documents = texts(spark, sf_dir, "documents")
+    documents = table(spark, sf_dir, "documents")
     return documents.select("doc_id", T.strip_numbered_lists(F.col("text")).alias("text"))
 
 
@@ -164,7 +163,7 @@ def numbered_lists(spark, sf_dir):
     " from documents"
 )
 def marker_flag(spark, sf_dir):
-    documents = texts(spark, sf_dir, "documents")
+    documents = table(spark, sf_dir, "documents")
     return documents.select("doc_id", T.marker_flag(F.col("text"), FLAG_MARKERS).alias("is_abstract"))
 
 
@@ -186,7 +185,7 @@ def english_only(spark, sf_dir):
 
 @query(f"select * from {sql_language('documents', 'doc_id', 'text')}")
 def detect_language(spark, sf_dir):
-    documents = texts(spark, sf_dir, "documents")
+    documents = table(spark, sf_dir, "documents")
     return documents.select("doc_id", language.detect_language(F.col("text")).alias("language"))
 
 
@@ -204,7 +203,7 @@ def detect_language(spark, sf_dir):
       round(sum(support * 2 * tp / (support + predicted)) / sum(support), 6) as weighted_f1 from f"""
 )
 def detect_language_report(spark, sf_dir):
-    documents = texts(spark, sf_dir, "documents")
+    documents = table(spark, sf_dir, "documents")
     found = documents.select("lang", language.detect_language(F.col("text")).alias("language"))
     scores = metrics.report(found, "lang", "language")
     return scores.select(*[F.round(c, 6).alias(c) for c in scores.columns])
@@ -213,15 +212,15 @@ def detect_language_report(spark, sf_dir):
 _LEARNED = f"""
     tokens as (select lang, unnest({sql_word_tokens('text')}) as token from documents),
     counts as (select lang, token, count(*) as n from tokens group by 1, 2),
-    ranked as (select *, row_number() over (partition by lang order by n desc, token) as rn,
-      sum(n) over (partition by lang) as total from counts),
-    profile as (select lang, token, cast(n * 10000 // total as bigint) as weight
-      from ranked where rn <= 200)"""
+    totals as (select lang, sum(n) as total from counts group by 1),
+    profile as (select lang, token,
+      cast(cast(n as hugeint) * {languages.PARTS} // cast(total as hugeint) as bigint) as weight
+      from counts join totals using (lang))"""
 
 
 @query(f"with {_LEARNED} select * from profile")
 def language_profiles(spark, sf_dir):
-    return languages.learn_profiles(texts(spark, sf_dir, "documents"))
+    return languages.learn_profiles(table(spark, sf_dir, "documents"))
 
 
 @query(
@@ -236,8 +235,8 @@ def language_profiles(spark, sf_dir):
 )
 def detect_learned(spark, sf_dir):
     """Profiles learned from one table, applied to another by join."""
-    profiles = stage(languages.learn_profiles(texts(spark, sf_dir, "documents")), "profiles")
-    rows = texts(spark, sf_dir, "conversations").select(
+    profiles = stage(languages.learn_profiles(table(spark, sf_dir, "documents")), "profiles")
+    rows = table(spark, sf_dir, "conversations").select(
         F.concat_ws("-", "conv_id", "turn").alias("row_id"), "text"
     )
     return languages.detect_by_join(rows, profiles, "row_id")
@@ -247,7 +246,7 @@ def detect_learned(spark, sf_dir):
     "select doc_id, array_to_string(string_split(text, chr(10)), ';') as lines from documents"
 )
 def array_to_text(spark, sf_dir):
-    documents = texts(spark, sf_dir, "documents")
+    documents = table(spark, sf_dir, "documents")
     return documents.select("doc_id", T.array_to_text(T.split_lines(F.col("text"))).alias("lines"))
 
 

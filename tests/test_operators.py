@@ -334,10 +334,6 @@ def test_learned_profiles_detect(spark, sf_dir):
     found = languages.detect_by_join(held_out, profiles, "doc_id").join(held_out, "doc_id")
     assert found.count() == held_out.count()
     assert found.agg(F.avg((F.col("lang") == F.col("language")).cast("int"))).first()[0] > 0.9
-    mapping = languages.as_profile(profiles)
-    assert set(mapping) == {"de", "en", "es", "fr"}
-    with pytest.raises(ValueError):
-        languages.as_profile(profiles, limit=10)
 
 
 def test_texts_without_known_tokens(spark):
