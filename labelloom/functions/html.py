@@ -1,49 +1,105 @@
 """Table extraction from landed HTML with regular expressions, inside the JVM.
 
-Tables must not be nested. Entities are decoded for the named set below.
+Rows and cells need no closing tags: each goes up to the next tag that ends it.
+Tables inside a cell are taken out first, innermost before outer ones, and leave
+their text in the cell, down to ``NESTED`` levels. Named entities of the table
+below and numeric ones are decoded.
 """
 
 from __future__ import annotations
 
+import html
+import html.entities
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from labelloom.functions.text import strip_blanks
 
-# --- fixed values: entities, "&amp;" last so that nothing is decoded twice ------
-ENTITIES = (
-    ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'),
-    ("&apos;", "'"), ("&#39;", "'"), ("&#x27;", "'"), ("&ndash;", "–"),
-    ("&mdash;", "—"), ("&amp;", "&"),
-)
+#: Levels of tables inside a cell.
+NESTED = 4
+#: Named entities: the published Latin-1 names, and a few signs besides.
+_MORE = ("quot", "lt", "gt", "apos", "ndash", "mdash", "lsquo", "rsquo", "ldquo", "rdquo", "bdquo", "hellip", "bull", "euro", "oelig", "OElig", "trade")
+_NAMES = {n: c for n in html.entities.name2codepoint if 160 <= (c := html.entities.name2codepoint[n]) <= 255}
+_NAMES |= {n: ord(html.unescape(f"&{n};")) for n in _MORE}
 
 
 def _all(html: Column, pattern: str) -> Column:
     return F.regexp_extract_all(html, F.lit(pattern), F.lit(1))
 
 
-def blocks(html: Column, css_class: str) -> Column:
-    """Bodies of the elements of one class, each up to its closing table tag."""
+def _without_inner_tables(page: Column) -> Column:
+    """Tables that lie within a cell give way to their text: their tags become line feeds."""
+    inner = r"(?is)(<t[dh]\b[^>]*>(?:(?!</?(?:table|t[dhr])\b).)*+)<table\b[^>]*>((?:(?!</?table\b).)*+)</table\s*>"
+    for _ in range(NESTED):
+        # The innermost first: what stands between its tags holds no other table.
+        page = F.when(
+            page.rlike(inner),
+            F.concat_ws(
+                "",
+                F.transform(
+                    F.regexp_extract_all(page, F.lit(rf"{inner}|[^<]+|<"), F.lit(0)),
+                    lambda part: F.when(
+                        part.rlike(inner),
+                        F.concat(
+                            F.regexp_extract(part, inner, 1),
+                            F.regexp_replace(F.regexp_extract(part, inner, 2), r"(?is)</?t(?:[dhr]|body|head|foot)\b[^>]*>", "<br>"),
+                        ),
+                    ).otherwise(part),
+                ),
+            ),
+        ).otherwise(page)
+    return page
+
+
+def blocks(page: Column, css_class: str) -> Column:
+    """Bodies of the elements of one class, each up to its closing table tag or the end."""
     opening = rf"<\w+[^>]*\bclass\s*=\s*[\"'](?:[^\"']*\s)?{css_class}(?:\s[^\"']*)?[\"'][^>]*>"
-    return _all(html, rf"(?is){opening}(.*?)</table>")
+    return _all(_without_inner_tables(page), rf"(?is){opening}(.*?)(?:</table|\z)")
 
 
 def rows(block: Column) -> Column:
-    return _all(block, r"(?is)<tr\b[^>]*>(.*?)</tr>")
+    """Rows: from one row tag to the next, to the end of the row or of its section."""
+    return _all(block, r"(?is)<tr\b[^>]*>(.*?)(?=<tr\b|</tr|</?tbody|</?thead|</?tfoot|\z)")
+
+
+def _cells(row: Column, tag: str) -> Column:
+    return F.transform(_all(row, rf"(?is)<{tag}\b[^>]*>(.*?)(?=<t[dh]\b|</t[dh]|\z)"), cell_text)
 
 
 def header_cells(row: Column) -> Column:
-    return F.transform(_all(row, r"(?is)<th\b[^>]*>(.*?)</th>"), cell_text)
+    return _cells(row, "th")
 
 
 def data_cells(row: Column) -> Column:
-    return F.transform(_all(row, r"(?is)<td\b[^>]*>(.*?)</td>"), cell_text)
+    return _cells(row, "td")
+
+
+def _decoded(part: Column) -> Column:
+    """The character of an entity; what is none stays as it is."""
+    body = F.substr(part, F.lit(2), F.length(part) - 2)
+    hexadecimal = F.conv(F.substr(body, F.lit(3)), 16, 10).cast("int")
+    code = F.when(body.rlike("^#[xX]"), hexadecimal).otherwise(F.substr(body, F.lit(2)).cast("int"))
+    # A code point as UTF-32 is four bytes.
+    letter = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    names = F.create_map(*[F.lit(x) for n, c in _NAMES.items() for x in (n, chr(c) if c != 160 else " ")])
+    number = F.when(valid, F.when(code == 160, F.lit(" ")).otherwise(letter)).otherwise(part)
+    return F.when(~part.rlike("^&.+;$"), part).when(body.startswith("#"), number).otherwise(
+        F.coalesce(F.try_element_at(names, body), part)
+    )
+
+
+def decode_entities(text: Column) -> Column:
+    """Decode every entity once; text without an ampersand is left alone."""
+    entity = r"&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});"
+    parts = F.regexp_extract_all(text, F.lit(rf"(?s){entity}|[^&]+|&"), F.lit(0))
+    found = F.array_join(F.transform(parts, lambda p: F.when(p == "&amp;", F.lit("&")).otherwise(_decoded(p))), "")
+    return F.when(text.contains("&"), found).otherwise(text)
 
 
 def cell_text(cell: Column) -> Column:
     """Visible text: line breaks kept, tags removed, entities decoded, trimmed."""
     text = F.regexp_replace(cell, r"(?i)<br\s*/?>", "\n")
     text = F.regexp_replace(text, r"(?s)<.*?>", "")
-    for entity, char in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return strip_blanks(text)
+    return strip_blanks(decode_entities(text))

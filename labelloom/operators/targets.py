@@ -7,6 +7,8 @@ the chunks.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,11 +17,17 @@ from labelloom.functions.text import strip_blanks
 CHUNK = 100_000
 
 
+def _names(group: str | Sequence[str]) -> list[str]:
+    return [group] if isinstance(group, str) else list(group)
+
+
 def forward_fill(
-    df: DataFrame, group: str, row_no: str, values: dict[str, Column], chunk: int = CHUNK
+    df: DataFrame, group: str | Sequence[str], row_no: str, values: dict[str, Column], chunk: int = CHUNK
 ) -> DataFrame:
     """Add each value's last non-null entry up to the row, in row order per group.
 
+    A group is one column or several.
+
     ``row_no`` is an integer that is unique in its group, so a chunk has at
     most ``chunk`` rows whatever the group's size.
     """
@@ -29,7 +37,7 @@ def forward_fill(
     own = {name: f"_own_{name}" for name in values}
     chunked = df.select(
         *df.columns,
-        F.struct(group).alias("_group"),
+        F.struct(*_names(group)).alias("_group"),
         F.floor(F.col(row_no) / chunk).alias("_chunk"),
         *[value.alias(own[name]) for name, value in values.items()],
     )
@@ -59,19 +67,23 @@ def forward_fill(
 
 
 def fill_targets(
-    rows: DataFrame, goal: str = "goal", row_no: str = "row_no", cells: str = "cells",
+    rows: DataFrame, goal: str | Sequence[str] = "goal", row_no: str = "row_no", cells: str = "cells",
     chunk: int = CHUNK,
 ) -> DataFrame:
-    """Rows of a spanned table as (goal, row_no, target, run, indicator).
+    """Rows of spanned tables as (goal, row_no, target, run, indicator).
+
+    ``goal`` names the column, or the columns such as page and goal, that tell
+    one table from another.
 
     A row of three cells starts a target, a row of two continues it; other
     shapes are ignored. ``run`` is the row number at which the target started.
     A continuation before any target has null target and run.
     """
+    names = _names(goal)
     size = F.size(cells)
     starts = size == 3
     shaped = rows.filter(size.isin(2, 3)).select(
-        goal,
+        *names,
         row_no,
         F.when(starts, strip_blanks(F.get(cells, F.lit(0)))).alias("_target"),
         F.when(starts, F.col(row_no)).alias("_run"),
@@ -80,9 +92,9 @@ def fill_targets(
         ),
     )
     filled = forward_fill(
-        shaped, goal, row_no, {"target": F.col("_target"), "run": F.col("_run")}, chunk
+        shaped, names, row_no, {"target": F.col("_target"), "run": F.col("_run")}, chunk
     )
-    return filled.select(goal, row_no, "target", "run", "indicator")
+    return filled.select(*names, row_no, "target", "run", "indicator")
 
 
 def rejected_rows(filled: DataFrame) -> DataFrame:
@@ -90,8 +102,11 @@ def rejected_rows(filled: DataFrame) -> DataFrame:
     return filled.filter(F.col("run").isNull())
 
 
-def indicators(filled: DataFrame, goal: str = "goal") -> DataFrame:
+def indicators(filled: DataFrame, goal: str | Sequence[str] = "goal") -> DataFrame:
     """The valid rows of each target; a repeated target keeps its last run only."""
     valid = filled.filter(F.col("run").isNotNull())
-    last = valid.groupBy(goal, "target").agg(F.max("run").alias("run"))
-    return valid.join(last, [goal, "target", "run"], "left_semi")
+    keys = [*_names(goal), "target"]
+    last = valid.groupBy(F.struct(*keys).alias("_of")).agg(F.max("run").alias("_run"))
+    # A struct is never null, so a null target or group is found again.
+    marked = valid.withColumn("_of", F.struct(*keys)).withColumn("_run", F.col("run"))
+    return marked.join(last, ["_of", "_run"], "left_semi").select(*valid.columns)

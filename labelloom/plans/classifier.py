@@ -1,6 +1,9 @@
-"""Distributed text classifier: hashed term frequencies and logistic regression.
+"""Distributed text classifiers: word counts, and logistic regression on hashed terms.
 
-A simpler model than a fine-tuned transformer; no equal accuracy is claimed.
+``train_counts`` and ``score_counts`` are a multinomial Bayes classifier made of
+aggregations and joins, with integer weights, so that a result can be computed
+anywhere. ``train`` and ``score`` fit a logistic regression. Both are simpler models
+than a fine-tuned transformer; no equal accuracy is claimed.
 """
 
 from __future__ import annotations
@@ -9,7 +12,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, IndexToString, StringIndexer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelloom.functions.text import truncate_tokens
@@ -63,3 +66,58 @@ def score(model: PipelineModel, df: DataFrame, limit: int | None = None) -> Data
 def evaluate(scored: DataFrame, label: str = "label") -> DataFrame:
     """Accuracy and weighted F1."""
     return report(scored.withColumn("_truth", F.col(label).cast("string")), "_truth", "prediction")
+
+
+#: Parts of a natural logarithm in which weights are counted.
+LOG_PARTS = 1_000
+
+
+def _weight(part: Column, whole: Column) -> Column:
+    return F.round(F.log(part / whole) * LOG_PARTS).cast("bigint")
+
+
+def train_counts(df: DataFrame, label: str = "label") -> tuple[DataFrame, DataFrame]:
+    """(label, token, weight) and (label, prior, unseen) tables of whole texts, add-one smoothing.
+
+    A token's weight is what it adds to the class beyond an unseen token. Rows without
+    a label are left out. Counts are pre-aggregated before the shuffle.
+    """
+    labelled = df.filter(F.col(label).isNotNull())
+    words = with_tokens(labelled).select(F.col(label).alias("label"), F.explode("tokens").alias("token"))
+    counts = stage(words.groupBy("label", "token").agg(F.count(F.lit(1)).alias("n")), "class-tokens")
+    distinct = counts.select("token").distinct().count()
+    rows = labelled.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("rows"))
+    sums = counts.groupBy("label").agg(F.sum("n").alias("total"))
+    every = labelled.count()
+    classes = rows.join(sums, "label", "left").select(
+        "label",
+        _weight(F.col("rows").cast("double"), F.lit(float(every))).alias("prior"),
+        _weight(F.lit(1.0), F.coalesce("total", F.lit(0)) + float(distinct)).alias("unseen"),
+    )
+    classes = stage(classes, "classes")
+    tokens = counts.select("label", "token", F.round(F.log(F.col("n") + F.lit(1.0)) * LOG_PARTS).cast("bigint").alias("weight"))
+    return stage(tokens, "token-weights"), classes
+
+
+def score_counts(model: tuple[DataFrame, DataFrame], df: DataFrame, row_id: str) -> DataFrame:
+    """(row id, prediction): the class with the greatest sum, ties by the smaller label.
+
+    Words are counted per row before they move. A row moves as one record per class:
+    classes are few, and a text without known words still has the priors.
+    """
+    tokens, classes = model
+    words = with_tokens(df).select(row_id, F.explode("tokens").alias("token")).groupBy(row_id, "token").agg(F.count(F.lit(1)).alias("n"))
+    # Only words seen in training are told apart from unseen ones.
+    known = words.join(tokens, "token").groupBy(row_id, "label").agg(F.sum(F.col("n") * F.col("weight")).alias("seen"))
+    listed = classes.select(F.collect_list(F.struct("label", "prior", "unseen")).alias("classes")).first()
+    rows = with_tokens(df).select(row_id, F.size("tokens").alias("size"))
+    if not listed or not listed["classes"]:
+        return rows.select(row_id, F.lit(None).cast(classes.schema["label"].dataType).alias("prediction"))
+    kind = classes.schema["label"].dataType
+    every = rows.select(
+        row_id,
+        F.explode(F.array(*[F.struct(F.lit(c["label"]).cast(kind).alias("label"), (F.lit(c["prior"]) + F.col("size") * c["unseen"]).alias("base")) for c in listed["classes"]])).alias("c"),
+    ).select(row_id, "c.label", "c.base")
+    total = F.col("base") + F.coalesce("seen", F.lit(0))
+    best = F.min(F.struct((-total).alias("loss"), "label"))["label"]
+    return every.join(known, [row_id, "label"], "left").groupBy(row_id).agg(best.alias("prediction"))

@@ -15,6 +15,7 @@ from labelloom.operators.categories import (
 )
 from labelloom.operators.filters import only_keys
 from labelloom.operators.lookup import first_match, unmatched
+from labelloom.sources.staging import stage
 
 
 def metadata_entries(
@@ -72,19 +73,18 @@ def faculty_counts(papers: DataFrame, label: str = "SDG", mode: str = "all") ->
     return papers_per_category(listed, label, "_paths", mode)
 
 
-def tree_documents(nodes: DataFrame, label: str, max_depth: int = 3) -> DataFrame:
+def tree_documents(nodes: DataFrame, label: str) -> DataFrame:
     """One JSON text per class holding its tree as nested objects.
 
     Built level by level from the leaves, each level one aggregation by
-    parent; the rows are distinct categories, not papers.
+    parent; the rows are distinct categories, not papers. The nodes are staged
+    once, and their greatest depth gives the number of levels. The document of
+    a class is one row, as it is one document.
     """
-    too_deep = F.raise_error(F.lit("the tree is deeper than max_depth"))
-    inner = nodes.filter(F.col("depth") >= max_depth).select(
-        label,
-        "path",
-        F.when(F.col("depth") > max_depth, too_deep).otherwise(F.lit("{}")).alias("json"),
-    )
-    for depth in range(max_depth, 0, -1):
+    nodes = stage(nodes.select(label, "path", "depth"), "nodes")
+    deepest = nodes.agg(F.max("depth")).first()[0] or 1
+    inner = nodes.filter(F.col("depth") == deepest).select(label, "path", F.lit("{}").alias("json"))
+    for depth in range(deepest, 0, -1):
         # A one-element JSON array without its brackets is the quoted name.
         listed = F.to_json(F.array(F.element_at("path", -1)))
         name = F.substr(listed, F.lit(2), F.length(listed) - 2)

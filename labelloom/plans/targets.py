@@ -34,12 +34,13 @@ def table_rows(
     )
 
 
-def goal_targets(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(indicators per goal and target, rejected rows)."""
-    filled = fill_targets(rows)
-    return indicators(filled), rejected_rows(filled)
+def goal_targets(rows: DataFrame, page_id: str = "page_id") -> tuple[DataFrame, DataFrame]:
+    """(indicators per page, goal and target, rejected rows)."""
+    filled = fill_targets(rows, [page_id, "goal"])
+    return indicators(filled, [page_id, "goal"]), rejected_rows(filled)
 
 
 def target_documents(valid: DataFrame) -> DataFrame:
-    """Ordered indicator lists per goal and target, for the JSON sink."""
-    return nested_lists(valid, ["goal", "target"], ["row_no"], "indicator", "indicators")
+    """Ordered indicator lists per table and target, for the JSON sink."""
+    group = [c for c in valid.columns if c not in ("row_no", "run", "indicator")]
+    return nested_lists(valid, group, ["row_no"], "indicator", "indicators")

@@ -23,6 +23,34 @@ def read_jsonl(spark: SparkSession, path: str | list[str], schema: str) -> DataF
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+def _csv(spark: SparkSession, delimiter: str, multi_line: bool, **options):
+    """The dialect of ``writers.write_csv``: doubled quotes, blanks kept, broken rows fail."""
+    reader = (
+        spark.read.option("header", True)
+        .option("sep", delimiter)
+        .option("quote", '"')
+        .option("escape", '"')
+        .option("multiLine", multi_line)
+        .option("mode", "FAILFAST")
+        .option("columnPruning", False)
+    )
+    for name, value in options.items():
+        reader = reader.option(name, value)
+    return reader
+
+
+def _strict_csv(spark: SparkSession, path: str | list[str], delimiter: str, multi_line: bool) -> DataFrame:
+    """All columns as text under the names of the header, which every file must have.
+
+    A file with another header and a row with too many or too few fields fail the
+    read. Headers are not compared where a column has no name.
+    """
+    names = _csv(spark, delimiter, multi_line).csv(path).columns
+    named = all(name != f"_c{k}" for k, name in enumerate(names))
+    texts = T.StructType([T.StructField(name, T.StringType()) for name in names])
+    return _csv(spark, delimiter, multi_line, enforceSchema=not named).schema(texts).csv(path)
+
+
 def read_csv(
     spark: SparkSession,
     path: str | list[str],
@@ -35,14 +63,7 @@ def read_csv(
     Texts may hold quoted line feeds, which makes a file one task: keep the
     files moderate, or pass ``multi_line=False`` for files without them.
     """
-    raw = (
-        spark.read.option("header", True)
-        .option("sep", delimiter)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("multiLine", multi_line)
-        .csv(path)
-    )
+    raw = _strict_csv(spark, path, delimiter, multi_line)
     return raw.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in _struct(schema)])
 
 
@@ -108,13 +129,7 @@ def read_topic_files(
     The condition on the file name skips the files themselves. Write results
     to another folder, or the next run reads them again.
     """
-    raw = (
-        spark.read.option("header", True)
-        .option("escape", '"')
-        .option("multiLine", True)
-        .schema(schema)
-        .csv(f"{folder.rstrip('/')}/*.csv")
-    )
+    raw = _csv(spark, ",", True, enforceSchema=True).schema(schema).csv(f"{folder.rstrip('/')}/*.csv")
     name = F.col("_metadata.file_name")
     for word in excluded:
         raw = raw.filter(~F.contains(name, F.lit(word)))
@@ -142,10 +157,12 @@ def read_cleaned(spark: SparkSession, path: str, empty_text: bool = True) -> Dat
     return rows.filter(F.col("text_clean").isNotNull())
 
 
-def read_splits(spark: SparkSession, files: dict[str, str], schema: str) -> DataFrame:
-    """Several CSV sources as one frame with a ``split`` column."""
+def read_splits(
+    spark: SparkSession, files: dict[str, str], schema: str, multi_line: bool = False
+) -> DataFrame:
+    """Several CSV sources as one frame with a ``split`` column; cleaned texts have no line feeds."""
     parts = [
-        read_csv(spark, path, schema).withColumn("split", F.lit(name))
+        read_csv(spark, path, schema, multi_line=multi_line).withColumn("split", F.lit(name))
         for name, path in files.items()
     ]
     result = parts[0]

@@ -15,8 +15,18 @@ def run_time(moment: Column | None = None) -> Column:
     return F.date_format(moment, fixed.RUN_TIME_FORMAT)
 
 
-def write_csv(df: DataFrame, path: str, partition_by: list[str] | None = None) -> str:
-    writer = df.write.mode("overwrite").option("header", True).option("escape", '"')
+def write_csv(
+    df: DataFrame, path: str, partition_by: list[str] | None = None, delimiter: str = ","
+) -> str:
+    """CSV in the dialect of ``readers.read_csv``; blanks around a text are kept."""
+    writer = (
+        df.write.mode("overwrite")
+        .option("header", True)
+        .option("sep", delimiter)
+        .option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
+    )
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.csv(path)

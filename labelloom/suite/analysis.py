@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from labelloom.operators import batching, categories, targets
-from labelloom.plans import classifier, corpus, papers
+from labelloom.functions.text import process_text
+from labelloom.functions.text import truncate_tokens as cut_tokens
+from labelloom.operators import batching, categories, sampling, targets
+from labelloom.plans import classifier, papers
 from labelloom.plans import targets as target_plans
-from labelloom.suite.corpus import sources
-from labelloom.suite.registry import query, table
+from labelloom.sources.staging import stage
+from labelloom.suite.registry import query, sql_key, sql_process_text, table
+from labelloom.suite.sampling import sql_stratified
 
 # --- category paths: region > nation > customer segment -----------------------
 
@@ -217,8 +220,9 @@ def _cell(tag, value):
 
 
 @query(
-    """select c_custkey as id, unnest(['Name:', 'Segment & Nation:', 'Balance:']) as key,
-      unnest([c_name, c_mktsegment || chr(10) || c_nationkey, cast(c_custkey % 7 as varchar)]) as value
+    """select c_custkey as id, unnest(['Name:', 'Segment & Nation:', 'Balance:', 'Café éé:']) as key,
+      unnest([c_name, c_mktsegment || chr(10) || c_nationkey, cast(c_custkey % 7 as varchar),
+        c_name || chr(10) || chr(10) || 'inner']) as value
     from customer"""
 )
 def html_metadata(spark, sf_dir):
@@ -235,6 +239,10 @@ def html_metadata(spark, sf_dir):
                 _cell("td", F.concat(c("c_mktsegment"), F.lit("<br/>"), c("c_nationkey").cast("string"))),
             ),
             _row(_cell("td", F.lit("no header here"))),
+            # no closing tags, numeric and named entities, a table within a cell
+            F.lit("<tr><th>Caf&eacute; &#233;&#xe9;:<td>"),
+            c("c_name"),
+            F.lit("<table><tr><td>inner</td></tr></table>"),
             _row(_cell("th", F.lit("Balance:")), _cell("td", (c("c_custkey") % 7).cast("string"))),
             F.lit("</table></div></html>"),
         ).alias("html"),
@@ -246,6 +254,7 @@ def html_metadata(spark, sf_dir):
     """select p_partkey as page_id, goal, row_no, cells from (
       select p_partkey, 1 as goal, 2 as row_no, p_name || '|' || p_brand || '|' || p_type as cells from part
       union all select p_partkey, 1, 3, p_brand || '|' || p_size from part
+      union all select p_partkey, 1, 4, p_name || chr(10) || chr(10) || 'in' || '|é' from part
       union all select p_partkey, 2, 2, p_type from part)"""
 )
 def html_table_rows(spark, sf_dir):
@@ -259,6 +268,7 @@ def html_table_rows(spark, sf_dir):
             header,
             _row(_cell("td", c("p_name")), _cell("td", c("p_brand")), _cell("td", c("p_type"))),
             _row(_cell("td", c("p_brand")), _cell("td", c("p_size").cast("string"))),
+            F.lit("<tr><td>"), c("p_name"), F.lit("<table><tr><td>in</table><td>&eacute;"),
             F.lit("</table>"),
             opening,
             header,
@@ -270,13 +280,81 @@ def html_table_rows(spark, sf_dir):
     return rows.withColumn("cells", F.array_join("cells", "|"))
 
 
-# --- model: rows only --------------------------------------------------------------------
+@query(
+    """with rows as (select p_partkey as page_id, 1 as goal, 2 as row_no, p_name as target, p_brand as indicator from part
+      union all select p_partkey, 1, 3, p_name, p_type from part
+      union all select p_partkey, 2, 2, p_name, p_type from part)
+    select page_id, goal, target, cast(0 as bigint) as batch_id,
+      array_to_string(list(indicator order by row_no), ';') as indicators from rows group by 1, 2, 3"""
+)
+def target_pages(spark, sf_dir):
+    """From landed pages to nested lists; every page has its own goals, rows before a target are rejected."""
+    c = F.col
+    opening = "<table class=wide><tr><td>no</table><table class='wikitable'><tr><th>Target<th>Indicator"
+    pages = table(spark, sf_dir, "part").select(
+        c("p_partkey").alias("page_id"),
+        F.concat(
+            F.lit(opening + "<tr><td>"), c("p_name"), F.lit("<td>"), c("p_brand"), F.lit("<td>c<tr><td>"), c("p_type"),
+            F.lit("<td>c</table>" + opening + "<tr><td>"), c("p_name"), F.lit("<td>"), c("p_type"), F.lit("<td>c</table>"),
+            F.lit(opening + "<tr><td>lost<td>c</table>"),
+        ).alias("html"),
+    )
+    valid, _ = target_plans.goal_targets(target_plans.table_rows(pages))
+    lists = target_plans.target_documents(valid)
+    return lists.withColumn("indicators", F.array_join("indicators", ";"))
 
 
-@query()
+# --- model: trained on one part, evaluated on the other --------------------------------------
+
+_PARTS = f"""prepared as (select doc_id as row_id, {sql_process_text('text')} as text_clean, quality as label, 1 as is_abstract
+      from documents left join labels using (doc_id)),
+    usable as (select * from prepared where label is not null),
+    firsts as (select row_id as first_id from (select *, row_number() over
+      (partition by label order by {sql_key(42, 'row_id')}, row_id) as rn from usable) where rn <= 1),
+    rest as (select * from usable where row_id not in (select first_id from firsts)),
+    {sql_stratified('rest', 'label', 'row_id')},
+    held as (select tested_id as row_id from tested union select first_id from firsts),
+    train as (select * from usable where row_id not in (select row_id from held)),
+    counts as (select label, token, count(*) as n from (select label, unnest(string_split(text_clean, ' ')) as token
+      from train) where token <> '' group by 1, 2),
+    classes as (select label, count(*) as rows, (select count(*) from train) as every,
+      coalesce((select sum(n) from counts c where c.label = t.label), 0) + (select count(distinct token) from counts) as size
+      from train t group by label),
+    weights as (select label, token, cast(round(ln(n + 1.0::double) * 1000) as bigint) as weight from counts),
+    priors as (select label, cast(round(ln(rows::double / every) * 1000) as bigint) as prior,
+      cast(round(ln(1.0::double / size) * 1000) as bigint) as unseen from classes),
+    words as (select row_id, label as truth, token from (select row_id, label, unnest(string_split(text_clean, ' ')) as token
+      from usable where row_id in (select row_id from held)) where token <> ''),
+    lengths as (select u.row_id, u.label as truth, (select count(*) from words w where w.row_id = u.row_id) as size
+      from usable u where row_id in (select row_id from held)),
+    seen as (select row_id, w.label, sum(weight) as seen from words join weights w using (token) group by 1, 2),
+    sums as (select s.row_id, truth, p.label, prior + size * unseen + coalesce(seen, 0) as total
+      from lengths s cross join priors p left join seen on seen.row_id = s.row_id and seen.label = p.label),
+    best as (select row_id, truth, label as prediction from (select *, row_number() over
+      (partition by row_id order by total desc, label) as rn from sums) where rn = 1)"""
+
+
+@query(f"with {_PARTS} select row_id, truth, prediction from best")
 def classify(spark, sf_dir):
-    """Train on a cleaned corpus, score the same rows, report the metrics."""
-    abstracts, community, _, _ = sources(spark, sf_dir)
-    prepared = corpus.clean(corpus.from_abstracts(abstracts))
-    model = classifier.train(prepared)
-    return classifier.evaluate(classifier.score(model, prepared))
+    """Train on the train part of a rule-based split, predict its test part."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    rows = documents.join(labels, "doc_id", "left").filter(F.col("quality").isNotNull()).select(
+        F.col("doc_id").alias("row_id"), process_text(F.col("text")).alias("text_clean"),
+        F.col("quality").alias("label"), F.lit(1).alias("is_abstract"),
+    )
+    split = stage(sampling.rule_based_split(stage(rows, "labelled")), "split")
+    model = classifier.train_counts(split.filter("split = 'train'"))
+    test = split.filter("split = 'test'")
+    found = classifier.score_counts(model, test, "row_id")
+    return test.select("row_id", F.col("label").alias("truth")).join(found, "row_id")
+
+
+@query(
+    f"""select doc_id, array_to_string(string_split({sql_process_text('text')}, ' ')[1:256], ' ') as tokens from documents"""
+)
+def truncate_tokens(spark, sf_dir):
+    """The first tokens of each text: the cut-off as an operator of its own."""
+    documents = table(spark, sf_dir, "documents")
+    tokens = F.split(process_text(F.col("text")), " ")
+    return documents.select("doc_id", F.array_join(cut_tokens(tokens), " ").alias("tokens"))

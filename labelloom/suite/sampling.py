@@ -29,7 +29,7 @@ def sample_per_group(spark, sf_dir):
     return sampling.sample_per_group(_documents(spark, sf_dir), "lang", "doc_id", n=25, seed=7)
 
 
-def _sql_stratified(rows: str, label: str, row_id: str) -> str:
+def sql_stratified(rows: str, label: str, row_id: str) -> str:
     """CTEs ``quota`` and ``tested`` of a stratified 30 % split of ``rows``."""
     return f"""
     sizes as (select {label} as label, cast(count(*) as hugeint) as n from {rows} group by 1),
@@ -44,7 +44,7 @@ def _sql_stratified(rows: str, label: str, row_id: str) -> str:
 
 
 @query(
-    f"""with {_sql_stratified('documents', 'lang', 'doc_id')}
+    f"""with {sql_stratified('documents', 'lang', 'doc_id')}
     select doc_id, lang, case when tested_id is null then 'train' else 'test' end as split
     from documents left join tested on doc_id = tested_id"""
 )
@@ -58,7 +58,7 @@ _RULE_BASED = f"""with labelled as (
       (partition by label order by {sql_key(42, 'row_id')}, row_id) as rn
       from labelled where is_abstract = 1) where rn <= 1),
     rest as (select * from labelled where row_id not in (select first_id from firsts)),
-    {_sql_stratified('rest', 'label', 'row_id')},
+    {sql_stratified('rest', 'label', 'row_id')},
     split as (select row_id, label, case when tested_id is null and first_id is null then 'train'
       else 'test' end as split
       from labelled left join tested on row_id = tested_id left join firsts on row_id = first_id)"""

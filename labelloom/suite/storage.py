@@ -9,20 +9,21 @@ from labelloom.sources import readers, staging, writers
 from labelloom.suite.registry import query, sql_process_text, sql_random, table
 
 
-@query("select doc_id, text, lang from documents")
+@query("select doc_id, '  ' || chr(9) || text || '\"' || lang || '\" ' as text, lang from documents")
 def csv_round_trip(spark, sf_dir):
-    """Texts hold line feeds and quotes; they survive the CSV sink and source."""
+    """Texts hold line feeds, quotes and outer blanks; they survive the CSV sink and source."""
     path = staging.new_path(spark, "csv")
-    writers.write_csv(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), path)
+    text = F.concat(F.lit("  \t"), "text", F.lit('"'), "lang", F.lit('" ')).alias("text")
+    writers.write_csv(table(spark, sf_dir, "documents").select("doc_id", text, "lang"), path)
     return readers.read_csv(spark, path, "doc_id bigint, text string, lang string")
 
 
-@query("select event_id, event_type, value from events")
+@query("select event_id, event_type, value, props from events")
 def delimited_round_trip(spark, sf_dir):
     path = staging.new_path(spark, "tsv")
     events = table(spark, sf_dir, "events").select("event_id", "event_type", "value", "props")
-    events.write.option("header", True).option("sep", "\t").csv(path)
-    schema = "event_id bigint, event_type string, value double"
+    writers.write_csv(events, path, delimiter="\t")
+    schema = "event_id bigint, event_type string, value double, props string"
     return readers.read_data(spark, path, schema, "csv", delimiter="\t", multi_line=False)
 
 

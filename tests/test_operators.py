@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from labelloom import fixed
+from labelloom.functions import html
 from labelloom.operators import (
     batching,
     categories,
@@ -213,8 +214,14 @@ def test_path_nodes_round_trip(spark):
     assert lines == ["A", "---B", "------C", "---D"]
     trees = {r.label: json.loads(r.tree) for r in papers.tree_documents(nodes, "label").collect()}
     assert trees == {0: {"A": {"B": {"C": {}}, "D": {}}}, 1: {"A": {}}}
-    with pytest.raises(Exception, match="max_depth"):
-        papers.tree_documents(nodes, "label", max_depth=2).collect()
+
+
+def test_trees_of_any_depth(spark):
+    deep = " > ".join("ABCDEFG")
+    nodes = categories.path_nodes(spark.createDataFrame([(0, deep), (1, "X")], "label int, path string"), "label")
+    trees = {r.label: json.loads(r.tree) for r in papers.tree_documents(nodes, "label").collect()}
+    assert trees == {0: {"A": {"B": {"C": {"D": {"E": {"F": {"G": {}}}}}}}}, 1: {"X": {}}}
+    assert papers.tree_documents(nodes.limit(0), "label").count() == 0
 
 
 def test_tree_documents_quote_names(spark):
@@ -288,6 +295,26 @@ def test_wiki_tables(spark):
     ]
 
 
+def test_pages_do_not_mix(spark):
+    def page(name):
+        return (
+            f"<table class='wikitable'><tr><th>T<tr><td>{name}<td>i1<td>c<tr><td>i2<td>c"
+            "<tr><td>x<table><tr><td>in</table><td>c</table>"
+        )
+
+    pages = spark.createDataFrame([(1, page("A")), (2, page("B"))], "page_id int, html string")
+    valid, rejected = target_plans.goal_targets(target_plans.table_rows(pages))
+    assert rejected.count() == 0
+    assert values(valid, "page_id", "target", "indicator") == [
+        (1, "A", "i1"), (1, "A", "i2"), (1, "A", "x\n\nin"), (2, "B", "i1"), (2, "B", "i2"), (2, "B", "x\n\nin"),
+    ]
+
+
+def test_entities(spark):
+    df = spark.createDataFrame([("&amp;lt; &eacute;&#233;&#xE9; &nope; & &#0; A&#128512;",)], "v string")
+    assert df.select(html.decode_entities(df.v)).first()[0] == "&lt; ééé &nope; & &#0; A😀"
+
+
 def test_metadata_block(spark):
     html = (
         '<div class="ep_block"><table><tr><th>K:</th><td>a<br/>b</td></tr><tr><td>no key</td></tr>'

@@ -32,6 +32,27 @@ def test_csv_columns_by_name(spark, tmp_path):
     assert got.collect()[0] == ('a "q"\nb', 3, 0.5)
 
 
+def test_csv_headers_are_compared(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,text\n1,x\n")
+    (tmp_path / "b.csv").write_text("text,id\ny,2\n")
+    with pytest.raises(Exception, match="header"):
+        readers.read_csv(spark, str(tmp_path), "id int, text string").collect()
+
+
+@pytest.mark.parametrize("row", ["1,x,y,z", "1"])
+def test_broken_csv_rows_fail(spark, tmp_path, row):
+    (tmp_path / "a.csv").write_text(f"id,text,lang\n1,x,en\n{row}\n")
+    with pytest.raises(Exception):
+        readers.read_csv(spark, str(tmp_path), "id int, text string").collect()
+
+
+def test_csv_keeps_blanks_and_tabs(spark, tmp_path):
+    rows = [("  lead",), ("trail  ",), ("\ttab\t",), ('say "x, y"\nz',), ("",)]
+    path = writers.write_csv(spark.createDataFrame(rows, "text string").withColumn("n", F.lit(1)), str(tmp_path / "t"))
+    got = readers.read_csv(spark, path, "text string, n int")
+    assert values(got.fillna(""), "text") == sorted(rows)
+
+
 def test_malformed_json_fails(spark, tmp_path):
     path = tmp_path / "x.jsonl"
     path.write_text('{"ID": "1", "ABSTRACT": "t", "SDG": 1}\n{broken\n')

@@ -31,7 +31,7 @@ def test_query(spark, con, sf_dir, name):
 def test_sql_only_for_registered_queries():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert set(QUERIES) <= set(entry.queries())
-    assert set(QUERIES) - set(SQL) == {"classify"}
+    assert set(QUERIES) == set(SQL)
 
 
 def test_entry(spark):
