@@ -51,7 +51,7 @@ def stratified_quotas(counts: DataFrame, label: str, share: str) -> DataFrame:
     The test part has ceil(share * total) rows. Every label gets the integer
     part of its proportional number, and the largest remainders (ties: the
     smaller label first) get one more until the total is met. Integers only.
-    The frame has one row per class, so its windows are small.
+    The frame has one row per class, so its windows, which have no key, are small.
     """
     numerator, denominator = _share_fraction(share)
     whole = Window.partitionBy()
@@ -116,8 +116,10 @@ def stratified_split(
 ) -> DataFrame:
     """Add ``split`` (train or test) with the same label shares in both parts."""
     keyed = _keyed(df, seed, row_id)
+    # The source is read twice: for the staged keys, and for the result.
+    keys = stage(keyed.select(label, row_id, _KEY), "keys")
     cut = smallest_k_cut(
-        keyed, label, _KEY, row_id, lambda sizes: stratified_quotas(sizes, label, share)
+        keys, label, _KEY, row_id, lambda sizes: stratified_quotas(sizes, label, share)
     )
     marked = _below_cut(keyed, cut, label, row_id, "_test")
     return _with_split(marked, F.col("_test")).drop(_KEY, "_test")
@@ -127,42 +129,77 @@ def _with_split(df: DataFrame, is_test: Column) -> DataFrame:
     return df.withColumn("split", F.when(is_test, "test").otherwise("train"))
 
 
-def rule_based_split(
-    df: DataFrame,
-    label: str = "label",
-    row_id: str = "row_id",
-    eligible: str = "is_abstract",
-    n: int = 1,
-    share: str = fixed.TEST_SHARE,
-    seed: int | str = fixed.SPLIT_SEED,
+def split_keys(
+    df: DataFrame, label: str, row_id: str, eligible: str, seed: int | str = fixed.SPLIT_SEED
 ) -> DataFrame:
-    """Add ``split``: n abstracts per label go to test, the rest is stratified.
+    """The columns that decide about a rule-based split, staged: one pass over the source."""
+    return stage(_keyed(df, seed, row_id).select(label, row_id, eligible, _KEY), "keys")
 
-    Every label that has an abstract occurs in the test part.
-    """
-    keyed = _keyed(df, seed, row_id)
-    is_eligible = F.coalesce(F.col(eligible) == fixed.IS_ABSTRACT, F.lit(False))
+
+def rule_based_cuts(
+    keys: DataFrame, label: str, row_id: str, eligible: str, n: int = 1, share: str = fixed.TEST_SHARE
+) -> tuple[DataFrame, DataFrame]:
+    """Per label the last guaranteed row and the last row of the stratified test part."""
     guaranteed = first_per_group(
-        keyed.filter(is_eligible).select(label, _KEY, row_id),
+        keys.filter(_eligible(eligible)).select(label, _KEY, row_id),
         [label],
         [F.col(_KEY), F.col(row_id)],
         n,
     )
-    guaranteed_cut = stage(
-        guaranteed.groupBy(label).agg(F.max(F.struct(_KEY, row_id)).alias("cut")),
-        "guaranteed",
+    first = stage(
+        guaranteed.groupBy(label).agg(F.max(F.struct(_KEY, row_id)).alias("cut")), "guaranteed"
     )
-    marked = _below_cut(keyed, guaranteed_cut, label, row_id, "_first")
-    marked = marked.withColumn("_first", F.col("_first") & is_eligible)
-    rest = marked.filter(~F.col("_first"))
+    rest = _mark_first(keys, first, label, row_id, eligible).filter(~F.col("_first"))
     cut = smallest_k_cut(
         rest, label, _KEY, row_id, lambda sizes: stratified_quotas(sizes, label, share)
     )
+    return first, cut
+
+
+def _eligible(eligible: str) -> Column:
+    return F.coalesce(F.col(eligible) == fixed.IS_ABSTRACT, F.lit(False))
+
+
+def _mark_first(keyed: DataFrame, first: DataFrame, label: str, row_id: str, eligible: str) -> DataFrame:
+    marked = _below_cut(keyed, first, label, row_id, "_first")
+    return marked.withColumn("_first", F.col("_first") & _eligible(eligible))
+
+
+def apply_cuts(
+    df: DataFrame,
+    cuts: tuple[DataFrame, DataFrame],
+    label: str,
+    row_id: str,
+    eligible: str,
+    seed: int | str = fixed.SPLIT_SEED,
+) -> DataFrame:
+    """Add ``split`` by comparing every row with its label's two cuts; rows do not move."""
+    first, cut = cuts
+    marked = _mark_first(_keyed(df, seed, row_id), first, label, row_id, eligible)
     marked = _below_cut(marked, cut, label, row_id, "_test")
     is_test = F.col("_first") | F.col("_test")
     return _with_split(marked, is_test).drop(_KEY, "_first", "_test")
 
 
+def rule_based_split(
+    df: DataFrame,
+    label: str = "label",
+    row_id: str = "row_id",
+    eligible: str = "is_abstract",
+    n: int = 1,
+    share: str = fixed.TEST_SHARE,
+    seed: int | str = fixed.SPLIT_SEED,
+) -> DataFrame:
+    """Add ``split``: n abstracts per label go to test, the rest is stratified.
+
+    Every label that has an abstract occurs in the test part. The source is read
+    twice: for the staged keys, and for the result.
+    """
+    keys = split_keys(df, label, row_id, eligible, seed)
+    cuts = rule_based_cuts(keys, label, row_id, eligible, n, share)
+    return apply_cuts(df, cuts, label, row_id, eligible, seed)
+
+
 def bucket_split(
     df: DataFrame,
     row_id: str,
@@ -178,20 +215,16 @@ def bucket_split(
     return df.withColumn("split", F.when(first, names[0]).otherwise(names[1]))
 
 
-def exact_split(
-    df: DataFrame,
-    row_id: str,
-    names: tuple[str, str] = ("validation", "test"),
-    share: str = fixed.VALIDATION_SHARE,
-    seed: int | str = fixed.SPLIT_SEED,
-) -> DataFrame:
-    """Unstratified split whose second part has exactly ceil(share * n) rows."""
+def exact_share(
+    df: DataFrame, row_id: str, share: str = fixed.VALIDATION_SHARE, seed: int | str = fixed.SPLIT_SEED
+) -> Column:
+    """Condition that holds for exactly ceil(share * n) rows of the frame."""
     numerator, denominator = _share_fraction(share)
-    keyed = _keyed(df, seed, row_id).withColumn("_all", F.lit(0))
+    keys = stage(_keyed(df, seed, row_id).select(row_id, _KEY, F.lit(0).alias("_all")), "keys")
     exact = "decimal(19,0)"
     quota = F.ceil(F.col("n").cast(exact) * numerator / F.lit(denominator).cast(exact))
     cut = smallest_k_cut(
-        keyed,
+        keys,
         "_all",
         _KEY,
         row_id,
@@ -199,13 +232,24 @@ def exact_split(
     )
     # One row: the cut is a literal, not a join.
     found = cut.first()
-    second = F.lit(False)
-    if found is not None:
-        limit = F.struct(
-            F.lit(found["cut"][_KEY]), F.lit(found["cut"][row_id]).cast(df.schema[row_id].dataType)
-        )
-        second = F.struct(F.col(_KEY), F.col(row_id)) <= limit
-    return keyed.withColumn("split", F.when(second, names[1]).otherwise(names[0])).drop(_KEY, "_all")
+    if found is None:
+        return F.lit(False)
+    limit = F.struct(
+        F.lit(found["cut"][_KEY]), F.lit(found["cut"][row_id]).cast(df.schema[row_id].dataType)
+    )
+    return F.struct(random_key(seed, F.col(row_id)), F.col(row_id)) <= limit
+
+
+def exact_split(
+    df: DataFrame,
+    row_id: str,
+    names: tuple[str, str] = ("validation", "test"),
+    share: str = fixed.VALIDATION_SHARE,
+    seed: int | str = fixed.SPLIT_SEED,
+) -> DataFrame:
+    """Unstratified split whose second part has exactly ceil(share * n) rows."""
+    second = exact_share(df, row_id, share, seed)
+    return df.withColumn("split", F.when(second, names[1]).otherwise(names[0]))
 
 
 def shuffle_rows(
