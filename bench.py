@@ -28,7 +28,8 @@ HEADLINE = (
     "suffix_skip", "plan_vs_actual", "group_lines", "distinct_lines", "path_tree",
     "papers_per_category", "forward_fill", "group_indicators", "html_metadata",
     "html_table_rows", "weighted_f1", "argmax", "label_words", "json_fields",
-    "corpus_round_trip", "generated_round_trip",
+    "corpus_round_trip", "generated_round_trip", "classify", "lemma_table", "nested_lists",
+    "tree_documents", "three_way_exact_split", "target_pages",
 )
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from labelloom import fixed
 from labelloom.functions.text import process_text
 from labelloom.functions.text import truncate_tokens as cut_tokens
 from labelloom.operators import batching, categories, sampling, targets
@@ -137,6 +138,54 @@ def papers_per_category_first(spark, sf_dir):
     return categories.papers_per_category(_papers(spark, sf_dir), "label", "categories", "first")
 
 
+_PAPERS = """listed as (select cast(c_custkey as varchar) as id, r_name || ' > ' || n_name as first,
+      c_mktsegment || ' > ' || n_name as second
+      from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey),
+    labelled as (select cast(o_custkey as varchar) as id, arg_min(o_orderkey % 5, o_orderkey) as SDG from orders group by 1),
+    found as (select * from listed join labelled using (id))"""
+
+
+def _labelled_papers(spark, sf_dir):
+    """Customers with both category keys and another one; their first order gives the class."""
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment", "c_name")
+    placed = customers.join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(
+        table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")
+    )
+    first, second = (F.lit(key) for key in fixed.CATEGORY_KEYS)
+    meta = F.create_map(
+        first, F.concat_ws(" > ", "r_name", "n_name"), second, F.concat_ws(" > ", "c_mktsegment", "n_name"),
+        F.lit("Other"), F.col("c_name"),
+    )
+    listed = placed.select(F.col("c_custkey").cast("string").alias("id"), meta.alias("meta"))
+    labels = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").cast("string").alias("ID"), (F.col("o_orderkey") % 5).alias("SDG"), F.col("o_orderkey").alias("row_no")
+    )
+    return papers.label_papers(listed, labels)
+
+
+@query(
+    f"""with {_PAPERS}, lines as (select SDG, first as path from found union select SDG, second from found),
+    parts as (select SDG, string_split(path, ' > ') as parts from lines)
+    select SDG, parts[1] as path from parts union select SDG, parts[1] || ' > ' || parts[2] from parts"""
+)
+def category_job(spark, sf_dir):
+    """Papers with their first class, and the tree of both category keys of each class."""
+    found, _ = _labelled_papers(spark, sf_dir)
+    return papers.category_tree(found).select("SDG", F.array_join("path", " > ").alias("path"))
+
+
+@query(f"with {_PAPERS} select SDG, split_part(first, ' > ', 1) as parent, count(*) as papers from found group by 1, 2")
+def faculty_job(spark, sf_dir):
+    found, _ = _labelled_papers(spark, sf_dir)
+    return papers.faculty_counts(found)
+
+
+@query(f"with {_PAPERS} select id from listed where id not in (select id from labelled)")
+def unlabelled_papers(spark, sf_dir):
+    _, missing = _labelled_papers(spark, sf_dir)
+    return missing.select("id")
+
+
 # --- spanned tables: events in order, some of which start a target -----------------
 
 _FILLED = """shaped as (select event_type as goal, event_id as row_no,

@@ -129,10 +129,21 @@ def _sql_model_output(text: str) -> str:
     return f"trim(regexp_replace({plain}, '\\s{{2,}}', ' ', 'g'))"
 
 
-@query(f"select doc_id, {_sql_model_output('text')} as text from documents")
+@query(
+    f"""select doc_id, {_sql_model_output('text')} as text from (select doc_id,
+      case doc_id % 3 when 0 then 'Intro Abstract: ' || text when 1 then 'Abstract one Abstract ' || text
+      else text end as text from documents)"""
+)
 def clean_model_output(spark, sf_dir):
+    """One marker cuts the text, two or none leave it."""
+    case = F.col("doc_id") % 3
+    text = (
+        F.when(case == 0, F.concat(F.lit("Intro Abstract: "), "text"))
+        .when(case == 1, F.concat(F.lit("Abstract one Abstract "), "text"))
+        .otherwise(F.col("text"))
+    )
     documents = table(spark, sf_dir, "documents")
-    return documents.select("doc_id", T.clean_model_output(F.col("text")).alias("text"))
+    return documents.select("doc_id", T.clean_model_output(text).alias("text"))
 
 
 def _sql_synthetic(text: str, markers) -> str:
@@ -151,11 +162,14 @@ def clean_synth_text(spark, sf_dir):
 
 
 @query(
-    "select doc_id, regexp_replace(text, '(?m)^\\p{Nd}+\\.\\s+', '', 'g') as text from documents"
+    "select doc_id, regexp_replace('1. ' || text || chr(10) || '12.  end 3. x', '(?m)^\\p{Nd}+\\.\\s+', '', 'g') as text"
+    " from documents"
 )
 def numbered_lists(spark, sf_dir):
+    """Numbers go at the start of a line and stay within it."""
     documents = table(spark, sf_dir, "documents")
-    return documents.select("doc_id", T.strip_numbered_lists(F.col("text")).alias("text"))
+    text = F.concat(F.lit("1. "), "text", F.lit("\n12.  end 3. x"))
+    return documents.select("doc_id", T.strip_numbered_lists(text).alias("text"))
 
 
 @query(
@@ -176,9 +190,20 @@ def refusal_filter(spark, sf_dir):
     return filters.drop_refusals(conversations, "text", REFUSAL_TEST_MARKERS)
 
 
-@query("select doc_id, text from documents where lang = 'en' and text is not null")
+@query("select conv_id, turn from conversations where turn % 4 <> 0")
+def default_refusals(spark, sf_dir):
+    """Every fourth turn holds one of the library's own refusal markers."""
+    turns = table(spark, sf_dir, "conversations")
+    marker = F.element_at(F.array(*map(F.lit, fixed.REFUSAL_MARKERS)), (F.col("conv_id") % 3 + 1).cast("int"))
+    text = F.when(F.col("turn") % 4 == 0, F.concat("text", F.lit(" "), marker)).otherwise(F.col("text"))
+    return filters.drop_refusals(turns.withColumn("message", text)).select("conv_id", "turn")
+
+
+@query("select doc_id, text from documents where lang = 'en' and doc_id % 7 <> 0")
 def english_only(spark, sf_dir):
-    documents = table(spark, sf_dir, "documents")
+    """Every seventh text is missing."""
+    text = F.when(F.col("doc_id") % 7 != 0, F.col("text"))
+    documents = table(spark, sf_dir, "documents").withColumn("text", text)
     english = filters.only_language(filters.drop_missing(documents), column="lang")
     return english.select("doc_id", "text")
 
