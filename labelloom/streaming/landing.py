@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from labelloom import schemas
 from labelloom.plans.synthesis import ingest_responses
+from labelloom.sources.staging import stage
 from labelloom.sources.writers import append_generated
 
 
@@ -25,7 +26,9 @@ def ingest_landed(
 
     Each micro-batch is one run; its time stamp is its number, so a batch that
     is repeated after a failure replaces its own folder instead of adding to it.
+    The prompts are staged once, so no micro-batch draws and renders them again.
     """
+    prompts = stage(prompts, "prompts")
 
     def append(batch: DataFrame, number: int) -> None:
         records, _ = ingest_responses(prompts, batch)
