@@ -9,11 +9,16 @@
 4. In a bucket every node is compared with one hub only, the node with the most company
    over all bands, which for copies of an original is the original. So a bucket of n
    nodes gives n - 1 pairs. Every pair is verified by its weighted Jaccard similarity.
-5. Where a comparison with a hub fails, links between other members may remain. Two such
-   members that are similar to each other differ from the hub in similar ways: their
-   differences from the hub have a Jaccard similarity of at least a third. Samples of
-   the differences make the buckets of the next round. Rounds go on until no new pair
-   comes up.
+5. Where a comparison with a hub fails, links between other members may remain. The
+   members' differences from the hub tell which: what most members have in common
+   against the hub is the hub's own doing and is turned round, so that the differences
+   are those from the members' consensus. Two members are similar only if they share
+   enough of their differences, by weight, or if both are so near the consensus that
+   they are similar to the member nearest to it. As in prefix filtering, the most
+   frequent differences of a member that together weigh less than it must share with
+   anyone are left out; members that share one of the others are the buckets of the
+   next round, if they belong to more than one class so far. No possible link between
+   classes is lost by that. Rounds go on until no new pair comes up.
 6. Links are joined into classes by alternating star operations on tables.
 """
 
@@ -24,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from labelloom.llm import shingles
@@ -35,10 +40,10 @@ from labelloom.sources.staging import stage
 SIMILAR = 0.8
 #: Bands and samples in a band: a pair at the threshold is missed once in 4,600.
 BANDS, ROWS = 16, 4
-#: Samples of the difference from a hub, and the least similarity to the hub for which they are drawn.
-DIFFERENCE_SAMPLES, LEAST_SIMILAR = 16, 0.5
+#: Least similarity to a hub for which differences are looked into.
+LEAST_SIMILAR = 0.5
 #: Cells in each of the two rows of the sketch of document frequencies, and how it is cut for summing.
-SKETCH, SKETCH_PARTS = 1 << 20, 64
+SKETCH, SKETCH_PARTS = 1 << 19, 64
 #: How much rarer shingles weigh: from 1 for one in every document to 1 + RARITY for one in a single document.
 RARITY = 0.25
 
@@ -221,21 +226,23 @@ def hub_pairs(buckets: DataFrame) -> DataFrame:
 
 
 def compare(pairs: DataFrame, texts: DataFrame, weights) -> DataFrame:
-    """Similarity of every pair and, for fairly similar ones, samples of the difference from the hub."""
+    """Similarity and weight of every node and, if it is fairly similar to its hub, the difference: shingles and weights.
+
+    The difference holds every shingle whose weights are not the same, with the amount.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, sampler = weights.value, Sampler(DIFFERENCE_SAMPLES, seed=2)
+        own = weights.value
         last: tuple[int | None, tuple] = (None, ())
 
         def weighed(text: str) -> tuple[np.ndarray, np.ndarray, float]:
-            parts = list(shingles.groups([text]))
-            hashes, times = parts[0][1], parts[0][2]
+            _, hashes, times, _ = next(shingles.groups([text]))
             w = own.of(hashes, times)
             return hashes, w, float(w.sum())
 
         for batch in batches:
-            nodes, hubs, node_words, hub_words = (batch.column(k).to_pylist() for k in range(4))
-            similar, differences = [], []
+            hubs, node_words, hub_words = (batch.column(k).to_pylist() for k in range(1, 4))
+            similar, totals, differences, amounts = [], [], [], []
             for hub, text, hub_text in zip(hubs, node_words, hub_words):
                 if last[0] != hub:
                     last = hub, weighed(hub_text)
@@ -246,26 +253,93 @@ def compare(pairs: DataFrame, texts: DataFrame, weights) -> DataFrame:
                 every = total_v + total_w - common
                 s = common / every if every else 0.0
                 similar.append(s)
-                if s < LEAST_SIMILAR or s >= 1:
-                    differences.append([])
+                totals.append(total_w)
+                if s < LEAST_SIMILAR:
+                    differences.append(g[:0].view(np.int64))
+                    amounts.append(w[:0])
                     continue
-                # Only present or absent counts in a difference.
-                only = np.setxor1d(g, h, assume_unique=True)
-                if not len(only):
-                    differences.append([])
-                    continue
-                drawn = sampler.samples(only, np.ones(len(only)), np.zeros(1, np.int64))[0]
-                differences.append((drawn.view(np.uint32).astype(np.int64) * DIFFERENCE_SAMPLES + np.arange(DIFFERENCE_SAMPLES)).tolist())
+                a, b = w.copy(), v.copy()
+                a[at] -= v[to]
+                b[to] = 0
+                differences.append(np.concatenate([g[a != 0], h[b != 0]]).view(np.int64))
+                amounts.append(np.abs(np.concatenate([a[a != 0], b[b != 0]])))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(similar, pa.float64()), pa.array(differences, pa.list_(pa.int64()))],
-                ["node", "hub", "similarity", "differences"],
-            )
+                [
+                    batch.column(0), batch.column(1), pa.array(similar, pa.float64()), pa.array(totals, pa.float64()),
+                    pa.array(differences, pa.list_(pa.int64())), pa.array([x.astype(np.float32) for x in amounts], pa.list_(pa.float32())),
+                ],
+                ["node", "hub", "similarity", "total", "differences", "amounts"],
+            )
 
     left = pairs.join(texts, "node").select("node", "hub", F.col("words").alias("node_words"))
     both = left.join(texts.select(F.col("node").alias("hub"), F.col("words").alias("hub_words")), "hub")
     return both.select("node", "hub", "node_words", "hub_words").mapInArrow(
-        run, "node long, hub long, similarity double, differences array<long>"
+        run, "node long, hub long, similarity double, total double, differences array<long>, amounts array<float>"
+    )
+
+
+def further_pairs(compared: DataFrame, roots: DataFrame, similar: float) -> DataFrame:
+    """(node, hub) pairs of members of one hub that may be similar and are not in one class yet.
+
+    ``roots`` has the class so far of every linked node.
+    """
+    members = compared.filter(F.col("similarity") >= LEAST_SIMILAR)
+    for name in ("node", "hub"):
+        own = roots.select(F.col("node").alias(name), F.col("root").alias(f"{name}_root"))
+        members = members.join(own, name, "left").withColumn(f"{name}_root", F.coalesce(f"{name}_root", name))
+    members = stage(members, "dedup-members")
+    open_ = (
+        members.groupBy("hub")
+        .agg(F.count(F.lit(1)).alias("m"), F.max(F.col("node_root") != F.col("hub_root")).alias("open"), F.max("total").alias("most"))
+        .filter(F.col("open") & (F.col("m") > 1))
+        .select("hub", "m", "most")
+    )
+    difference = F.explode(F.arrays_zip("differences", "amounts")).alias("x")
+    rows = members.join(open_, "hub").select("hub", "m", "most", "node", "node_root", "total", difference)
+    rows = rows.select("hub", "m", "most", "node", "node_root", "total", F.col("x.differences").alias("d"), F.col("x.amounts").alias("w"))
+    counts = rows.groupBy("hub", "m", "d").agg(
+        F.count(F.lit(1)).alias("n"), (F.min("node_root") != F.max("node_root")).alias("open"), F.max("w").alias("w")
+    )
+    counts = stage(counts.filter("n > 1"), "dedup-differences")
+    turned = counts.filter("n * 2 > m")
+    # Distances from the consensus: own differences, less those turned, plus the turned ones that are not among them.
+    own = rows.groupBy("hub", "most", "node", "node_root", "total").agg(F.sum("w").alias("weight"))
+    inside = rows.select("hub", "d", "node", "w").join(turned.select("hub", "d"), ["hub", "d"])
+    inside = inside.groupBy("hub", "node").agg(F.sum("w").alias("inside"))
+    whole = turned.groupBy("hub").agg(F.sum("w").alias("whole"))
+    distance = F.col("weight") - 2 * F.coalesce("inside", F.lit(0.0)) + F.coalesce("whole", F.lit(0.0))
+    near = own.join(inside, ["hub", "node"], "left").join(whole, "hub", "left")
+    near = near.select("hub", "most", "node", "node_root", "total", F.greatest(F.lit(0.0), distance).alias("distance"))
+    nearest = near.groupBy("hub").agg(F.min(F.struct("distance", "node", "node_root")).alias("best"))
+    # What two similar texts may differ in, the other one being at most this heavy.
+    other = F.least(F.col("total") / similar, "most")
+    allowed = (1 - similar) / (1 + similar) * (F.col("total") + other) * 1.001
+    placed = near.join(nearest, "hub").withColumn("must", (F.col("distance") + F.col("best.distance") - allowed) / 2)
+    placed = stage(placed.select("hub", "node", "node_root", F.col("best.node").alias("nearest"), F.col("best.node_root").alias("nearest_root"), "must"), "dedup-distances")
+    to_nearest = placed.filter("must <= 0 and node_root != nearest_root").select("node", F.col("nearest").alias("hub"))
+    # Differences that members of two classes share: present ones, and turned ones that are absent.
+    told = counts.filter("n * 2 <= m and open").select("hub", "d", "n")
+    shared = rows.select("hub", "node", "d", "w").join(told, ["hub", "d"])
+    absent = turned.filter("m - n > 1").select("hub", F.struct("d", "w", (F.col("m") - F.col("n")).alias("n")).alias("x"))
+    absent = absent.groupBy("hub").agg(F.collect_list("x").alias("turned"))  # at most the words of two texts
+    lacking = members.join(absent, "hub").select(
+        "hub", "node", F.explode(F.filter("turned", lambda x: ~F.array_contains("differences", x["d"]))).alias("x")
+    )
+    shared = shared.unionByName(lacking.select("hub", "node", "x.d", "x.w", "x.n"))
+    common = Window.partitionBy("hub", "node").orderBy(F.col("n").desc(), "d")
+    kept = (
+        shared.withColumn("so_far", F.sum("w").over(common))
+        .join(placed.select("hub", "node", "must", "node_root"), ["hub", "node"])
+        .filter(F.col("so_far") >= F.col("must"))
+        .select(F.xxhash64("hub", "d").alias("bucket"), "node", "node_root")
+    )
+    chosen = (
+        kept.groupBy("bucket")
+        .agg(F.min("node").alias("hub"), (F.min("node_root") != F.max("node_root")).alias("open"))
+        .filter("open")
     )
+    pairs = kept.join(chosen.select("bucket", "hub"), "bucket").filter("node != hub").select("node", "hub")
+    return pairs.unionByName(to_nearest).distinct()
 
 
 # --- classes -----------------------------------------------------------------------
@@ -295,7 +369,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> DataFrame:
-    """One row per document: key, class and number of texts linked with its own.
+    """One row per document: key, class and number of verified links of its text, as far as the class needed them.
 
     ``class_id`` is the least key of the class; texts with equal normalised words are
     always in one class, and so are all null and empty texts; other texts without words
@@ -322,19 +396,13 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", simi
         found = compared.filter(F.col("similarity") >= similar).select(F.col("node").alias("a"), F.col("hub").alias("b"))
         links = found if links is None else links.unionByName(found)
         done = pairs if done is None else done.unionByName(pairs)
-        # Buckets of like differences from one hub, if a member failed there.
-        parts = compared.select(
-            "node", "hub", (F.col("similarity") < similar).cast("int").alias("failed"), F.explode("differences").alias("difference")
-        ).select("node", "failed", F.xxhash64("hub", "difference").alias("bucket"))
-        open_ = parts.groupBy("bucket").agg(F.max("failed").alias("failed"), F.count(F.lit(1)).alias("n")).filter("failed = 1 and n > 1")
-        buckets = parts.join(open_.select("bucket"), "bucket", "left_semi").select("bucket", "node").distinct()
-        more = hub_pairs(buckets)
+        linked = components(links)
+        more = further_pairs(compared, linked, similar)
         old = done.select("node", "hub").unionByName(done.select(F.col("hub").alias("node"), F.col("node").alias("hub")))
         pairs = stage(more.join(old, ["node", "hub"], "left_anti"), "dedup-pairs")
         if pairs.isEmpty():
             break
-    linked = components(links)
-    degrees = links.select("a", "b").union(links.select("b", "a")).toDF("node", "other").distinct().groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    degrees = links.select("a", "b").union(links.select("b", "a")).toDF("node", "other").groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     known = nodes.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = known.groupBy("root").agg(F.min("key").alias("class_id"))
     classes = known.join(least, "root").join(degrees, "node", "left").select("node", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
