@@ -3,8 +3,15 @@
 Each byte is coded as eight binary decisions. Every decision has a context tree over the
 bytes before it; a node holds the Krichevsky-Trofimov estimate of its zeros and ones, and
 the estimates of all depths are mixed with the weights that the training texts give them.
-The result for every context and byte is a table of code lengths whose size is fixed by
-the depth: 256 to the power depth + 1, so it can be sent to all tasks.
+
+The model is a staged table that grows with the text. Counts of (context, byte) are summed
+up for all texts; those that only held-out texts have count zero, so that every byte that
+is ever scored is in the table. The trees are cut ``SPLIT`` bytes deep: what lies below is
+one part for each context of that length, worked on in numpy by tasks that get whole parts
+(at most ``256 ** (DEPTH - SPLIT + 1)`` rows each, whatever the input); what lies above is
+grouped and joined on the context without its oldest byte, one depth after the other.
+The code lengths of bytes in context that make up at least ``1 / HOT_GRAMS`` of all are looked
+up in a table sent to all tasks; all others are counted within a text and joined.
 
 The unigram base score needs the count of every word. Words that make up at least
 ``1 / HOT`` of all tokens (so at most ``HOT`` of them) are looked up in a table sent to
@@ -19,24 +26,30 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelloom.llm.common import is_training, map_texts, query, table
 from labelloom.sources.staging import stage
 
-#: Bytes of context. The table has 256 ** (DEPTH + 1) cells of four bytes.
-DEPTH = 2
+#: Bytes of context.
+DEPTH = 5
+#: Bytes of context at which the trees are cut into parts.
+SPLIT = 3
 #: Byte that UTF-8 never uses: it stands before a text and ends it.
 EDGE = 255
 #: Most words that are looked up in a table sent to all tasks.
 HOT = 1 << 16
+#: Most bytes in context whose code lengths are looked up in a table sent to all tasks.
+HOT_GRAMS = 1 << 21
 #: Rows with ``crc32 % 5`` equal to this are held out.
 HELD_OUT = 1
 #: Distinct words a task gathers before it passes their counts on.
 GATHERED = 500_000
 #: Bytes of texts handled at once.
 BLOCK = 1 << 22
+#: Distinct bytes in context a task gathers before it passes their counts on, and rows of the trees it handles at once.
+GATHERED_GRAMS, TREE_ROWS = 1 << 20, 1 << 15
 
 
 def lowered(text: str) -> bytes:
@@ -57,29 +70,49 @@ def grams(raw: bytes, depth: int) -> np.ndarray:
 
 
 def gram_counts(docs: DataFrame, depth: int) -> DataFrame:
-    """Counts of context and byte over texts; tasks sum up their own rows first."""
+    """Counts of context and byte over texts, ``n`` in those not held out and ``times`` in all; tasks sum up their own rows first."""
+    schema = pa.schema([("gram", pa.int64()), ("n", pa.int64()), ("times", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        waiting, size = [], 0
+        waiting, size, runs = ([], []), 0, []
+
+        def counted():
+            for held, parts in enumerate(waiting):
+                if parts:
+                    found, times = np.unique(np.concatenate(parts), return_counts=True)
+                    runs.append((found, times * (1 - held), times))
+                    parts.clear()
 
         def merged():
-            found, n = np.unique(np.concatenate(waiting), return_counts=True) if waiting else (keys[:0], counts[:0])
-            every, where = np.unique(np.concatenate([keys, found]), return_inverse=True)
-            return every, np.bincount(where, np.concatenate([counts, n]), len(every)).astype(np.int64)
+            if len(runs) > 1:
+                keys, n, times = (np.concatenate(x) for x in zip(*runs))
+                every, where = np.unique(keys, return_inverse=True)
+                runs[:] = [(every, *(np.bincount(where, x, len(every)).astype(np.int64) for x in (n, times)))]
+
+        def flushed():
+            for keys, n, times in runs:
+                for at in range(0, len(keys), 100_000):
+                    own = slice(at, at + 100_000)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[own]), pa.array(n[own]), pa.array(times[own])], schema=schema)
+            runs.clear()
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                waiting.append(grams(lowered(text), depth))
-                size += len(waiting[-1])
+            for text, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                waiting[held].append(grams(lowered(text), depth))
+                size += len(waiting[held][-1])
                 if size >= BLOCK:
-                    keys, counts = merged()
-                    waiting, size = [], 0
-        keys, counts = merged()
-        for at in range(0, len(keys), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 100_000]), pa.array(counts[at : at + 100_000])], ["gram", "n"])
+                    counted()
+                    size = 0
+                    if sum(len(r[0]) for r in runs) >= GATHERED_GRAMS:
+                        merged()
+                        if sum(len(r[0]) for r in runs) >= GATHERED_GRAMS // 2:
+                            yield from flushed()
+        counted()
+        merged()
+        yield from flushed()
 
-    return docs.select("_text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    counts = docs.select("_text", "held_out").mapInArrow(run, "gram long, n long, times long")
+    return counts.groupBy("gram").agg(F.sum("n").alias("n"), F.sum("times").alias("times"))
 
 
 def _log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
@@ -109,12 +142,94 @@ def _bit_counts(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return sums[:, 2:512:2], sums[:, 3:512:2]  # column k belongs to node k + 1
 
 
-def code_table(keys: np.ndarray, counts: np.ndarray, depth: int = DEPTH) -> np.ndarray:
+# A decision's place at a depth is one number: its context, and its node (1 to 255) in the last byte.
+
+
+def _above(places, depth: int):
+    """Places of the same decisions in the context without its oldest byte, from ``depth`` bytes."""
+    return (places & ((1 << 8 * depth) - 1 & -256)) | (places & 255) if depth else places
+
+
+def _weighted(zeros: np.ndarray, ones: np.ndarray, below: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weighted log-probability, weight of the own estimate, own estimate of a one; ``below`` is None at full depth."""
+    log_kt = _log_kt(zeros, ones)
+    log_weighted = log_kt if below is None else np.logaddexp(log_kt, below) - math.log(2)
+    share = np.ones_like(log_kt) if below is None else np.exp(log_kt - math.log(2) - log_weighted)
+    return log_weighted, share, (ones + 0.5) / (zeros + ones + 1)
+
+
+def _bits(keys: np.ndarray) -> np.ndarray:
+    return (keys[:, None] >> np.arange(7, -1, -1)) & 1
+
+
+def subtrees(keys: np.ndarray, counts: np.ndarray, top: int, depth: int) -> tuple[list[tuple], tuple, np.ndarray]:
+    """Trees from ``top`` to ``depth`` bytes of context.
+
+    Gives (places, weight of the own estimate, own estimate of a one) of each depth from the
+    top, (zeros, ones, weighted log-probability) at the top, and where the eight decisions
+    of every key are at full depth.
+    """
+    bits = _bits(keys)
+    nodes = (1 << np.arange(8)) | ((keys & 255)[:, None] >> np.arange(8, 0, -1))
+    own = ((keys & ((1 << 8 * (depth + 1)) - 1 & -256))[:, None] | nodes).ravel()
+    places, deepest = np.unique(own, return_inverse=True)
+    deepest = deepest.ravel()
+    ones = np.bincount(deepest, (bits * counts[:, None]).ravel(), len(places))
+    zeros = np.bincount(deepest, ((1 - bits) * counts[:, None]).ravel(), len(places))
+    below, levels = None, []
+    for d in range(depth, top - 1, -1):
+        log_weighted, share, estimate = _weighted(zeros, ones, below)
+        levels.append((places, share, estimate))
+        if d > top:
+            upper, where = np.unique(_above(places, d), return_inverse=True)
+            below = np.bincount(where, log_weighted, len(upper))
+            zeros, ones_ = np.bincount(where, zeros, len(upper)), np.bincount(where, ones, len(upper))
+            places, ones = upper, ones_
+    return levels[::-1], (zeros, ones, log_weighted), deepest
+
+
+def _mixed(levels: list[tuple], top: int, settled: np.ndarray, left: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places, what they and shorter contexts have settled, and what is left to longer ones, of each depth from the top."""
+    above = None
+    for d, (places, share, estimate) in enumerate(levels, top):
+        if above is not None:
+            at = np.searchsorted(above, _above(places, d))
+            settled, left = settled[at], left[at]
+        settled, left = settled + left * share * estimate, left * (1 - share)
+        above = places
+        yield places, settled, left
+
+
+class SparseTable:
+    """log10 probabilities of bytes in context, by the decisions that occur; indexed with context and byte."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, depth: int):
+        levels, _, _ = subtrees(keys, counts, 0, depth)
+        n = len(levels[0][0])
+        self.levels = [(places, settled + left * 0.5) for places, settled, left in _mixed(levels, 0, np.zeros(n), np.ones(n))]
+
+    def __getitem__(self, keys: np.ndarray) -> np.ndarray:
+        keys = np.asarray(keys, np.int64)
+        nodes = (1 << np.arange(8)) | ((keys & 255)[:, None] >> np.arange(8, 0, -1))
+        ones = np.full(nodes.shape, 0.5)
+        for d, (places, one) in enumerate(self.levels):
+            own = (keys & ((1 << 8 * (d + 1)) - 1 & -256))[:, None] | nodes
+            at = np.minimum(np.searchsorted(places, own), max(len(places) - 1, 0))
+            if len(places):
+                ones = np.where(places[at] == own, one[at], ones)
+        return np.where(_bits(keys) == 1, np.log10(ones), np.log10(1 - ones)).sum(axis=1)
+
+
+def code_table(keys: np.ndarray, counts: np.ndarray, depth: int = DEPTH) -> np.ndarray | SparseTable:
     """log10 probability of every byte after every context, from the training counts.
 
+    The plain form in memory: an array of 256 ** (depth + 1) cells up to depth 2, beyond that a table of what occurs.
+
     Goes up from the longest contexts to get the weights, then down to mix. Works on the
     contexts that occur; all others share what their shorter context gives.
     """
+    if depth > 2:
+        return SparseTable(keys, counts, depth)
     levels = []  # from the longest: context numbers, byte counts
     context, symbol = keys >> 8, keys & 255
     for d in range(depth, -1, -1):
@@ -163,6 +278,116 @@ def _symbols(ones: np.ndarray) -> np.ndarray:
     return out[:, 256:]
 
 
+def _whole_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of rows in the order of the first column, in blocks that never cut a part with one number."""
+    waiting, size = [], 0
+    for batch in batches:
+        waiting.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+        size += batch.num_rows
+        if size >= TREE_ROWS:
+            columns = [np.concatenate(x) for x in zip(*waiting)]
+            cut = int(np.searchsorted(columns[0], columns[0][-1]))
+            if cut:
+                yield [c[:cut] for c in columns]
+            waiting, size = [[c[cut:] for c in columns]], size - cut
+    if size:
+        yield [np.concatenate(x) for x in zip(*waiting)]
+
+
+def code_lengths(counts: DataFrame, depth: int) -> DataFrame:
+    """(gram, code): log10 probability of every row of the counts (``gram``, ``n``)."""
+    top = min(SPLIT, depth)
+    part = F.shiftright("gram", 8).bitwiseAND((1 << 8 * top) - 1)
+    rows = counts.select(part.alias("part"), "gram", F.col("n").cast("double").alias("n"))
+
+    def up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, keys, n in _whole_parts(batches):
+            levels, sums, _ = subtrees(keys, n, top, depth)
+            yield pa.RecordBatch.from_arrays([pa.array(levels[0][0]), *map(pa.array, sums)], ["place", "zeros", "ones", "weighted"])
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            zeros, ones, below = (batch.column(k).to_numpy() for k in (1, 2, 3))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *map(pa.array, _weighted(zeros, ones, below))], ["place", "zeros", "ones", "weighted", "share", "estimate"])
+
+    def down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, keys, n, settled, left in _whole_parts(batches):
+            state, own = np.flatnonzero(n < 0), np.flatnonzero(n >= 0)
+            state = state[np.argsort(keys[state])]
+            keys, n = keys[own], n[own]
+            levels, _, where = subtrees(keys, n, top, depth)
+            for _, ones, _ in _mixed(levels, top, settled[state], left[state]):
+                pass  # at full depth nothing is left
+            ones = ones[where].reshape(-1, 8)
+            codes = np.where(_bits(keys) == 1, np.log10(ones), np.log10(1 - ones)).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(codes)], ["gram", "code"])
+
+    def above(d: int) -> Column:
+        return F.col("place").bitwiseAND((1 << 8 * d) - 1 & -256).bitwiseOR(F.col("place").bitwiseAND(255))
+
+    kind = "place long, zeros double, ones double, weighted double"
+    lowest = stage(rows.repartition("part").sortWithinPartitions("part").mapInArrow(up, kind), "tree-parts")
+    levels = []
+    for d in range(top, 0, -1):
+        lower = levels[-1] if levels else lowest
+        sums = lower.groupBy(above(d).alias("place")).agg(*(F.sum(x).alias(x) for x in ("zeros", "ones", "weighted")))
+        levels.append(stage(sums.mapInArrow(weigh, kind + ", share double, estimate double"), "tree-level"))
+    state = None
+    for d, level in enumerate(reversed(levels)):
+        if state is None:
+            level = level.withColumn("settled", F.lit(0.0)).withColumn("left", F.lit(1.0))
+        else:
+            level = level.withColumn("upper", above(d)).join(state, "upper")
+        state = level.select(
+            F.col("place").alias("upper"), (F.col("settled") + F.col("left") * F.col("share") * F.col("estimate")).alias("settled"),
+            (F.col("left") * (1 - F.col("share"))).alias("left"),
+        )
+    if state is None:
+        start = lowest.withColumn("settled", F.lit(0.0)).withColumn("left", F.lit(1.0))
+    else:
+        start = lowest.withColumn("upper", above(top)).join(stage(state, "tree-mixed"), "upper")
+    start = start.select(F.shiftright("place", 8).alias("part"), F.col("place").alias("gram"), F.lit(-1.0).alias("n"), "settled", "left")
+    both = rows.withColumn("settled", F.lit(0.0)).withColumn("left", F.lit(0.0)).unionByName(start)
+    return both.repartition("part").sortWithinPartitions("part").mapInArrow(down, "gram long, code double")
+
+
+def row_grams(docs: DataFrame, hot, depth: int) -> DataFrame:
+    """(row, gram, n, known) of each text: the bytes in context that are not in the table of hot ones and their times.
+
+    Every text has one row more, with a number below 0 that no byte in context has, for the
+    code lengths of those that are in the table.
+    """
+    schema = pa.schema([("row", pa.int64()), ("gram", pa.int64()), ("n", pa.int64()), ("known", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, codes = hot.value
+        for batch in batches:
+            rows, found, times, known, size = [], [], [], [], 0
+            for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                raw, total = lowered(text), 0.0
+                for at in range(0, len(raw) + 1, BLOCK):  # a long text in blocks
+                    part = grams(raw[max(0, at - depth) : at + BLOCK], depth)
+                    part = part[min(at, depth) :] if at else part
+                    if at + BLOCK < len(raw) + 1:
+                        part = part[:BLOCK]
+                    if len(keys):
+                        places = np.minimum(np.searchsorted(keys, part), len(keys) - 1)
+                        hit = keys[places] == part
+                        total += float(codes[places[hit]].sum())
+                        part = part[~hit]
+                    rest, n = np.unique(part, return_counts=True)
+                    rows.append(np.full(len(rest), row)), found.append(rest), times.append(n), known.append(np.zeros(len(rest)))
+                    size += len(rest)
+                rows.append([row]), found.append([-1 - (row & 0x7FFFFFFFFFFFFFF)]), times.append([0]), known.append([total])
+                if size >= 100_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (rows, found, times, known)], schema=schema)
+                    rows, found, times, known, size = [], [], [], [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (rows, found, times, known)], schema=schema)
+
+    return docs.select("row", "_text").mapInArrow(run, "row long, gram long, n long, known double")
+
+
 # --- words ---------------------------------------------------------------------------
 
 
@@ -237,14 +462,16 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", depth: int = D
     n, v = sums.n, sums.v
     frequent = vocabulary.filter(F.col("c") * HOT >= n).collect()  # HOT rows at most
     hot = spark.sparkContext.broadcast({bytes(r.word): r.c for r in frequent})
-    found = gram_counts(training, depth).toPandas()  # 256 ** (depth + 1) rows at most
-    codes = spark.sparkContext.broadcast(
-        code_table(found["gram"].to_numpy(np.int64), found["n"].to_numpy(np.float64), depth)
-    )
+    grams_ = stage(gram_counts(docs, depth), "gram-counts")
+    codes = stage(code_lengths(grams_.select("gram", "n"), depth), "gram-codes")
+    every = grams_.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
+    common = grams_.filter(F.col("times") * HOT_GRAMS >= every).join(codes, "gram").select("gram", "code").toArrow()  # HOT_GRAMS rows at most
+    keys, values = (common.column(k).to_numpy() for k in range(2))
+    order = np.argsort(keys)
+    looked_up = spark.sparkContext.broadcast((keys[order], values[order]))
 
     def make():
         counts, log10 = hot.value, math.log10
-        cells = codes.value
 
         def one(value: str) -> tuple:
             words = words_of(value)
@@ -254,30 +481,24 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", depth: int = D
                 if c is not None:
                     known += times
                     base += times * log10(c + 0.5)
-            raw = lowered(value)
-            total = 0.0
-            for at in range(0, len(raw) + 1, BLOCK):  # a long text in blocks
-                part = grams(raw[max(0, at - depth) : at + BLOCK], depth)
-                part = part[min(at, depth) :] if at else part
-                if at + BLOCK < len(raw) + 1:
-                    part = part[:BLOCK]
-                total += float(cells[part].sum(dtype=np.float64))
-            return len(words), known, base, total, len(raw) + 1
+            return len(words), known, base, len(lowered(value)) + 1
 
         return one
 
     rows = map_texts(
         docs, {"key": "key", "row": "row", "held_out": "held_out"}, "_text", make,
-        "n_tokens long, hot_known long, hot_base double, score double, n_bytes long",
+        "n_tokens long, hot_known long, hot_base double, n_bytes long",
     )
     rare = rare_words(docs, hot).join(vocabulary, "word", "left")
     c = F.coalesce("c", F.lit(0))
     sums_ = rare.groupBy("row").agg(
         F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("rare_known"), F.sum(F.col("n") * F.log10(c + 0.5)).alias("rare_base")
     )
+    coded = row_grams(docs, looked_up, depth).join(codes, "gram", "left").groupBy("row")
+    coded = coded.agg(F.sum(F.col("known") + F.col("n") * F.coalesce("code", F.lit(0.0))).alias("coded"))
     # Repeated rows share one number, so their sums hold every one of them.
     times = rows.groupBy("row").agg(F.count(F.lit(1)).alias("times"), *(F.first(x).alias(x) for x in rows.columns if x != "row"))
-    both = times.join(sums_, "row", "left").select(
+    both = times.join(sums_, "row", "left").join(coded, "row").withColumn("score", F.col("coded") / F.col("times")).select(
         "*", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("copy")
     )
     rare_base = F.coalesce(F.col("rare_base") / F.col("times"), F.lit(0.0))

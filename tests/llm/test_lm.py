@@ -129,3 +129,37 @@ def test_odd_inputs(spark):
     only_held = spark.createDataFrame([(k, "abc") for k in range(60) if zlib.crc32(str(k).encode()) % 5 == 1], "doc_id long, text string")
     for r in lm.score(only_held).collect():
         assert r.train_tokens == 0 and math.isclose(r.bits_per_byte, 8, rel_tol=1e-6) and r.n_known == 0
+
+
+def test_long_contexts_leave_a_trace_and_distributed_codes_equal_recursion(spark, monkeypatch):
+    monkeypatch.setattr(lm, "HOT_GRAMS", 8)  # most codes are joined
+    monkeypatch.setattr(lm, "TREE_ROWS", 50)
+    draw = random.Random(4)
+    # After "qrst" comes what stood five bytes before it: shorter contexts cannot tell.
+    docs = [(k, " ".join(f"{c}qrst{c}" for c in (draw.choice("ab") for _ in range(30)))) for k in range(40)] + [(41, "zz new"), (3, "a"), (3, "a")]
+    counts = Counter()
+    for k, t in docs:
+        if zlib.crc32(str(k).encode()) % 5 != 1:
+            counts.update(lm.grams(lm.lowered(t), lm.DEPTH).tolist())
+    assert lm.DEPTH >= 5
+    tree = Tree(counts, lm.DEPTH)
+    known = {}
+
+    def code(gram):
+        if gram not in known:
+            known[gram] = tree.log10(gram)
+        return known[gram]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    found = sorted((r.doc_id, r.score) for r in lm.score(df).collect())
+    plain = sorted((k, sum(map(code, lm.grams(lm.lowered(t), lm.DEPTH).tolist()))) for k, t in docs)
+    assert [k for k, _ in found] == [k for k, _ in plain] and np.allclose([s for _, s in found], [s for _, s in plain], rtol=1e-9)
+    long = [s for (k, s), (_, t) in zip(plain, sorted(docs)) if len(t) > 20]
+    two = Tree(Counter({g: n for g, n in _shortened(counts, 2).items()}), 2)
+    assert np.mean(long) > 1.5 * np.mean([sum(two.log10(g) for g in lm.grams(lm.lowered(docs[0][1]), 2).tolist())])
+
+
+def _shortened(counts, depth):
+    out = Counter()
+    for gram, n in counts.items():
+        out[gram & ((1 << 8 * (depth + 1)) - 1)] += n
+    return out
