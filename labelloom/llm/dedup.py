@@ -40,8 +40,8 @@ from labelloom.sources.staging import stage
 SIMILAR = 0.8
 #: Bands and samples in a band: a pair at the threshold is missed once in 4,600.
 BANDS, ROWS = 16, 4
-#: Least similarity to a hub for which differences are looked into.
-LEAST_SIMILAR = 0.5
+#: Changed bits of a difference that the node has more of than its hub.
+MORE = -0x61C8864680B583EB
 #: Cells in each of the two rows of the sketch of document frequencies, and how it is cut for summing.
 SKETCH, SKETCH_PARTS = 1 << 19, 64
 #: How much rarer shingles weigh: from 1 for one in every document to 1 + RARITY for one in a single document.
@@ -226,9 +226,10 @@ def hub_pairs(buckets: DataFrame) -> DataFrame:
 
 
 def compare(pairs: DataFrame, texts: DataFrame, weights) -> DataFrame:
-    """Similarity and weight of every node and, if it is fairly similar to its hub, the difference: shingles and weights.
+    """Similarity and weights of node and hub, and their difference: shingles and weights.
 
-    The difference holds every shingle whose weights are not the same, with the amount.
+    The difference holds every shingle whose weights are not the same, with the amount;
+    the bits of those that the node has more of are changed by ``MORE``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,7 +243,7 @@ def compare(pairs: DataFrame, texts: DataFrame, weights) -> DataFrame:
 
         for batch in batches:
             hubs, node_words, hub_words = (batch.column(k).to_pylist() for k in range(1, 4))
-            similar, totals, differences, amounts = [], [], [], []
+            similar, totals, hub_totals, differences, amounts = [], [], [], [], []
             for hub, text, hub_text in zip(hubs, node_words, hub_words):
                 if last[0] != hub:
                     last = hub, weighed(hub_text)
@@ -254,36 +255,48 @@ def compare(pairs: DataFrame, texts: DataFrame, weights) -> DataFrame:
                 s = common / every if every else 0.0
                 similar.append(s)
                 totals.append(total_w)
-                if s < LEAST_SIMILAR:
-                    differences.append(g[:0].view(np.int64))
-                    amounts.append(w[:0])
-                    continue
+                hub_totals.append(total_v)
                 a, b = w.copy(), v.copy()
                 a[at] -= v[to]
-                b[to] = 0
-                differences.append(np.concatenate([g[a != 0], h[b != 0]]).view(np.int64))
-                amounts.append(np.abs(np.concatenate([a[a != 0], b[b != 0]])))
+                b[to] -= w[at]
+                differences.append(np.concatenate([g[a > 0].view(np.int64) ^ np.int64(MORE), h[b > 0].view(np.int64)]))
+                amounts.append(np.concatenate([a[a > 0], b[b > 0]]))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0), batch.column(1), pa.array(similar, pa.float64()), pa.array(totals, pa.float64()),
+                    batch.column(0), batch.column(1), pa.array(similar, pa.float64()), pa.array(totals, pa.float64()), pa.array(hub_totals, pa.float64()),
                     pa.array(differences, pa.list_(pa.int64())), pa.array([x.astype(np.float32) for x in amounts], pa.list_(pa.float32())),
                 ],
-                ["node", "hub", "similarity", "total", "differences", "amounts"],
+                ["node", "hub", "similarity", "total", "hub_total", "differences", "amounts"],
             )
 
     left = pairs.join(texts, "node").select("node", "hub", F.col("words").alias("node_words"))
     both = left.join(texts.select(F.col("node").alias("hub"), F.col("words").alias("hub_words")), "hub")
     return both.select("node", "hub", "node_words", "hub_words").mapInArrow(
-        run, "node long, hub long, similarity double, total double, differences array<long>, amounts array<float>"
+        run, "node long, hub long, similarity double, total double, hub_total double, differences array<long>, amounts array<float>"
     )
 
 
+def both_ways(compared: DataFrame) -> DataFrame:
+    """Compared pairs, each with either text as the hub."""
+    other = compared.select(
+        F.col("hub").alias("node"), F.col("node").alias("hub"), "similarity", F.col("hub_total").alias("total"), F.col("total").alias("hub_total"),
+        F.transform("differences", lambda d: d.bitwiseXOR(F.lit(MORE))).alias("differences"), "amounts",
+    )
+    return compared.unionByName(other)
+
+
+def once(pairs: DataFrame) -> DataFrame:
+    """Every pair in one direction only."""
+    ends = pairs.groupBy(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).agg(F.min(F.struct("node", "hub")).alias("p"))
+    return ends.select("p.node", "p.hub")
+
+
 def further_pairs(compared: DataFrame, roots: DataFrame, similar: float) -> DataFrame:
     """(node, hub) pairs of members of one hub that may be similar and are not in one class yet.
 
     ``roots`` has the class so far of every linked node.
     """
-    members = compared.filter(F.col("similarity") >= LEAST_SIMILAR)
+    members = compared
     for name in ("node", "hub"):
         own = roots.select(F.col("node").alias(name), F.col("root").alias(f"{name}_root"))
         members = members.join(own, name, "left").withColumn(f"{name}_root", F.coalesce(f"{name}_root", name))
@@ -317,15 +330,21 @@ def further_pairs(compared: DataFrame, roots: DataFrame, similar: float) -> Data
     placed = near.join(nearest, "hub").withColumn("must", (F.col("distance") + F.col("best.distance") - allowed) / 2)
     placed = stage(placed.select("hub", "node", "node_root", F.col("best.node").alias("nearest"), F.col("best.node_root").alias("nearest_root"), "must"), "dedup-distances")
     to_nearest = placed.filter("must <= 0 and node_root != nearest_root").select("node", F.col("nearest").alias("hub"))
-    # Differences that members of two classes share: present ones, and turned ones that are absent.
+    # Differences that members of two classes share: present ones, and turned ones that are absent or less than the most.
     told = counts.filter("n * 2 <= m and open").select("hub", "d", "n")
     shared = rows.select("hub", "node", "d", "w").join(told, ["hub", "d"])
-    absent = turned.filter("m - n > 1").select("hub", F.struct("d", "w", (F.col("m") - F.col("n")).alias("n")).alias("x"))
+    most = turned.select("hub", "d", F.col("w").alias("w_most"), (F.col("m") - F.col("n")).alias("lacking"))
+    partly = rows.select("hub", "node", "d", "w").join(most, ["hub", "d"]).filter("w < w_most")
+    partly = stage(partly.select("hub", "node", "d", (F.col("w_most") - F.col("w")).alias("w")), "dedup-partly")
+    most = most.join(partly.groupBy("hub", "d").agg(F.count(F.lit(1)).alias("less")), ["hub", "d"], "left")
+    most = most.withColumn("n", F.col("lacking") + F.coalesce("less", F.lit(0))).filter("n > 1")
+    absent = most.filter("lacking > 0").select("hub", F.struct("d", F.col("w_most").alias("w"), "n").alias("x"))
     absent = absent.groupBy("hub").agg(F.collect_list("x").alias("turned"))  # at most the words of two texts
-    lacking = members.join(absent, "hub").select(
+    without = members.join(absent, "hub").select(
         "hub", "node", F.explode(F.filter("turned", lambda x: ~F.array_contains("differences", x["d"]))).alias("x")
     )
-    shared = shared.unionByName(lacking.select("hub", "node", "x.d", "x.w", "x.n"))
+    shared = shared.unionByName(without.select("hub", "node", "x.d", "x.w", "x.n"))
+    shared = shared.unionByName(partly.join(most.select("hub", "d", "n"), ["hub", "d"]).select("hub", "node", "d", "w", "n"))
     common = Window.partitionBy("hub", "node").orderBy(F.col("n").desc(), "d")
     kept = (
         shared.withColumn("so_far", F.sum("w").over(common))
@@ -383,23 +402,26 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", simi
     signed = stage(signatures(docs, weights), "dedup-signatures")
     nodes = signed.groupBy("node").agg(F.min("key").alias("key"))
     bands = signed.select("node", F.explode("bands").alias("bucket")).distinct()
-    pairs = stage(hub_pairs(bands), "dedup-pairs")
+    pairs = stage(once(hub_pairs(bands)), "dedup-pairs")
     # The texts of candidates, one row per node: the document with the least key stands for its copies.
     wanted = pairs.select("node").union(pairs.select("hub")).distinct().join(nodes, "node")
     chosen = docs.alias("d").join(
         wanted.alias("w"), (F.col("d.node") == F.col("w.node")) & F.col("d.key").eqNullSafe(F.col("w.key")), "left_semi"
     )
     texts = stage(chosen.select("node", "words").dropDuplicates(["node"]), "dedup-texts")
-    done, links = None, None
+    done, links, every = None, None, None
     while True:
         compared = stage(compare(pairs, texts, weights), "dedup-compared")
         found = compared.filter(F.col("similarity") >= similar).select(F.col("node").alias("a"), F.col("hub").alias("b"))
         links = found if links is None else links.unionByName(found)
         done = pairs if done is None else done.unionByName(pairs)
         linked = components(links)
-        more = further_pairs(compared, linked, similar)
+        # A hub with a new pair is looked into with all its members, of earlier rounds and as the other end of a pair too.
+        sides = both_ways(compared)
+        every = sides if every is None else every.unionByName(sides)
+        more = further_pairs(every.join(stage(sides.select("hub").distinct(), "dedup-hubs"), "hub", "left_semi"), linked, similar)
         old = done.select("node", "hub").unionByName(done.select(F.col("hub").alias("node"), F.col("node").alias("hub")))
-        pairs = stage(more.join(old, ["node", "hub"], "left_anti"), "dedup-pairs")
+        pairs = stage(once(more).join(old, ["node", "hub"], "left_anti"), "dedup-pairs")
         if pairs.isEmpty():
             break
     degrees = links.select("a", "b").union(links.select("b", "a")).toDF("node", "other").groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))

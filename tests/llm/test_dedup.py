@@ -136,3 +136,28 @@ def test_components(spark, edges):
         root = {k: new if v == old else v for k, v in root.items()}
     found = {r.node: r.root for r in dedup.components(frame).collect()}
     assert all(found.get(k, k) == v for k, v in root.items())
+
+
+def class_of_pairs(spark, monkeypatch, texts, pairs):
+    """Classes if the bands give just these (node, hub) pairs."""
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    from pyspark.sql import functions as F
+
+    words = dedup.normalised(F.col("text"))
+    nodes = {r.doc_id: r.node for r in df.select("doc_id", dedup.node_of(F.col("text"), words).alias("node")).collect()}
+    first = spark.createDataFrame([(nodes[a], nodes[b]) for a, b in pairs], "node long, hub long")
+    monkeypatch.setattr(dedup, "hub_pairs", lambda bands: first)
+    return {r.doc_id: r.class_id for r in dedup.near_duplicates(df).collect()}
+
+
+def test_copies_that_are_both_unlike_their_hub(spark, monkeypatch):
+    a = data.prose(200, 1)
+    texts = {1: a, 2: data.edited(a, 2, 5), 3: a + " " + data.prose(600, 2), 4: data.prose(200, 8)}
+    assert jaccard(counted(texts[1]), counted(texts[3])) < 0.5 and jaccard(counted(texts[1]), counted(texts[2])) > 0.83
+    assert class_of_pairs(spark, monkeypatch, texts, [(1, 3), (2, 3), (4, 3)]) == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
+def test_pairs_of_a_hub_count_in_either_direction(spark, monkeypatch):
+    a = data.prose(200, 1)
+    texts = {1: a, 2: data.edited(a, 2, 5), 3: data.edited(a, 8, 9)}
+    assert class_of_pairs(spark, monkeypatch, texts, [(3, 1), (2, 3)])[2] == 1
