@@ -27,71 +27,90 @@ from labelloom.sources.staging import stage
 
 #: Most pairs that are looked up instead of joined: 17 bytes each.
 MOST_LOOKED_UP = 1 << 18
-#: Runs kept per task with their links, and the longest run kept; a full table starts anew.
-CACHE_RUNS, CACHE_LENGTH = 300_000, 48
-#: Cuts that neither tokenizer crosses: in front of a blank that follows something else than white space.
-_OTHER = bpe._WS.replace(" ", "", 1)
-RUNS = re.compile(rf"[{bpe._WS}]*[^{bpe._WS}]+(?:[{_OTHER}][{bpe._WS}]*[^{bpe._WS}]*)*|[{bpe._WS}]+")
+#: From this length on a run with or without white space goes to the linear encoder.
+LONG_RUN = 50_000
+_LONG = re.compile(rf"[{bpe._WS}]{{{LONG_RUN}}}|[^{bpe._WS}]{{{LONG_RUN}}}")
 
 MEASURES = ("n_a", "n_b", "n_groups", "n_links")
 
 
 class Aligner:
-    """Groups and links of texts under a byte-level and a piece vocabulary."""
-
-    def __init__(self, a: bpe.Codec, b: merges.Codec):
-        self.a, self.b = a, b
-        # Runs of a text can be cut apart only if the piece vocabulary does so too.
-        self.split = RUNS.findall if b.runs.pattern != r"(?s).+" else lambda text: [text]
-        self.cache: dict[str, tuple | None] = {}
-
-    def run(self, run: str) -> tuple | None:
-        """(tokens, tokens, groups, groups as text, links as packed pairs) of a run; None if pieces give other bytes."""
-        a = [i for unit in bpe.UNITS.findall(run) for i in np.frombuffer(self.a.cache.get(unit) or self.a.piece_ids(unit), np.int32).tolist()]
-        b = np.frombuffer(b"".join(map(self.b.run_ids, self.b.runs.findall(run.replace(" ", merges.MARK)))), np.int32).tolist()
-        out = self._links(a, b) if self._bytes(b) == run.encode() else None
-        if len(run) <= CACHE_LENGTH:
-            if len(self.cache) >= CACHE_RUNS:
-                self.cache.clear()
-            self.cache[run] = out
-        return out
-
-    def _bytes(self, ids: list[int]) -> bytes:
-        blob, start, length = self.b.blob, self.b.start, self.b.length
-        return b"".join(blob[start[i] : start[i] + length[i]].tobytes() for i in ids)
-
-    def _links(self, a: list[int], b: list[int]) -> tuple:
-        ends_a, ends_b = np.cumsum(self.a.length[a]).tolist(), np.cumsum(self.b.length[b]).tolist()
-        groups, links, i, j, from_i, from_j = [], [], 0, 0, 0, 0
-        while i < len(a):
-            links.append(a[i] << 32 | b[j])
-            end_a, end_b = ends_a[i], ends_b[j]
-            i += end_a <= end_b
-            j += end_b <= end_a
-            if end_a == end_b:
-                groups.append(",".join(map(str, a[from_i:i])) + "|" + ",".join(map(str, b[from_j:j])))
-                from_i, from_j = i, j
-        return len(a), len(b), len(groups), ";".join(groups), np.array(links, np.int64).tobytes()
-
-    def text(self, text: str) -> tuple[int, int, int, str, np.ndarray] | None:
-        """Tokens of both kinds, groups, groups as text and links of a text; None where it has no tokens."""
-        if not text or self.b.prepared(text).replace(merges.MARK, " ") != " " + text or merges.MARK in text:
+    """Groups and links of texts under a byte-level and a piece vocabulary.
+
+    The ids come from the compiled encoders, the first one from the ranks of the
+    vocabulary's merges; ends of tokens are running sums of their lengths in bytes.
+    """
+
+    def __init__(self, a: dict, b: merges.Pieces):
+        import sentencepiece
+        import tiktoken
+
+        self.linear: bpe.Codec | None = None
+        self.vocabulary = a
+        order = {bytes([k]): k for k in range(256)}
+        for left, right in a["merges"]:
+            order.setdefault(left + right, len(order))
+        self.encoder = tiktoken.Encoding("byte-level", pat_str=bpe.SPLIT, mergeable_ranks=order, special_tokens={})
+        self.id_a = np.array([a["tokens"][token] for token in order], np.int64)
+        self.pieces = merges.Codec(b)
+        self.library = sentencepiece.SentencePieceProcessor(model_proto=b.file)
+        self.length_a = np.zeros(int(self.id_a.max()) + 1, np.int64)
+        self.length_a[self.id_a] = [len(token) for token in order]
+        # Every id with each of the signs that may follow it.
+        size = max(len(self.length_a), len(b.pieces))
+        self.signed = [f"{i}{sign}".encode() for i in range(size) for sign in ",|;"]
+
+    def ids_a(self, text: str) -> np.ndarray:
+        if len(text) < LONG_RUN or not _LONG.search(text):
+            return self.id_a[self.encoder.encode_ordinary(text)]
+        # Special tokens are plain text here.
+        self.linear = self.linear or bpe.Codec(self.vocabulary | {"special": {}})
+        return self.linear.ids(text).astype(np.int64)
+
+    def text(self, text: str) -> tuple[np.ndarray, np.ndarray, int, np.ndarray, np.ndarray, np.ndarray] | None:
+        """Both ids, the number of groups, the links, and the ids in the order of the groups; None where there are no tokens."""
+        if not text:
+            return None
+        b = np.array(self.library.encode(text), np.int64)
+        whole, a = (" " + text).encode(), self.ids_a(" " + text)
+        lengths = self.pieces.length[b]
+        ends_a, ends_b = np.cumsum(self.length_a[a]), np.cumsum(lengths)
+        if not len(a) or not len(b) or ends_a[-1] != len(whole) or ends_b[-1] != len(whole) or self.surface(b) != whole:
             return None
-        kept, new, parts = self.cache, self.run, []
-        for run in self.split(" " + text):
-            part = kept[run] if run in kept else new(run)
-            if part is None:
-                return None
-            parts.append(part)
-        n_a, n_b, n_groups, groups, links = zip(*parts)
-        return sum(n_a), sum(n_b), sum(n_groups), ";".join(groups), np.frombuffer(b"".join(links), np.int64)
+        # One mark per byte: 1 where a token of A ends, 2 where one of B does, 3 for both. Between two
+        # neighbouring marks lies one token of each: a link.
+        marks = np.zeros(len(whole) + 1, np.int8)
+        marks[ends_a] = 1
+        marks[ends_b] += 2
+        ends = marks[np.flatnonzero(marks)]
+        of_a, of_b, both = (ends & 1).astype(bool), ends > 1, ends == 3
+        at_a, at_b, group = (np.cumsum(x) - x for x in (of_a, of_b, both))
+        return a, b, int(both.sum()), a[at_a] << 32 | b[at_b], group[of_a], group[of_b]
+
+    def surface(self, ids: np.ndarray) -> bytes:
+        """The bytes that the pieces stand for."""
+        lengths = self.pieces.length[ids]
+        ends = np.cumsum(lengths)
+        return self.pieces.blob[np.arange(int(ends[-1])) + np.repeat(self.pieces.start[ids] - ends + lengths, lengths)].tobytes()
+
+    def groups(self, a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray) -> bytes:
+        """Ids of A and B of every group as text."""
+        # The place of a token: the tokens of its kind and of the other kind in front of it.
+        n = int(group_a[-1]) + 1
+        of_a, of_b = np.bincount(group_a, minlength=n), np.bincount(group_b, minlength=n)
+        place_a = np.arange(len(a)) + (np.cumsum(of_b) - of_b)[group_a]
+        place_b = np.arange(len(b)) + np.cumsum(of_a)[group_b]
+        out = np.empty(len(a) + len(b), np.int64)
+        out[place_a] = 3 * a + np.append(group_a[1:] != group_a[:-1], True)
+        out[place_b] = 3 * b + 2 * np.append(group_b[1:] != group_b[:-1], True)
+        return b"".join(map(self.signed.__getitem__, out.tolist()))[:-1]
 
 
 _ALIGNERS: dict[tuple[str, str], Aligner] = {}
 
 
 def _aligner(key: tuple[str, str], a: dict, b: merges.Pieces) -> Aligner:
-    return _ALIGNERS.get(key) or _ALIGNERS.setdefault(key, Aligner(bpe.Codec(a), merges.Codec(b)))
+    return _ALIGNERS.get(key) or _ALIGNERS.setdefault(key, Aligner(a, b))
 
 
 def _digest(text: str):
@@ -122,10 +141,11 @@ def align(texts: DataFrame, path_a: str, path_b: str, keys: tuple[str, ...] = ("
             found = own.text(value)
             if found is None:
                 return 0, 0, 0, 0, "", [], [], ""
-            n_a, n_b, n_groups, groups, links = found
+            a, b, n_groups, links, group_a, group_b = found
             pairs, times = np.unique(links, return_counts=True)
-            digest = hashlib.sha256(groups.encode()).hexdigest()
-            return n_a, n_b, n_groups, len(links), digest, pairs, times.astype(np.int32), groups if with_groups else ""
+            groups = own.groups(a, b, group_a, group_b)
+            digest = hashlib.sha256(groups).hexdigest()
+            return len(a), len(b), n_groups, len(links), digest, pairs, times.astype(np.int32), groups.decode() if with_groups else ""
 
         return measure
 
