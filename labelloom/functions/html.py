@@ -1,9 +1,12 @@
-"""Table extraction from landed HTML with regular expressions, inside the JVM.
-
-Rows and cells need no closing tags: each goes up to the next tag that ends it.
-Tables inside a cell are taken out first, innermost before outer ones, and leave
-their text in the cell, down to ``NESTED`` levels. Named entities of the table
-below and numeric ones are decoded.
+"""Table extraction from landed HTML inside the JVM, by a scan over its table tags.
+
+A page is cut in front of every tag that belongs to a table. One fold over the kinds of
+these tags keeps the depth of tables and writes one letter per tag: whether it starts a
+block, a row or a cell, or stands in a table within a cell, which leaves its text there.
+Any number of inner tables, side by side or nested, takes the same single pass. Rows
+and cells need no closing tags: each goes up to the next tag that ends it. A row with
+an inner table that is never closed is marked. Named entities of the table below and
+numeric ones are decoded.
 """
 
 from __future__ import annotations
@@ -14,65 +17,79 @@ import html.entities
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from labelloom.functions.lambdas import literal, map_value
 from labelloom.functions.text import strip_blanks
 
-#: Levels of tables inside a cell.
-NESTED = 4
+#: Signs between blocks, rows and cells, and at the end of an open row: noncharacters, which no page may hold.
+BLOCK, ROW, CELL, OPEN = "\ufdd0\ufdd1\ufdd2\ufdd3"
+_TABLE_TAG = r"/?(?:table|t[dhr]|tbody|thead|tfoot)\b"
 #: Named entities: the published Latin-1 names, and a few signs besides.
 _MORE = ("quot", "lt", "gt", "apos", "ndash", "mdash", "lsquo", "rsquo", "ldquo", "rdquo", "bdquo", "hellip", "bull", "euro", "oelig", "OElig", "trade")
 _NAMES = {n: c for n in html.entities.name2codepoint if 160 <= (c := html.entities.name2codepoint[n]) <= 255}
 _NAMES |= {n: ord(html.unescape(f"&{n};")) for n in _MORE}
 
 
-def _all(html: Column, pattern: str) -> Column:
-    return F.regexp_extract_all(html, F.lit(pattern), F.lit(1))
-
-
-def _without_inner_tables(page: Column) -> Column:
-    """Tables that lie within a cell give way to their text: their tags become line feeds."""
-    inner = r"(?is)(<t[dh]\b[^>]*>(?:(?!</?(?:table|t[dhr])\b).)*+)<table\b[^>]*>((?:(?!</?table\b).)*+)</table\s*>"
-    for _ in range(NESTED):
-        # The innermost first: what stands between its tags holds no other table.
-        page = F.when(
-            page.rlike(inner),
-            F.concat_ws(
-                "",
-                F.transform(
-                    F.regexp_extract_all(page, F.lit(rf"{inner}|[^<]+|<"), F.lit(0)),
-                    lambda part: F.when(
-                        part.rlike(inner),
-                        F.concat(
-                            F.regexp_extract(part, inner, 1),
-                            F.regexp_replace(F.regexp_extract(part, inner, 2), r"(?is)</?t(?:[dhr]|body|head|foot)\b[^>]*>", "<br>"),
-                        ),
-                    ).otherwise(part),
-                ),
-            ),
-        ).otherwise(page)
-    return page
+def _kind(opening: str) -> str:
+    """One letter for the tag at the beginning of the piece ``w``; block openings are told from other tags."""
+    return f"""case
+        when contains(w, 'class') and w rlike {literal("^(?is)<" + opening)} then if(w rlike '^<(?i)table', 'b', 'c')
+        else case lower(regexp_extract(w, '^<(/?[A-Za-z]+)', 1))
+          when 'table' then 't' when '/table' then 'z' when 'tr' then 'r' when 'th' then 'h' when 'td' then 'd'
+          when '/td' then 'f' when '/th' then 'f' when '' then 'o' else 'e' end end"""
+
+
+#: Depth of tables (-1 outside a block), whether a row and a cell are open, and the letters so far.
+_STATE = "named_struct('depth', -1, 'row', false, 'cell', false, 'marks', '')"
+#: B, R, H and D start a block, a row and the two kinds of cells; i and n are text of an open cell, n on a new line.
+_STEP = """named_struct(
+    'depth', case when s.depth < 0 then case k when 'b' then 1 when 'c' then 0 else -1 end
+        when k in ('t', 'b') then greatest(s.depth, 0) + 1
+        when k = 'z' then if(s.depth > 1, s.depth - 1, -1) else s.depth end,
+    'row', case when s.depth > 1 then s.row when s.depth < 0 or k in ('e', 'z') then false else s.row or k = 'r' end,
+    'cell', case when s.depth > 1 then s.cell when s.depth < 0 then false when k in ('h', 'd') then s.row
+        else s.cell and k in ('t', 'b', 'c') end,
+    'marks', concat(s.marks, case
+        when s.depth < 0 then if(k in ('b', 'c'), 'B', '.')
+        when s.depth > 1 then case when not s.cell then '.' when k in ('t', 'b', 'c', 'z') then 'i' else 'n' end
+        when k = 'r' then 'R'
+        when k in ('h', 'd') then if(s.row, upper(k), '.')
+        when k in ('t', 'b', 'c') and s.cell then 'i' else '.' end))"""
 
 
 def blocks(page: Column, css_class: str) -> Column:
-    """Bodies of the elements of one class, each up to its closing table tag or the end."""
-    opening = rf"<\w+[^>]*\bclass\s*=\s*[\"'](?:[^\"']*\s)?{css_class}(?:\s[^\"']*)?[\"'][^>]*>"
-    return _all(_without_inner_tables(page), rf"(?is){opening}(.*?)(?:</table|\z)")
-
-
-def rows(block: Column) -> Column:
-    """Rows: from one row tag to the next, to the end of the row or of its section."""
-    return _all(block, r"(?is)<tr\b[^>]*>(.*?)(?=<tr\b|</tr|</?tbody|</?thead|</?tfoot|\z)")
-
-
-def _cells(row: Column, tag: str) -> Column:
-    return F.transform(_all(row, rf"(?is)<{tag}\b[^>]*>(.*?)(?=<t[dh]\b|</t[dh]|\z)"), cell_text)
+    """The elements of one class in document order, each an array of its rows up to its closing table tag or the end.
+
+    A row is a struct: ``closed``, false where a table in its last cell never ends, and
+    ``cells``, each with a letter in front, h or d, for header and data cells.
+    """
+    opening = rf"\w+[^>]*\bclass\s*=\s*[\"'](?:[^\"']*\s)?{css_class}(?:\s[^\"']*)?[\"'][^>]*>"
+    page = F.translate(page, BLOCK + ROW + CELL + OPEN, "")
+    pieces = F.split(page, rf"(?is)(?=<(?:{_TABLE_TAG}|{opening}))", -1)
+    body = "regexp_replace(g, '^<[^>]*>?', '')"
+    text = f"""concat(array_join(zip_with(p.pieces, split(p.found.marks, ''), (g, k) -> case k
+        when 'B' then '{BLOCK}' when 'R' then '{ROW}' when 'H' then concat('{CELL}h', {body})
+        when 'D' then concat('{CELL}d', {body}) when 'i' then {body} when 'n' then concat('<br>', {body})
+        else '' end), ''), if(p.found.depth > 1, '{OPEN}', ''))"""
+    scanned = f"""get(transform(array(named_struct('pieces', w, 'found', aggregate(
+        transform(w, w -> {_kind(opening)}), {_STATE}, (s, k) -> {_STEP}))), p -> {text}), 0)"""
+    behind = "filter(split({}, '{}'), (x, i) -> i > 0)".format
+    cells = behind(f"rtrim('{OPEN}', r)", CELL)
+    rows = f"transform({behind('b', ROW)}, r -> struct(not endswith(r, '{OPEN}') as closed, {cells} as cells))"
+    return map_value(map_value(pieces, scanned), f"transform({behind('w', BLOCK)}, b -> {rows})")
+
+
+def _cells(row: Column, kind: str) -> Column:
+    return F.transform(
+        F.filter(row["cells"], lambda c: c.startswith(kind)), lambda c: cell_text(F.substr(c, F.lit(2)))
+    )
 
 
 def header_cells(row: Column) -> Column:
-    return _cells(row, "th")
+    return _cells(row, "h")
 
 
 def data_cells(row: Column) -> Column:
-    return _cells(row, "td")
+    return _cells(row, "d")
 
 
 def _decoded(part: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelloom import fixed
@@ -22,32 +22,39 @@ def metadata_entries(
     pages: DataFrame, page_id: str = "id", column: str = "html",
     css_class: str = fixed.METADATA_BLOCK_CLASS,
 ) -> DataFrame:
-    """(id, key, value) from the first metadata block of each landed page.
+    """(id, row number, key, value, closed) from the first metadata block of each landed page.
 
     Per table row the first header cell is the key and the first data cell the
-    value. Rows lacking either have a null there; see ``valid_entries``.
+    value. Rows lacking either have a null there, and rows with a table that never
+    ends are not closed; see ``valid_entries``.
     """
     block = F.get(html.blocks(F.col(column), css_class), F.lit(0))
-    rows = pages.select(page_id, F.posexplode(html.rows(block)).alias("row_no", "row"))
+    rows = pages.select(page_id, F.posexplode(block).alias("row_no", "row"))
     return rows.select(
         page_id,
         F.col("row_no").cast("bigint").alias("row_no"),
         F.get(html.header_cells(F.col("row")), F.lit(0)).alias("key"),
         F.get(html.data_cells(F.col("row")), F.lit(0)).alias("value"),
+        F.col("row.closed").alias("closed"),
     )
 
 
+def _valid() -> Column:
+    return F.col("key").isNotNull() & F.col("value").isNotNull() & F.col("closed")
+
+
 def valid_entries(entries: DataFrame, page_id: str = "id") -> DataFrame:
     """One value per key and page; of a repeated key the last one."""
     return (
-        entries.filter(F.col("key").isNotNull() & F.col("value").isNotNull())
+        entries.filter(_valid())
         .groupBy(page_id, "key")
         .agg(F.max_by("value", "row_no").alias("value"))
     )
 
 
 def rejected_entries(entries: DataFrame) -> DataFrame:
-    return entries.filter(F.col("key").isNull() | F.col("value").isNull())
+    """Rows without a key or a value, and rows that are not closed."""
+    return entries.filter(~_valid())
 
 
 def label_papers(

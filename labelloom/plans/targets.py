@@ -11,29 +11,43 @@ from labelloom.operators.batching import nested_lists
 from labelloom.operators.targets import fill_targets, indicators, rejected_rows
 
 
-def table_rows(
+def all_table_rows(
     pages: DataFrame, page_id: str = "page_id", column: str = "html",
     css_class: str = fixed.TARGET_TABLE_CLASS,
 ) -> DataFrame:
-    """(page, goal, row_no, cells): the n-th table of a page is goal n.
+    """(page, goal, row_no, cells, closed): the n-th table of a page is goal n.
 
     Row numbers count from 1 in document order; row 1 is the table's header
-    and is left out.
+    and is left out. A row with an inner table that never ends is not closed.
     """
     tables = pages.select(
-        page_id, F.posexplode(html.blocks(F.col(column), css_class)).alias("_table", "body")
+        page_id, F.posexplode(html.blocks(F.col(column), css_class)).alias("_table", "rows")
     )
     rows = tables.select(
-        page_id,
-        (F.col("_table") + 1).alias("goal"),
-        F.posexplode(html.rows(F.col("body"))).alias("_row", "row"),
+        page_id, (F.col("_table") + 1).alias("goal"), F.posexplode("rows").alias("_row", "row")
     )
     return rows.filter(F.col("_row") > 0).select(
         page_id, "goal", (F.col("_row") + 1).alias("row_no"),
-        html.data_cells(F.col("row")).alias("cells"),
+        html.data_cells(F.col("row")).alias("cells"), F.col("row.closed").alias("closed"),
     )
 
 
+def table_rows(
+    pages: DataFrame, page_id: str = "page_id", column: str = "html",
+    css_class: str = fixed.TARGET_TABLE_CLASS,
+) -> DataFrame:
+    """(page, goal, row_no, cells) of the rows that are closed."""
+    return all_table_rows(pages, page_id, column, css_class).filter("closed").drop("closed")
+
+
+def open_rows(
+    pages: DataFrame, page_id: str = "page_id", column: str = "html",
+    css_class: str = fixed.TARGET_TABLE_CLASS,
+) -> DataFrame:
+    """(page, goal, row_no, cells) of the rejected rows, those that are not closed."""
+    return all_table_rows(pages, page_id, column, css_class).filter("not closed").drop("closed")
+
+
 def goal_targets(rows: DataFrame, page_id: str = "page_id") -> tuple[DataFrame, DataFrame]:
     """(indicators per page, goal and target, rejected rows)."""
     filled = fill_targets(rows, [page_id, "goal"])
