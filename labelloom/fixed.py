@@ -165,4 +165,10 @@ LANGUAGE_WORDS = {
         al que de pero sus entre fue esta este son o también""".split(),
     "fr": """le la les des et est dans pour que qui une du par sur au avec ne
         pas sont ce de en un aux plus nous cette ou ces leur""".split(),
+    "it": """il di che non per una sono della con dei nel alla anche come più gli
+        del si da al delle ma questo è degli dalla le ha essere nella""".split(),
+    "nl": """het een van en dat niet zijn op aan met voor er maar om door ook bij
+        naar wordt heeft uit worden deze nog hun werd dan ze dit wij""".split(),
+    "pt": """que não uma os do da em um para com é no na por mais dos como foi ao
+        das tem à seu sua ou pelo pela são isso também""".split(),
 }

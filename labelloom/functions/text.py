@@ -8,7 +8,7 @@ at a line feed only.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -84,8 +84,32 @@ def strip_numbered_lists(text: Column) -> Column:
     return F.regexp_replace(text, LIST_MARKER, "")
 
 
+def _spaced(text: Column) -> Column:
+    """Text with blanks in the place of separators and between words written as one."""
+    return F.regexp_replace(F.regexp_replace(text, SEPARATOR, " "), FUSED_WORD, "$0 ")
+
+
+def stopped_words(text: Column) -> Column:
+    """Distinct words of letters that have a full stop behind them and are not the last token."""
+    tokens = filter_items(F.split(_spaced(text), " +"), "w <> ''")
+    before = F.slice(tokens, F.lit(1), F.greatest(F.size(tokens) - 1, F.lit(0)))
+    return F.array_distinct(map_items(filter_items(before, r"w rlike '^\\p{L}+\\.$'"), "left(w, length(w) - 1)"))
+
+
+def _without(spaced: Column, is_abbreviation: Callable[[Column], Column]) -> Column:
+    """Text without the abbreviations, which are no words; the last token ends the text and stays."""
+
+    def keep(tokens: Column) -> Column:
+        inside = lambda w, i: (i < F.size(tokens) - 1) & w.endswith(".") & is_abbreviation(F.left(w, F.length(w) - 1))
+        return F.array_join(F.filter(tokens, lambda w, i: ~inside(w, i)), " ")
+
+    # The tokens are named twice; an array of one keeps them computed once.
+    tokens = filter_items(F.split(spaced, " +"), "w <> ''")
+    return F.get(F.transform(F.array(tokens), keep), F.lit(0))
+
+
 def alpha_tokens(
-    text: Column, abbreviations: Sequence[str] = fixed.ABBREVIATIONS
+    text: Column, abbreviations: Sequence[str] | Column = fixed.ABBREVIATIONS
 ) -> Column:
     """Array of the purely alphabetic word tokens of lower-case text.
 
@@ -93,9 +117,17 @@ def alpha_tokens(
     hyphenated and dotted tokens such as "state-of-the-art" or "e.g." are
     dropped whole. A full stop is split off wherever it ends a sentence, that
     is, unless it follows an abbreviation or a single letter inside the text.
+
+    ``abbreviations``: a list, or an array column with those of the row. A learned list
+    may be long, see ``operators.sentences``; only the default list is part of the pattern.
     """
-    spaced = F.regexp_replace(text, SEPARATOR, " ")
-    spaced = F.regexp_replace(spaced, FUSED_WORD, "$0 ")
+    spaced = _spaced(text)
+    if abbreviations is not fixed.ABBREVIATIONS:
+        if isinstance(abbreviations, Column):
+            known = lambda w: F.array_contains(abbreviations, w)
+        else:
+            known = lambda w: w.isin(*abbreviations) if abbreviations else F.lit(False)
+        spaced, abbreviations = _without(spaced, known), ()
     return F.regexp_extract_all(spaced, F.lit(_word_pattern(abbreviations)), F.lit(0))
 
 
@@ -152,7 +184,7 @@ def clean_before_tokens(text: Column) -> Column:
 def process_text(
     text: Column,
     stop_words: Iterable[str] = fixed.REMOVED_STOP_WORDS,
-    abbreviations: Sequence[str] = fixed.ABBREVIATIONS,
+    abbreviations: Sequence[str] | Column = fixed.ABBREVIATIONS,
 ) -> Column:
     """Normalised text: cleaned, tokenised, stop words removed, lemmatised."""
     tokens = alpha_tokens(clean_before_tokens(text), abbreviations)

@@ -11,12 +11,14 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from labelloom.sources.staging import stage
 
 # Leading hexadecimal digits of a random key: 16^4 = 65,536 even buckets.
 BUCKET_DIGITS = 4
-SALTS = 64
+# Bounds drawn per group and round of a selection, and the rows that one task may rank.
+PIVOTS, RANKED = 64, 100_000
 
 
 def _bucket(key: str) -> Column:
@@ -31,24 +33,132 @@ def _same(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
     return condition
 
 
+def _parsed(order: Sequence[str]) -> list[tuple[str, bool]]:
+    """Column names and whether they fall: ``-name`` is in falling order."""
+    return [(name.removeprefix("-"), name.startswith("-")) for name in order]
+
+
+def _before(left: Callable[[str], Column], right: Callable[[str], Column], order: Sequence[str]) -> Column:
+    """Whether one row comes strictly before another; nulls are least, as in a sort."""
+    found, equal = F.lit(False), F.lit(True)
+    for name, falls in _parsed(order):
+        a, b = (right(name), left(name)) if falls else (left(name), right(name))
+        less = F.coalesce(a < b, a.isNull() & b.isNotNull())
+        found, equal = found | (equal & less), equal & a.eqNullSafe(b)
+    return found
+
+
+def kth_per_group(keys: DataFrame, group: Sequence[str], order: Sequence[str], k: int) -> DataFrame:
+    """(group, cut): the k-th row's order columns for every group that has more than k rows.
+
+    Distributed selection over a staged frame of group and order columns. Per round every
+    open group draws about ``PIVOTS`` bounds from its rows by a hash and counts the rows
+    between them; only the bucket with the wanted row goes on. What is left of a group
+    is ranked once it is small, and no task ever sees more of a group than that.
+    """
+    names = [n for n, _ in _parsed(order)]
+    sizes = keys.groupBy(*group).agg(F.count(F.lit(1)).alias("_m")).filter(F.col("_m") > k)
+    # No bound below and none above yet.
+    none = F.lit(None).cast(T.StructType([keys.schema[n] for n in names]))
+    # The columns of a group get names of their own, so that joins are never ambiguous.
+    own = [f"_g{i}" for i in range(len(group))]
+    state = sizes.select(
+        *[F.col(c).alias(o) for c, o in zip(group, own)], "_m", F.lit(k).cast("bigint").alias("_take"), none.alias("_low"), none.alias("_high")
+    )
+    state, cuts, number = stage(state, "selection"), [], 0
+    key = F.struct(*names)
+
+    def inside(part: DataFrame) -> DataFrame:
+        """The rows of the open groups that lie between their bounds."""
+        matched = keys.join(part, _matches(keys, part, group, own))
+        above = F.col("_low").isNull() | _before(lambda n: F.col("_low")[n], lambda n: F.col(n), order)
+        below = F.col("_high").isNull() | ~_before(lambda n: F.col("_high")[n], lambda n: F.col(n), order)
+        return matched.filter(above & below).select(*own, "_m", "_take", key.alias("_key"), *names)
+
+    while True:
+        small, large = state.filter(F.col("_m") <= RANKED), state.filter(F.col("_m") > RANKED)
+        sort = [F.col(n).desc() if falls else F.col(n) for n, falls in _parsed(order)]
+        ranked = inside(small).withColumn("_rank", F.row_number().over(Window.partitionBy(*own).orderBy(*sort)))
+        cuts.append(stage(ranked.filter(F.col("_rank") == F.col("_take")).select(*own, F.col("_key").alias("_cut")), "cut"))
+        if not large.take(1):
+            break
+        number += 1
+        # A row is drawn by its hash: the same ones in every run.
+        drawn = F.pmod(F.xxhash64(*names, F.lit(number)), F.col("_m")) < PIVOTS
+        chosen = inside(large).filter(drawn).groupBy(*own).agg(F.collect_set("_key").alias("_drawn"))
+        at = lambda row: lambda n: row[n]
+        pivots = F.array_sort(
+            "_drawn", lambda x, y: F.when(_before(at(x), at(y), order), -1).when(_before(at(y), at(x), order), 1).otherwise(0)
+        )
+        bounds = stage(chosen.select(*own, pivots.alias("_pivots")), "bounds")
+        bounds = bounds.select(*[F.col(o).alias(f"{o}_") for o in own], "_pivots")
+        rows = inside(large)
+        # Rows up to the first bound are bucket 0, rows behind the last one the last bucket.
+        bucketed = rows.join(bounds, _matches(rows, bounds, own, [f"{o}_" for o in own]), "left")
+        passed = F.filter(F.coalesce("_pivots", F.array()), lambda p: _before(at(p), lambda n: F.col(n), order))
+        counts = bucketed.groupBy(*own, "_m", "_take", "_pivots", F.size(passed).alias("_bucket")).agg(F.count(F.lit(1)).alias("_n"))
+        upto = F.sum("_n").over(Window.partitionBy(*own).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0))
+        hit = counts.withColumn("_upto", upto).filter(
+            (F.col("_upto") >= F.col("_take")) & (F.col("_upto") - F.col("_n") < F.col("_take"))
+        )
+        old = large.select(*[F.col(o).alias(f"{o}_") for o in own], "_low", "_high")
+        narrowed = hit.join(old, _matches(hit, old, own, [f"{o}_" for o in own])).select(
+            *own,
+            F.col("_n").alias("_m"),
+            (F.col("_take") - F.col("_upto") + F.col("_n")).alias("_take"),
+            F.coalesce(F.get("_pivots", F.col("_bucket") - 1), F.col("_low")).alias("_low"),
+            F.coalesce(F.get("_pivots", F.col("_bucket")), F.col("_high")).alias("_high"),
+            (F.col("_n") == F.col("_m")).alias("_stuck"),
+        )
+        narrowed = stage(narrowed, "selection")
+        # Only rows that are equal in all order columns cannot be told apart.
+        equal = narrowed.filter("_stuck").join(inside(narrowed.drop("_stuck")).groupBy(*[F.col(o).alias(f"{o}_") for o in own]).agg(
+            F.min("_key").alias("_one"), F.max("_key").alias("_other")
+        ).filter(F.col("_one") == F.col("_other")), F.lit(True) & _pairs(own, [f"{o}_" for o in own])) if narrowed.filter("_stuck").take(1) else None
+        if equal is not None:
+            done = stage(equal.select(*own, F.col("_one").alias("_cut")), "cut")
+            cuts.append(done)
+            other = done.select(*[F.col(o).alias(f"{o}_") for o in own])
+            narrowed = narrowed.join(other, _pairs(own, [f"{o}_" for o in own]), "left_anti")
+        state = stage(narrowed.drop("_stuck"), "selection")
+    result = cuts[0]
+    for cut in cuts[1:]:
+        result = result.unionByName(cut)
+    return result.withColumnsRenamed(dict(zip(own, group)))
+
+
+def _pairs(left: Sequence[str], right: Sequence[str]) -> Column:
+    condition = F.lit(True)
+    for a, b in zip(left, right):
+        condition = condition & F.col(a).eqNullSafe(F.col(b))
+    return condition
+
+
+def _matches(left: DataFrame, right: DataFrame, names: Sequence[str], others: Sequence[str]) -> Column:
+    condition = F.lit(True)
+    for a, b in zip(names, others):
+        condition = condition & left[a].eqNullSafe(right[b])
+    return condition
+
+
 def first_per_group(
-    df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int = 1
+    df: DataFrame, group: Sequence[str], order: Sequence[str], k: int = 1
 ) -> DataFrame:
-    """The k first rows of every group. ``order`` must have no ties.
+    """The k first rows of every group; ``-name`` in ``order`` means falling.
 
-    Each input partition first reduces a group to k rows, a salted step then
-    reduces the partitions' survivors, so the last step sees at most
-    ``SALTS * k`` rows of a group.
+    Rows that equal the k-th one in all order columns are all kept, so give an order
+    without ties. The frame is read twice: once for its group and order columns, which are
+    staged, and once to compare every row with its group's cut. Rows are neither
+    sorted nor shuffled as long as the cuts, one row per group, can be broadcast.
     """
-    salted = df.withColumn("_salt", F.spark_partition_id() % SALTS)
-    for keys in ([*group, "_salt"], list(group)):
-        window = Window.partitionBy(*keys).orderBy(*order)
-        salted = (
-            salted.withColumn("_rank", F.row_number().over(window))
-            .filter(F.col("_rank") <= k)
-            .drop("_rank")
-        )
-    return salted.drop("_salt")
+    names = [n for n, _ in _parsed(order)]
+    keys = stage(df.select(*dict.fromkeys([*group, *names])), "order-keys")
+    cuts = kth_per_group(keys, group, order, k)
+    named = cuts.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(group)], "_cut")
+    named = stage(named, "cuts")
+    marked = df.join(named, _matches(df, named, group, [f"_g{i}" for i in range(len(group))]), "left")
+    behind = _before(lambda n: F.col("_cut")[n], lambda n: df[n], order)
+    return marked.filter(F.col("_cut").isNull() | ~behind).select(*[df[c] for c in df.columns])
 
 
 def random_position(

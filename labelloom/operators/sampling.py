@@ -8,6 +8,7 @@ are not shuffled.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
@@ -32,10 +33,19 @@ def _keyed(df: DataFrame, seed: int | str, row_id: str) -> DataFrame:
 def sample_per_group(
     df: DataFrame, label: str, row_id: str, n: int = 1, seed: int | str = fixed.SPLIT_SEED
 ) -> DataFrame:
-    """n random rows per label (all of them where a label has fewer)."""
+    """n random rows per label (all of them where a label has fewer).
+
+    The source is read twice: for the staged keys, and for the result.
+    """
     keyed = _keyed(df, seed, row_id)
-    order = [F.col(_KEY), F.col(row_id)]
-    return first_per_group(keyed, [label], order, n).drop(_KEY)
+    keys = stage(keyed.select(label, row_id, _KEY), "keys")
+    cut = smallest_k_cut(keys, label, _KEY, row_id, _at_most(label, n))
+    return _below_cut(keyed, cut, label, row_id, "_taken").filter("_taken").drop(_KEY, "_taken")
+
+
+def _at_most(label: str, n: int) -> Callable[[DataFrame], DataFrame]:
+    """Quotas of n rows, or all of a smaller label."""
+    return lambda sizes: sizes.select(label, F.least("n", F.lit(n)).cast("bigint").alias("quota"))
 
 
 def _share_fraction(share: str) -> tuple[int, int]:
@@ -140,14 +150,8 @@ def rule_based_cuts(
     keys: DataFrame, label: str, row_id: str, eligible: str, n: int = 1, share: str = fixed.TEST_SHARE
 ) -> tuple[DataFrame, DataFrame]:
     """Per label the last guaranteed row and the last row of the stratified test part."""
-    guaranteed = first_per_group(
-        keys.filter(_eligible(eligible)).select(label, _KEY, row_id),
-        [label],
-        [F.col(_KEY), F.col(row_id)],
-        n,
-    )
-    first = stage(
-        guaranteed.groupBy(label).agg(F.max(F.struct(_KEY, row_id)).alias("cut")), "guaranteed"
+    first = smallest_k_cut(
+        keys.filter(_eligible(eligible)).select(label, _KEY, row_id), label, _KEY, row_id, _at_most(label, n)
     )
     rest = _mark_first(keys, first, label, row_id, eligible).filter(~F.col("_first"))
     cut = smallest_k_cut(
@@ -261,7 +265,7 @@ def shuffle_rows(
 
 
 def top_per_group(
-    df: DataFrame, group: str, order: list[Column], k: int = fixed.HITS_PER_TOPIC
+    df: DataFrame, group: str, order: list[str], k: int = fixed.HITS_PER_TOPIC
 ) -> DataFrame:
-    """At most k rows per group in the given order."""
+    """At most k rows per group in the given order; ``-name`` means falling."""
     return first_per_group(df, [group], order, k)

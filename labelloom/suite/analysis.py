@@ -268,16 +268,19 @@ def _cell(tag, value):
     return F.concat(F.lit(f"<{tag}>"), value, F.lit(f"</{tag}>"))
 
 
-@query(
-    """select c_custkey as id, unnest(['Name:', 'Segment & Nation:', 'Balance:', 'Café éé:']) as key,
-      unnest([c_name, c_mktsegment || chr(10) || c_nationkey, cast(c_custkey % 7 as varchar),
-        c_name || chr(10) || chr(10) || 'inner']) as value
-    from customer"""
-)
-def html_metadata(spark, sf_dir):
-    """Key and value rows out of a metadata block; a repeated key keeps its last value."""
+#: Tables within a cell: so many side by side, and so many within each other.
+INNER = 6
+
+
+def _inner(value, side_by_side=1, levels=1):
+    """Tables around a value."""
+    nested = F.concat(F.lit("<table><tr><td>" * levels), value, F.lit("</td></tr></table>" * levels))
+    return F.concat(*[nested] * side_by_side)
+
+
+def _metadata_pages(spark, sf_dir):
     c = F.col
-    pages = table(spark, sf_dir, "customer").select(
+    return table(spark, sf_dir, "customer").select(
         c("c_custkey").alias("id"),
         F.concat(
             F.lit('<html><div class="x"><table class="a ep_block b"><caption>c</caption>'),
@@ -288,29 +291,47 @@ def html_metadata(spark, sf_dir):
                 _cell("td", F.concat(c("c_mktsegment"), F.lit("<br/>"), c("c_nationkey").cast("string"))),
             ),
             _row(_cell("td", F.lit("no header here"))),
+            # tables within a cell, side by side and within each other; the row behind is whole
+            _row(_cell("th", F.lit("Siblings:")), _cell("td", _inner(c("c_name"), side_by_side=INNER))),
+            _row(_cell("th", F.lit("Levels:")), _cell("td", _inner(c("c_name"), levels=INNER))),
             # no closing tags, numeric and named entities, a table within a cell
             F.lit("<tr><th>Caf&eacute; &#233;&#xe9;:<td>"),
             c("c_name"),
             F.lit("<table><tr><td>inner</td></tr></table>"),
             _row(_cell("th", F.lit("Balance:")), _cell("td", (c("c_custkey") % 7).cast("string"))),
-            F.lit("</table></div></html>"),
+            # a table within a cell that never ends
+            F.lit("<tr><th>Open:<td>x<table><tr><td>y<table></table></div></html>"),
         ).alias("html"),
     )
-    return papers.valid_entries(papers.metadata_entries(pages))
 
 
 @query(
-    """select p_partkey as page_id, goal, row_no, cells from (
-      select p_partkey, 1 as goal, 2 as row_no, p_name || '|' || p_brand || '|' || p_type as cells from part
-      union all select p_partkey, 1, 3, p_brand || '|' || p_size from part
-      union all select p_partkey, 1, 4, p_name || chr(10) || chr(10) || 'in' || '|é' from part
-      union all select p_partkey, 2, 2, p_type from part)"""
+    f"""select c_custkey as id, unnest(['Name:', 'Segment & Nation:', 'Balance:', 'Café éé:', 'Siblings:', 'Levels:']) as key,
+      unnest([c_name, c_mktsegment || chr(10) || c_nationkey, cast(c_custkey % 7 as varchar),
+        c_name || chr(10) || chr(10) || 'inner', rtrim(repeat(c_name || repeat(chr(10), 4), {INNER}), chr(10)), c_name]) as value
+    from customer"""
 )
-def html_table_rows(spark, sf_dir):
+def html_metadata(spark, sf_dir):
+    """Key and value rows out of a metadata block; a repeated key keeps its last value."""
+    return papers.valid_entries(papers.metadata_entries(_metadata_pages(spark, sf_dir)))
+
+
+@query(
+    """select c_custkey as id, unnest([cast(3 as bigint), 8]) as row_no, unnest([null, 'Open:']) as key,
+      unnest([false, true]) as has_value, unnest([true, false]) as closed from customer"""
+)
+def html_rejects(spark, sf_dir):
+    """Rows without a header, and those with a table that never ends."""
+    rejected = papers.rejected_entries(papers.metadata_entries(_metadata_pages(spark, sf_dir)))
+    value = F.col("value") != "no header here"
+    return rejected.select("id", "row_no", "key", value.alias("has_value"), "closed")
+
+
+def _table_pages(spark, sf_dir):
     c = F.col
     header = _row(_cell("th", F.lit("Target")), _cell("th", F.lit("Indicator")))
     opening = F.lit("<p>text</p><table class='wikitable sortable'>")
-    pages = table(spark, sf_dir, "part").select(
+    return table(spark, sf_dir, "part").select(
         c("p_partkey").alias("page_id"),
         F.concat(
             opening,
@@ -318,20 +339,51 @@ def html_table_rows(spark, sf_dir):
             _row(_cell("td", c("p_name")), _cell("td", c("p_brand")), _cell("td", c("p_type"))),
             _row(_cell("td", c("p_brand")), _cell("td", c("p_size").cast("string"))),
             F.lit("<tr><td>"), c("p_name"), F.lit("<table><tr><td>in</table><td>&eacute;"),
+            _row(_cell("td", _inner(c("p_brand"), side_by_side=INNER)), _cell("td", _inner(c("p_type"), levels=INNER))),
+            _row(_cell("td", F.lit("whole")), _cell("td", c("p_type"))),
             F.lit("</table>"),
             opening,
             header,
             _row(_cell("td", F.concat(F.lit("<i>"), c("p_type"), F.lit("</i>")))),
             F.lit("</table><table class='other'><tr><td>no</td></tr></table>"),
+            opening,
+            header,
+            _row(_cell("td", F.lit("kept"))),
+            F.lit("<tr><td>"), c("p_name"), F.lit("<table><tr><td>never closed</table><table>"),
         ).alias("html"),
-    )
-    rows = target_plans.table_rows(pages)
+    )
+
+
+_INNER_CELL = f"rtrim(repeat(p_brand || repeat(chr(10), 4), {INNER}), chr(10))"
+
+
+@query(
+    f"""select p_partkey as page_id, goal, row_no, cells from (
+      select p_partkey, 1 as goal, 2 as row_no, p_name || '|' || p_brand || '|' || p_type as cells from part
+      union all select p_partkey, 1, 3, p_brand || '|' || p_size from part
+      union all select p_partkey, 1, 4, p_name || chr(10) || chr(10) || 'in' || '|é' from part
+      union all select p_partkey, 1, 5, {_INNER_CELL} || '|' || p_type from part
+      union all select p_partkey, 1, 6, 'whole|' || p_type from part
+      union all select p_partkey, 2, 2, p_type from part
+      union all select p_partkey, 3, 2, 'kept' from part)"""
+)
+def html_table_rows(spark, sf_dir):
+    rows = target_plans.table_rows(_table_pages(spark, sf_dir))
+    return rows.withColumn("cells", F.array_join("cells", "|"))
+
+
+@query("select p_partkey as page_id, 3 as goal, 3 as row_no, p_name || chr(10) || chr(10) || 'never closed' as cells from part")
+def html_open_rows(spark, sf_dir):
+    """Rows that hold a table without an end."""
+    rows = target_plans.open_rows(_table_pages(spark, sf_dir))
     return rows.withColumn("cells", F.array_join("cells", "|"))
 
 
 @query(
-    """with rows as (select p_partkey as page_id, 1 as goal, 2 as row_no, p_name as target, p_brand as indicator from part
+    f"""with rows as (select p_partkey as page_id, 1 as goal, 2 as row_no, p_name as target, p_brand as indicator from part
       union all select p_partkey, 1, 3, p_name, p_type from part
+      union all select p_partkey, 1, 4, {_INNER_CELL}, p_type from part
+      union all select p_partkey, 1, 5, {_INNER_CELL}, 'last' from part
       union all select p_partkey, 2, 2, p_name, p_type from part)
     select page_id, goal, target, cast(0 as bigint) as batch_id,
       array_to_string(list(indicator order by row_no), ';') as indicators from rows group by 1, 2, 3"""
@@ -344,7 +396,9 @@ def target_pages(spark, sf_dir):
         c("p_partkey").alias("page_id"),
         F.concat(
             F.lit(opening + "<tr><td>"), c("p_name"), F.lit("<td>"), c("p_brand"), F.lit("<td>c<tr><td>"), c("p_type"),
-            F.lit("<td>c</table>" + opening + "<tr><td>"), c("p_name"), F.lit("<td>"), c("p_type"), F.lit("<td>c</table>"),
+            F.lit("<td>c<tr><td>"), _inner(c("p_brand"), side_by_side=INNER), F.lit("<td>"), _inner(c("p_type"), levels=INNER),
+            F.lit("<td>c<tr><td>last<td>c"),
+            F.lit("</table>" + opening + "<tr><td>"), c("p_name"), F.lit("<td>"), c("p_type"), F.lit("<td>c</table>"),
             F.lit(opening + "<tr><td>lost<td>c</table>"),
         ).alias("html"),
     )

@@ -58,19 +58,23 @@ def sql_before_tokens(expression: str) -> str:
     return sql_strip_digits(sql_strip_urls(sql_strip_html(f"lower({expression})")))
 
 
-def sql_tokens(expression: str) -> str:
-    """Words of digit-free text: whitespace tokens, each reduced to its letters."""
+def sql_tokens(expression: str, abbreviations: str | None = None) -> str:
+    """Words of digit-free text: whitespace tokens, each reduced to its letters.
+
+    ``abbreviations`` is a list expression that takes the place of the fixed list.
+    """
     spaced = (
         f"regexp_replace({expression},"
         f" '[;@#$%&?!*\\[\\](){{}}<>\"`{_QUOTES}:,{BLANKS}]|\\.{{2,}}|--|''''', ' ', 'g')"
     )
     raw = f"list_filter(string_split({spaced}, ' '), lambda w: w <> '')"
-    stopped = "|".join(["\\p{L}", *fixed.ABBREVIATIONS])
+    stopped = "|".join(["\\p{L}", *(() if abbreviations else fixed.ABBREVIATIONS)])
+    learned = f" or list_contains({abbreviations}, w[:-2]) and w like '%.'" if abbreviations else ""
     # An abbreviation keeps its full stop unless it ends the text.
     # A one-element list names the token list, so that it is made once per text.
     words = (
         f"list_transform([{raw}], lambda r: list_transform(r, lambda w, i: case"
-        f" when i < len(r) and regexp_matches(w, '^(?:{stopped})\\.$') then ''"
+        f" when i < len(r) and (regexp_matches(w, '^(?:{stopped})\\.$'){learned}) then ''"
         f" else regexp_extract(w, '^(\\p{{L}}+?)(?:n''t|''(?:s|m|d|ll|re|ve)?)?\\.?''*$', 1) end))[1]"
     )
     fused = (

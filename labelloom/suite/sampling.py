@@ -132,7 +132,7 @@ def shuffle_rows(spark, sf_dir):
 )
 def topk_per_topic(spark, sf_dir):
     documents = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
-    return sampling.top_per_group(documents, "source", [F.col("n_chars").desc(), F.col("doc_id")])
+    return sampling.top_per_group(documents, "source", ["-n_chars", "doc_id"])
 
 
 @query(

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from labelloom import fixed
 from labelloom.operators.sampling import bucket_split
-from labelloom.sources import readers, staging, writers
+from labelloom.functions.labels import label_word
+from labelloom.sources import publish, readers, staging, writers
 from labelloom.suite.registry import query, sql_process_text, sql_random, table
 
 
@@ -99,6 +101,24 @@ def split_round_trip(spark, sf_dir):
     return readers.read_splits(spark, files, "doc_id bigint, lang string")
 
 
+@query(
+    f"""select doc_id, case doc_id % 18 {" ".join(f"when {i} then '{w}'" for i, w in enumerate(fixed.NUMBER_WORDS))} end as label,
+      case when {sql_random(42, 'doc_id')} < 2147483648 then 'validation' else 'test' end as split from documents"""
+)
+def mapped_splits(spark, sf_dir):
+    """Splits whose labels are mapped to words and published under the name they were read from."""
+    folder = staging.new_path(spark, "published")
+    rows = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 18).cast("int").alias("label"))
+    publish.publish(bucket_split(rows, "doc_id"), folder, writers.write_splits)
+
+    def read(schema):
+        return lambda spark, path: readers.read_splits(spark, {n: f"{path}/split={n}" for n in ("validation", "test")}, schema)
+
+    words = lambda df: df.withColumn("label", label_word(F.col("label")))
+    publish.rewrite(spark, folder, words, read("doc_id bigint, label int"), writers.write_splits)
+    return read("doc_id bigint, label string")(spark, publish.current_path(spark, folder))
+
+
 @query(
     """select cast(item_id as varchar) as id, 'title' as title, text as abstract, 'a;b' as field,
       0 as sdg_relation from benchmark"""

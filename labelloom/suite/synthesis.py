@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from labelloom import fixed
 from labelloom.operators.lookup import unique_mapping
-from labelloom.plans import synthesis
+from labelloom.plans import attempts, synthesis
+from labelloom.sources import staging
 from labelloom.suite.registry import query, quoted, sql_key, sql_random, table
 
 # Part sizes stand for classes, brands for topics, part names for sub-topics,
@@ -146,3 +147,48 @@ def ingest_responses(spark, sf_dir):
 def missing_responses(spark, sf_dir):
     _, missing = synthesis.ingest_responses(_prompts(spark, sf_dir), _answers(spark, sf_dir))
     return missing.select("prompt_id")
+
+
+# --- three rounds of partial answers: customers stand for prompts ------------------------------
+
+#: Per round the divisor of the keys that are answered and of those that are refused.
+_ROUNDS = ((3, 4), (5, 7), (2, 11))
+_LEDGER = """prompts as (select cast(c_custkey as varchar) as prompt_id, c_custkey as k from customer),
+    round_1 as (select *, case when k % 4 = 0 then 'refused' when k % 3 = 0 then 'answered' else 'missing' end as outcome from prompts),
+    round_2 as (select prompt_id, k, case when k % 7 = 0 then 'refused' when k % 5 = 0 then 'answered' else 'missing' end as outcome
+      from round_1 where outcome = 'missing'),
+    round_3 as (select prompt_id, k, case when k % 11 = 0 then 'refused' when k % 2 = 0 then 'answered' else 'missing' end as outcome
+      from round_2 where outcome = 'missing'),
+    ledger as (select prompt_id, 1 as attempt, outcome, 'run-1' as run from round_1
+      union all select prompt_id, 2, outcome, 'run-2' from round_2 union all select prompt_id, 3, outcome, 'run-3' from round_3)"""
+
+
+def _rounds(spark, sf_dir, last=3):
+    """A ledger after some rounds, the second of which is written twice."""
+    path = staging.new_path(spark, "ledger")
+    prompts = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("prompt_id"), F.col("c_custkey").alias("k"))
+    for number, (answered, refused) in enumerate(_ROUNDS[:last], 1):
+        sent = staging.stage(attempts.open_prompts(prompts, attempts.read_ledger(spark, path)), "sent")
+        said = F.when(F.col("k") % refused == 0, "sorry, no").when(F.col("k") % answered == 0, "an abstract")
+        responses = sent.select("prompt_id", said.alias("message")).filter(F.col("message").isNotNull())
+        found = attempts.outcomes(sent, responses)
+        for _ in range(2 if number == 2 else 1):
+            attempts.record(spark, path, f"run-{number}", found)
+    return prompts, attempts.read_ledger(spark, path)
+
+
+@query(f"with {_LEDGER} select * from ledger")
+def attempt_ledger(spark, sf_dir):
+    """All attempts of three rounds; a repeated run leaves no second row."""
+    return _rounds(spark, sf_dir)[1]
+
+
+@query(f"with {_LEDGER} select prompt_id, k from round_2 where outcome = 'missing'")
+def open_prompts(spark, sf_dir):
+    """What the third round sends."""
+    return attempts.open_prompts(*_rounds(spark, sf_dir, last=2))
+
+
+@query(f"with {_LEDGER} select prompt_id, cast(3 as bigint) as attempts from round_3 where outcome = 'missing'")
+def lost_prompts(spark, sf_dir):
+    return attempts.lost_prompts(_rounds(spark, sf_dir)[1])

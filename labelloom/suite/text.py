@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from labelloom import fixed
 from labelloom.functions import labels, language
 from labelloom.functions import text as T
-from labelloom.operators import filters, languages, metrics, vocabulary
+from labelloom.operators import filters, languages, metrics, sentences, vocabulary
+from labelloom.operators.sampling import bucket_split
 from labelloom.sources.staging import stage
 from labelloom.suite.registry import (
     query,
@@ -17,6 +18,7 @@ from labelloom.suite.registry import (
     sql_language,
     sql_lemma,
     sql_process_text,
+    sql_random,
     sql_strip_digits,
     sql_strip_html,
     sql_strip_urls,
@@ -81,22 +83,33 @@ def lemmatize(spark, sf_dir):
     return words.select(F.col("token").alias("word"), T.lemmatize_noun(F.col("token")).alias("lemma"))
 
 
-@query(
-    "with words as (select distinct unnest(" + sql_word_tokens("text") + ") as token from documents), "
-    "cand as ("
-    + " union ".join(
-        ["select token, token as word from words"]
-        + [
-            f"select token, token[:-{len(old) + 1}] || '{new}' as word from words where token like '%{old}'"
-            for old, new in vocabulary.NOUN_RULES
-        ]
+#: Rounds of the suffix rules in the SQL below; no word of the tables needs more.
+_ROUNDS = 12
+_LEMMAS = (
+    "words as (select distinct unnest(" + sql_word_tokens("text") + ") as token from documents), "
+    "dictionary as (select distinct unnest(" + sql_word_tokens("text") + ") as word from benchmark), "
+    "rules as (select * from (values "
+    + ", ".join(f"({k + 1}, '{old}', '{new}')" for k, (old, new) in enumerate(vocabulary.NOUN_RULES))
+    + ") r(rule, old, new)), irregular as (select * from (values "
+    + ", ".join(f"({quoted([t])}, {quoted([w])})" for t, w in fixed.LEMMA_IRREGULAR.items())
+    + ") i(token, lemma)), "
+    "forms_0 as (select token, token as word, 0 as rule from words), "
+    + ", ".join(
+        f"forms_{n} as (select distinct token, word[:-(len(old) + 1)] || new as word, r.rule"
+        f" from forms_{n - 1} f join rules r on ends_with(word, old))"
+        for n in range(1, _ROUNDS + 1)
     )
-    + "), known as (select token, arg_min(word, (len(word), word)) as lemma from cand"
-    " where word in (select unnest(" + sql_word_tokens("text") + ") from benchmark) group by token)"
-    " select token, coalesce(lemma, token) as lemma from words left join known using (token)"
+    + ", forms as (select token, 1 as round, rule, word from forms_0 "
+    + " ".join(f"union all select token, {n}, rule, word from forms_{n}" for n in range(1, _ROUNDS + 1))
+    + " union all select token, 0, 0, token from words where token in (select token from irregular)"
+    " union all select token, 0, 1, lemma from words join irregular using (token)), "
+    "known as (select token, arg_min(word, (round, len(word), rule, word)) as lemma from forms"
+    " where word in (select word from dictionary) group by token), "
+    "lemmas as (select token, coalesce(lemma, token) as lemma from words left join known using (token))"
 )
-def lemma_table(spark, sf_dir):
-    """Dictionary-tested lemmas; the words of one table serve as vocabulary."""
+
+
+def _lemmas(spark, sf_dir):
     words = vocabulary.distinct_tokens(
         table(spark, sf_dir, "documents").select(language.word_tokens(F.col("text")).alias("tokens")),
         "tokens",
@@ -105,7 +118,25 @@ def lemma_table(spark, sf_dir):
         table(spark, sf_dir, "benchmark").select(language.word_tokens(F.col("text")).alias("tokens")),
         "tokens",
     )
-    return vocabulary.lemma_table(words, known.withColumnRenamed("token", "word"))
+    return vocabulary.lemma_table(words, known.withColumnRenamed("token", "word"), vocabulary.default_exceptions(words))
+
+
+@query(f"with {_LEMMAS} select * from lemmas")
+def lemma_table(spark, sf_dir):
+    """Dictionary-tested lemmas; the words of one table serve as vocabulary."""
+    return _lemmas(spark, sf_dir)
+
+
+@query(
+    f"""with {_LEMMAS}, placed as (select doc_id, unnest(tokens) as token, unnest(range(len(tokens))) as pos
+      from (select doc_id, {sql_word_tokens('text')} as tokens from documents))
+    select d.doc_id, coalesce(string_agg(lemma, ' ' order by pos), '') as text_clean
+    from documents d left join placed p on p.doc_id = d.doc_id left join lemmas using (token) group by 1"""
+)
+def apply_lemmas(spark, sf_dir):
+    """The words of every document under the dictionary."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", language.word_tokens(F.col("text")).alias("tokens"))
+    return vocabulary.apply_lemmas(rows, _lemmas(spark, sf_dir), "doc_id", "tokens")
 
 
 @query(f"select doc_id, {sql_process_text('text')} as text_clean from documents")
@@ -267,6 +298,129 @@ def detect_learned(spark, sf_dir):
     return languages.detect_by_join(rows, profiles, "row_id")
 
 
+# --- learned abbreviations ------------------------------------------------------------------
+
+
+#: A fifth of the turns, told by a hash of the row, says "approx." and "i.e." in front of its text.
+_SAID = "case when conv_id % 5 = 0 then 'Approx. ' || turn || ' i.e. ' || text else text end"
+_ABBREVIATIONS = rf"""said as (select conv_id || '-' || turn as row_id, {_SAID} as text from conversations),
+    types as (select unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+(?:\.[\p{{L}}\p{{N}}]+)*\.?')) as type from said),
+    stops as (select rtrim(type, '.') as token, cast(sum(cast(type like '%.' as integer)) as bigint) as with_stop,
+      cast(sum(cast(type not like '%.' as integer)) as bigint) as without_stop from types group by 1),
+    share as (select least(sum(with_stop)::double / sum(with_stop + without_stop), 0.99) as p from stops),
+    parts as (select *, len(token) - len(replace(token, '.', '')) as inner_stops, p from stops cross join share
+      where with_stop > 0 and regexp_matches(token, '^\p{{L}}+(?:\.\p{{L}}+)*$')),
+    scored as (select token, with_stop, without_stop, round(-2 * ((with_stop * ln(p) + without_stop * ln(1 - p))
+        - (with_stop * ln(0.99::double) + without_stop * ln(1 - 0.99::double)))
+      * exp(-(len(token) - inner_stops)) * (inner_stops + 1) * pow((len(token) - inner_stops)::double, -without_stop::double), 6) + 0.0::double as score
+      from parts),
+    learned as (select token, score from scored where score >= {sentences.LEAST_SCORE})"""
+
+
+def _said(spark, sf_dir):
+    text = F.when(F.col("conv_id") % 5 == 0, F.concat(F.lit("Approx. "), "turn", F.lit(" i.e. "), "text")).otherwise(F.col("text"))
+    return table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("row_id"), text.alias("text"))
+
+
+@query(f"with {_ABBREVIATIONS} select * from scored")
+def abbreviation_scores(spark, sf_dir):
+    """How strongly each word holds on to its full stop."""
+    return sentences.abbreviation_scores(_said(spark, sf_dir))
+
+
+@query(f"with {_ABBREVIATIONS} select * from learned")
+def learned_abbreviations(spark, sf_dir):
+    return sentences.learn_abbreviations(_said(spark, sf_dir))
+
+
+@query(
+    f"""with {_ABBREVIATIONS}, listed as (select list(token) as known from learned)
+    select row_id, array_to_string({sql_tokens(sql_before_tokens('text'), 'known')}, ' ') as tokens from said cross join listed"""
+)
+def learned_tokens(spark, sf_dir):
+    """Sentence ends by the abbreviations that the same texts teach."""
+    rows = _said(spark, sf_dir)
+    found = sentences.tokens_with(rows, sentences.learn_abbreviations(rows), "row_id")
+    return found.select("row_id", F.array_join("tokens", " ").alias("tokens"))
+
+
+# --- open set of languages ---------------------------------------------------------------
+
+
+def _sql_letters(source: str) -> str:
+    """CTEs ``gains`` and ``known`` of the letter profiles of a table (lang, text)."""
+    return f"""
+    letter_words as (select lang, w, count(*) as n from (select lang, unnest({sql_word_tokens('text')}) as w from {source}) group by 1, 2),
+    letter_counts as (select lang, gram, cast(sum(n) as bigint) as n from (select lang, n, unnest({_sql_runs('w')}) as gram
+      from letter_words) group by 1, 2),
+    gains as (select lang, gram, n, cast(round(ln(n + 1.0::double) * 1000) as bigint) as gain from letter_counts),
+    known as (select lang, cast(round(ln(1.0::double / (sum(n) + (select count(distinct gram) from gains))) * 1000) as bigint) as unseen,
+      sum(n * gain) // sum(n) as typical from gains group by 1)"""
+
+
+def _sql_runs(word: str) -> str:
+    return f"list_transform(range(1, len({word}) + 1), lambda i: substr(' ' || {word} || ' ', i, 3))"
+
+
+def _sql_open_set(rows: str, row_id: str) -> str:
+    """CTE ``found`` (row id, language) for a table with the row id and text."""
+    return f"""
+    row_words as (select {row_id}, unnest({sql_word_tokens('text')}) as w from {rows}),
+    row_grams as (select {row_id}, unnest({_sql_runs('w')}) as gram from row_words),
+    row_runs as (select {row_id}, count(*) as runs from row_grams group by 1),
+    row_gains as (select {row_id}, lang, sum(gain) as gained from row_grams join gains using (gram) group by 1, 2),
+    row_scores as (select r.{row_id}, k.lang, runs, 100 * coalesce(gained, 0) - runs * typical * {languages.LEAST_SHARE} as over,
+      coalesce(gained, 0) + runs * unseen as score
+      from row_runs r cross join known k left join row_gains g on g.{row_id} = r.{row_id} and g.lang = k.lang),
+    row_ranked as (select *, row_number() over w as rn, lead(score) over w as next
+      from row_scores window w as (partition by {row_id} order by score desc, lang)),
+    found as (select s.{row_id}, case when over >= 0
+        and (next is null or score - next >= {languages.MARGIN} * runs) then r.lang else 'error' end as language
+      from {rows} s left join row_ranked r on r.{row_id} = s.{row_id} and rn = 1)"""
+
+
+@query(f"with {_sql_letters('documents')} select lang, gram, n, gain from gains")
+def letter_profiles(spark, sf_dir):
+    """Runs of three characters per language, with integer log weights."""
+    return languages.letter_gains(table(spark, sf_dir, "documents"))
+
+
+@query(
+    f"""with {_sql_letters('documents')},
+    rows as (select conv_id || '-' || turn as row_id, text from conversations union all
+      select 'r' || conv_id || '-' || turn, reverse(text) from conversations),
+    {_sql_open_set('rows', 'row_id')}
+    select row_id, language from found"""
+)
+def detect_open_set(spark, sf_dir):
+    """Turns as they are and written backwards, which is no language."""
+    letters = languages.learn_letters(table(spark, sf_dir, "documents"))
+    turns = table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("row_id"), "text")
+    backwards = turns.select(F.concat(F.lit("r"), "row_id").alias("row_id"), F.reverse("text").alias("text"))
+    return languages.detect_open_set(turns.unionByName(backwards), letters, "row_id")
+
+
+@query(
+    f"""with halves as (select doc_id, lang, text, {sql_random(42, 'doc_id')} < 2147483648 as learn from documents),
+    learned as (select lang, text from halves where learn), asked as (select doc_id, lang, text from halves where not learn),
+    {_sql_letters('learned')}, {_sql_open_set('asked', 'doc_id')}
+    select asked.lang, count(*) as n, cast(sum(cast(asked.lang = language as integer)) as bigint) as n_right,
+      cast(sum(cast(language = 'error' as integer)) as bigint) as n_unknown
+    from asked join found using (doc_id) group by 1"""
+)
+def open_set_report(spark, sf_dir):
+    """Learned from a random half of the documents; how many of the other half are right and of no language."""
+    halves = bucket_split(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), "doc_id", ("learn", "ask"))
+    letters = languages.learn_letters(halves.filter("split = 'learn'"))
+    asked = halves.filter("split = 'ask'")
+    found = asked.join(languages.detect_open_set(asked, letters, "doc_id"), "doc_id")
+    return found.groupBy("lang").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum((F.col("lang") == F.col("language")).cast("bigint")).alias("n_right"),
+        F.sum((F.col("language") == language.UNKNOWN).cast("bigint")).alias("n_unknown"),
+    )
+
+
 @query(
     "select doc_id, array_to_string(string_split(text, chr(10)), ';') as lines from documents"
 )

@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from labelloom import fixed
@@ -17,6 +18,7 @@ from labelloom.operators import (
     metrics,
     ranking,
     sampling,
+    sentences,
     targets,
     vocabulary,
 )
@@ -164,14 +166,36 @@ def test_ordered_position_with_a_hot_group(spark):
 
 def test_first_per_group_with_a_hot_group(spark):
     df = spark.range(0, 5000, 1, 9).select(F.lit("hot").alias("g"), "id")
-    got = ranking.first_per_group(df, ["g"], [F.col("id").desc()], 3)
+    got = ranking.first_per_group(df, ["g"], ["-id"], 3)
     assert values(got, "id") == [(4997,), (4998,), (4999,)]
 
 
-def test_first_per_group_limits_before_each_shuffle(spark):
-    df = spark.range(100).withColumn("g", F.col("id") % 3)
-    plan = ranking.first_per_group(df, ["g"], [F.col("id")], 3)._jdf.queryExecution().executedPlan()
-    assert plan.toString().count("Partial") == 2
+@pytest.mark.parametrize("k", [1, 7, 400, 50_000])
+def test_selection_in_hot_groups(spark, monkeypatch, k):
+    """Many rounds of narrowing, order columns with nulls, falling and rising, null groups."""
+    monkeypatch.setattr(ranking, "RANKED", 500)
+    group = F.when(F.col("id") % 10 < 7, "hot").when(F.col("id") % 10 < 9, F.concat(F.lit("g"), F.col("id") % 3))
+    a = F.when(F.col("id") % 11 != 0, F.col("id") * 7919 % 1000)
+    df = spark.range(0, 90_000, 1, 8).select(group.alias("g"), a.alias("a"), F.concat(F.lit("s"), "id").alias("s"), F.col("id").alias("extra"))
+    got = ranking.first_per_group(df, ["g"], ["-a", "s"], k)
+    window = Window.partitionBy("g").orderBy(F.col("a").desc(), "s")
+    expected = df.withColumn("n", F.row_number().over(window)).filter(F.col("n") <= k).drop("n")
+    assert got.columns == df.columns and got.count() == expected.count()
+    assert got.exceptAll(expected).count() == 0
+
+
+def test_selection_keeps_ties_and_empty_tables(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "RANKED", 50)
+    df = spark.range(400).select(F.lit(1).alias("g"), F.when(F.col("id") < 10, F.col("id")).otherwise(10).alias("o"), "id")
+    assert ranking.first_per_group(df, ["g"], ["o"], 5).count() == 5
+    assert ranking.first_per_group(df, ["g"], ["o"], 20).count() == 400
+    assert ranking.first_per_group(df.limit(0), ["g"], ["o"], 5).count() == 0
+
+
+def test_selection_neither_sorts_nor_shuffles_the_rows(spark):
+    df = spark.range(10_000).select((F.col("id") % 3).alias("g"), "id", F.lit("text").alias("text"))
+    plan = ranking.first_per_group(df, ["g"], ["id"], 30)._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan and "Window" not in plan and "hashpartitioning" not in plan and "BroadcastHashJoin" in plan
 
 
 def test_positions_move_rows_once(spark, sf_dir):
@@ -370,6 +394,97 @@ def test_texts_without_known_tokens(spark):
     assert values(found, "id", "language") == [(1, "error"), (2, "error"), (3, "en")]
 
 
+SENTENCES = {
+    "en": "the people of this city have asked for more time because the work was not done",
+    "de": "die Menschen in dieser Stadt haben um mehr Zeit gebeten weil die Arbeit nicht fertig war",
+    "fr": "les gens de cette ville ont besoin de plus de temps parce que le travail est encore long",
+    "es": "la gente de esta ciudad pide más tiempo porque el trabajo todavía no está terminado",
+    "nl": "de mensen van deze stad hebben om meer tijd gevraagd omdat het werk nog niet klaar is",
+    "it": "la gente di questa città ha chiesto più tempo perché il lavoro non è ancora finito",
+    "pt": "as pessoas desta cidade pediram mais tempo porque o trabalho ainda não foi terminado",
+}
+
+
+def test_open_set_of_languages(spark):
+    known = [(lang, SENTENCES[lang]) for lang in ("en", "de", "fr", "es")]
+    learned = languages.learn_letters(spark.createDataFrame(known * 3, "lang string, text string"))
+    rows = [(k, lang, text) for k, (lang, text) in enumerate(SENTENCES.items())] + [(90, None, None), (91, None, ""), (92, None, "123 !")]
+    asked = spark.createDataFrame(rows, "id int, lang string, text string")
+    found = {r.id: r.language for r in languages.detect_open_set(asked, learned, "id").collect()}
+    assert [found[k] for k in range(7)] == ["en", "de", "fr", "es", "error", "error", "error"]
+    assert [found[k] for k in (90, 91, 92)] == ["error"] * 3
+    none = languages.learn_letters(spark.createDataFrame([(None, "a")], "lang string, text string"))
+    assert {r.language for r in languages.detect_open_set(asked, none, "id").collect()} == {"error"}
+
+
+def test_other_languages_are_not_english_or_spanish(spark, sf_dir):
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    learned = languages.learn_letters(documents)
+    asked = spark.createDataFrame([(lang, SENTENCES[lang]) for lang in ("nl", "it", "pt")], "id string, text string")
+    found = {r.id: r.language for r in languages.detect_open_set(asked, learned, "id").collect()}
+    assert not {"en", "es"} & set(found.values())
+
+
+def test_open_set_accuracy(spark, sf_dir):
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    split = sampling.stratified_split(documents, "lang", "doc_id").cache()
+    learned = languages.learn_letters(split.filter("split = 'train'"))
+    held_out = split.filter("split = 'test'")
+    found = languages.detect_open_set(held_out, learned, "doc_id").join(held_out, "doc_id")
+    assert found.count() == held_out.count()
+    assert found.agg(F.avg((F.col("lang") == F.col("language")).cast("int"))).first()[0] > 0.9
+
+
+def test_margin_and_share(spark):
+    rows = [("a", "abcabc"), ("b", "abcabd")]
+    learned = languages.learn_letters(spark.createDataFrame(rows, "lang string, text string"))
+    asked = spark.createDataFrame([(1, "abc")], "id int, text string")
+    assert languages.detect_open_set(asked, learned, "id", margin=0).first().language == "a"
+    assert languages.detect_open_set(asked, learned, "id", margin=5_000).first().language == "error"
+    far = spark.createDataFrame([(1, "xyz")], "id int, text string")
+    assert languages.detect_open_set(far, learned, "id", margin=0).first().language == "error"
+
+
+def test_abbreviations_are_learned(spark):
+    texts = [f"He met Approx. {k} people. The people were there, i.e. here. People of the town said no etc. and left." for k in range(30)]
+    texts += ["The end. A people. We go. No people.", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    scores = {r.token: r.score for r in sentences.abbreviation_scores(df).collect()}
+    assert scores["i.e"] > scores["etc"] > scores["approx"] > 0 and scores["people"] < sentences.LEAST_SCORE
+    learned = sentences.learn_abbreviations(df)
+    assert {"i.e", "etc"} <= {r.token for r in learned.collect()} and not learned.filter("token = 'people'").count()
+    assert sentences.abbreviation_scores(spark.createDataFrame([("no stops",)], "text string")).count() == 0
+    assert sentences.abbreviation_scores(df.limit(0)).count() == 0
+
+
+def test_abbreviation_scores_follow_the_formula(spark):
+    import math
+
+    df = spark.createDataFrame([("ab. x y z ab ab. end.",)], "text string")
+    row = sentences.abbreviation_scores(df).filter("token = 'ab'").first()
+    p, k, rest = 3 / 7, 2, 1
+    likelihood = lambda q: k * math.log(q) + rest * math.log(1 - q)
+    expected = -2 * (likelihood(p) - likelihood(0.99)) * math.exp(-2) / 2**rest
+    assert (row.with_stop, row.without_stop) == (k, rest) and row.score == pytest.approx(expected, abs=1e-6)
+
+
+def test_tokens_under_a_learned_table(spark):
+    rows = [(1, "see approx. five. then etc. go p. two dr. end approx."), (2, "no stop"), (3, ""), (4, "approx. x")]
+    df = spark.createDataFrame(rows, "id int, text string")
+    table = spark.createDataFrame([("approx", 1.0), ("etc", 2.0), ("etc", 2.5)], "token string, score double")
+    expected = {
+        1: ["see", "five", "then", "go", "two", "dr", "end", "approx"], 2: ["no", "stop"], 3: [], 4: ["x"],
+    }
+    for most in (10, 1, 0):
+        found = sentences.tokens_with(df, table, "id", most_literals=most)
+        assert found.columns == ["id", "text", "tokens"]
+        assert {r.id: r.tokens for r in found.collect()} == expected
+    plan = sentences.tokens_with(df, table, "id")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    bare = sentences.tokens_with(df, table.limit(0), "id").filter("id = 4").first().tokens
+    assert bare == ["approx", "x"]
+
+
 def test_vocabulary_lemmas(spark):
     words = ["species", "classes", "assess", "xyzs", "men", "wolves"]
     vocabulary_words = ["species", "specie", "class", "man", "wolf"]
@@ -382,3 +497,35 @@ def test_vocabulary_lemmas(spark):
     rows = spark.createDataFrame([(1, ["men", "see", "wolves"]), (2, [])], "id int, tokens array<string>")
     applied = vocabulary.apply_lemmas(rows, lemmas, "id", "tokens")
     assert values(applied, "id", "text_clean") == [(1, "man see wolf"), (2, "")]
+
+
+def test_lemma_rounds_and_exceptions(spark):
+    def lemma(words, known, exceptions=None):
+        tokens = spark.createDataFrame([(w,) for w in words], "token string")
+        listed = spark.createDataFrame([(w,) for w in known], "word string")
+        table = exceptions and spark.createDataFrame(exceptions, "token string, lemma string")
+        return dict(values(vocabulary.lemma_table(tokens, listed, table or None), "token", "lemma"))
+
+    # Without an entry for itself or its first form a word is cut again.
+    assert lemma(["less", "s", "sss"], ["le"]) == {"less": "le", "s": "s", "sss": "sss"}
+    assert lemma(["less"], ["le", "les"]) == {"less": "les"}
+    assert lemma(["less"], ["le", "less"]) == {"less": "less"}
+    assert lemma(["children", "wolveses"], ["child", "wolf", "wolve"]) == {"children": "children", "wolveses": "wolf"}
+    irregular = [("children", "child"), ("axes", "ax"), ("axes", "axis"), ("geese", "goose")]
+    assert lemma(["children", "axes", "geese"], ["child", "ax", "axis", "axe"], irregular) == {
+        "children": "child", "axes": "ax", "geese": "geese",
+    }
+    # Exceptions go first even where a rule would find a shorter word.
+    assert lemma(["axes"], ["axis", "ax"], [("axes", "axis")]) == {"axes": "axis"}
+    assert lemma(["men"], ["men", "man"]) == {"men": "men"}
+    assert lemma([], ["a"]) == {}
+
+
+@pytest.mark.parametrize("frequent", [0.0, 0.2, 2.0])
+def test_lemmas_of_frequent_and_rare_tokens_agree(spark, frequent):
+    rows = [(k, ["men", "see", "wolves"] + ["cats"] * (k % 3)) for k in range(30)] + [(99, None), (98, [])]
+    df = spark.createDataFrame(rows, "id int, tokens array<string>")
+    lemmas = spark.createDataFrame([("men", "man"), ("wolves", "wolf"), ("cats", "cat"), ("see", "see")], "token string, lemma string")
+    singular = {"men": "man", "wolves": "wolf", "cats": "cat"}
+    expected = sorted((k, " ".join(singular.get(t, t) for t in tokens or [])) for k, tokens in rows)
+    assert values(vocabulary.apply_lemmas(df, lemmas, "id", "tokens", frequent), "id", "text_clean") == expected

@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from labelloom import fixed, schemas
-from labelloom.plans import classifier, corpus, null_class, splits, synthesis
-from labelloom.sources import readers, staging, writers
+from labelloom.plans import attempts, classifier, corpus, null_class, splits, synthesis
+from labelloom.sources import publish, readers, staging, writers
 from labelloom.streaming import landing
 
 EN = "The results of this study are in the paper that we have from the field"
@@ -259,6 +259,95 @@ def test_landed_answers_are_taken_once(spark, tmp_path):
     assert run() == 2
 
 
+def test_ledger_of_attempts(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    prompts = spark.createDataFrame([(str(k),) for k in range(6)], "prompt_id string")
+    assert attempts.open_prompts(prompts, attempts.read_ledger(spark, path)).count() == 6
+    answers = [
+        [("0", "text"), ("0", "another"), ("1", "I'm sorry"), ("x", "stray")], [("2", None)], [("3", "text")], [("4", "late")],
+    ]
+    for number, said in enumerate(answers[:3]):
+        sent = staging.stage(attempts.open_prompts(prompts, attempts.read_ledger(spark, path)), "sent")
+        found = attempts.outcomes(sent, spark.createDataFrame(said, schemas.RESPONSES))
+        attempts.record(spark, path, f"run-{number}", found)
+    ledger = attempts.read_ledger(spark, path)
+    rows = values(ledger, "prompt_id", "attempt", "outcome", "run")
+    assert rows == sorted([
+        ("0", 1, "answered", "run-0"), ("1", 1, "refused", "run-0"),
+        *[(k, 1, "missing", "run-0") for k in "2345"],
+        ("2", 2, "answered", "run-1"), *[(k, 2, "missing", "run-1") for k in "345"],
+        ("3", 3, "answered", "run-2"), *[(k, 3, "missing", "run-2") for k in "45"],
+    ])
+    assert attempts.open_prompts(prompts, ledger).count() == 0
+    assert values(attempts.lost_prompts(ledger), "prompt_id") == [("4",), ("5",)]
+    assert values(attempts.open_prompts(prompts, ledger, most=4), "prompt_id") == [("4",), ("5",)]
+    # An earlier run written again has the numbers it had.
+    again = ledger.filter("run = 'run-1'").select("prompt_id", "outcome")
+    attempts.record(spark, path, "run-1", staging.stage(again, "again"))
+    assert values(attempts.read_ledger(spark, path), "prompt_id", "attempt", "outcome", "run") == rows
+
+
+def test_stream_writes_the_ledger(spark, tmp_path):
+    landed, out, checkpoint, ledger = (str(tmp_path / n) for n in ("landed", "out", "state", "ledger"))
+    (tmp_path / "landed").mkdir()
+    prompts = staging.stage(_prompts(spark), "prompts")
+
+    def run(name, *answers):
+        lines = [json.dumps({"prompt_id": p, "message": m}) for p, m in answers]
+        (tmp_path / "landed" / name).write_text("\n".join(lines) + "\n")
+        landing.ingest_landed(spark, prompts, landed, out, "gpt-4-turbo", checkpoint, ledger).awaitTermination()
+
+    run("a.jsonl", ("1-1", "text"), ("1-2", "I apologize"), ("9-9", "stray"))
+    first = values(attempts.read_ledger(spark, ledger), "prompt_id", "attempt", "outcome", "run")
+    assert first == [("1-1", 1, "answered", "batch-00000000"), ("1-2", 1, "refused", "batch-00000000")]
+    # The micro-batch again, as after a failure between its writes and the checkpoint.
+    again = spark.createDataFrame([("1-1", "text"), ("1-2", "I apologize"), ("9-9", "stray")], schemas.RESPONSES)
+    sent = prompts.join(again.select("prompt_id"), "prompt_id", "left_semi")
+    attempts.record(spark, ledger, "batch-00000000", attempts.outcomes(sent, again))
+    assert values(attempts.read_ledger(spark, ledger), "prompt_id", "attempt", "outcome", "run") == first
+    landing.close_round(spark, prompts, ledger, "batch-00000000-end")
+    rows = attempts.read_ledger(spark, ledger)
+    assert rows.filter("outcome = 'missing' and attempt = 1").count() == 43
+    assert attempts.open_prompts(prompts, rows).count() == 43
+    run("b.jsonl", ("1-3", "text"))
+    late = attempts.read_ledger(spark, ledger).filter("prompt_id = '1-3'")
+    assert values(late, "attempt", "outcome") == [(1, "missing"), (2, "answered")]
+
+
+# --- published folders ------------------------------------------------------------------------
+
+
+def test_publish_under_the_same_name(spark, tmp_path):
+    folder = str(tmp_path / "set")
+    assert publish.current_version(spark, folder) is None
+    with pytest.raises(FileNotFoundError):
+        publish.current_path(spark, folder)
+    publish.publish(spark.createDataFrame([(1, "a"), (2, "b")], "id int, label string"), folder)
+    reader = spark.read.parquet(publish.current_path(spark, folder))
+    publish.rewrite(spark, folder, lambda df: df.withColumn("label", F.upper("label")))
+    assert values(spark.read.parquet(publish.current_path(spark, folder)), "label") == [("A",), ("B",)]
+    # A plan made before the swap stays with its version.
+    assert values(reader, "label") == [("a",), ("b",)]
+
+
+def test_a_failed_publication_changes_nothing(spark, tmp_path):
+    folder = str(tmp_path / "set")
+    publish.publish(spark.range(3), folder)
+    before = publish.current_version(spark, folder)
+    broken = spark.range(3).select(F.raise_error(F.lit("half way")).alias("id"))
+    with pytest.raises(Exception, match="half way"):
+        publish.publish(broken, folder)
+
+    def half(df, path):
+        df.write.parquet(path)
+        raise RuntimeError("before the swap")
+
+    with pytest.raises(RuntimeError):
+        publish.rewrite(spark, folder, lambda df: df, write=half)
+    assert publish.current_version(spark, folder) == before
+    assert spark.read.parquet(publish.current_path(spark, folder)).count() == 3
+
+
 # --- null class ------------------------------------------------------------------------------
 
 

@@ -162,6 +162,12 @@ def test_detect_language(column):
         assert column(language.detect_language, nothing) == "error"
 
 
+def test_other_languages_have_names_of_their_own(column):
+    assert column(language.detect_language, "de mensen van deze stad hebben om meer tijd gevraagd omdat het werk niet klaar is") == "nl"
+    assert column(language.detect_language, "la gente di questa città ha chiesto più tempo perché il lavoro non è finito") == "it"
+    assert column(language.detect_language, "as pessoas pediram mais tempo porque o trabalho ainda não foi terminado") == "pt"
+
+
 def test_detect_language_accuracy(spark):
     documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     hit = (language.detect_language(F.col("text")) == F.col("lang")).cast("int")
