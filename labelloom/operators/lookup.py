@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from labelloom.operators import bloom
+
 
 def union_all(*frames: DataFrame) -> DataFrame:
     """Bag union by column name; missing columns become null."""
@@ -71,17 +73,19 @@ def skip_named(
     """Topics for which no file exists yet.
 
     With ``exact=False`` a file counts if its name merely ends with the topic's
-    file name. That test becomes an equality join on the suffixes of each file
-    name (file names are short).
+    file name. That test becomes an equality join on suffixes of the file names. Only
+    suffixes as long as some topic's file name are cut, and only those that a Bloom filter
+    of the topics lets pass are shuffled.
     """
     wanted = topics.withColumn("_file", F.concat(F.col(topic), F.lit(extension)))
     names = files.select(F.col(file_name).alias("_file"))
     if not exact:
-        names = names.distinct().filter(F.length("_file") > 0).select(
-            F.explode(
-                F.transform(F.sequence(F.lit(1), F.length("_file")), lambda n: F.right("_file", n))
-            ).alias("_file")
-        )
+        # File names are short, so there are few lengths.
+        lengths = sorted(r["n"] for r in wanted.select(F.length("_file").alias("n")).distinct().collect() if r["n"])
+        listed = F.array(*map(F.lit, lengths)).cast("array<int>")
+        fitting = F.filter(listed, lambda n: n <= F.length("_file"))
+        suffixes = names.select(F.explode(F.transform(fitting, lambda n: F.right("_file", n))).alias("_file"))
+        names = suffixes.filter(bloom.build(wanted, "_file").may_contain(F.col("_file")))
     return wanted.join(names.distinct(), "_file", "left_anti").drop("_file")
 
 

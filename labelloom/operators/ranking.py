@@ -112,14 +112,12 @@ def kth_per_group(keys: DataFrame, group: Sequence[str], order: Sequence[str], k
         )
         narrowed = stage(narrowed, "selection")
         # Only rows that are equal in all order columns cannot be told apart.
-        equal = narrowed.filter("_stuck").join(inside(narrowed.drop("_stuck")).groupBy(*[F.col(o).alias(f"{o}_") for o in own]).agg(
-            F.min("_key").alias("_one"), F.max("_key").alias("_other")
-        ).filter(F.col("_one") == F.col("_other")), F.lit(True) & _pairs(own, [f"{o}_" for o in own])) if narrowed.filter("_stuck").take(1) else None
-        if equal is not None:
-            done = stage(equal.select(*own, F.col("_one").alias("_cut")), "cut")
-            cuts.append(done)
-            other = done.select(*[F.col(o).alias(f"{o}_") for o in own])
-            narrowed = narrowed.join(other, _pairs(own, [f"{o}_" for o in own]), "left_anti")
+        stuck = narrowed.filter("_stuck")
+        if stuck.take(1):
+            ends = inside(stuck).groupBy(*own).agg(F.min("_key").alias("_cut"), F.max("_key").alias("_last"))
+            cuts.append(stage(ends.filter(F.col("_cut").eqNullSafe(F.col("_last"))).drop("_last"), "cut"))
+            done = cuts[-1].select(*[F.col(o).alias(f"{o}_") for o in own])
+            narrowed = narrowed.join(done, _matches(narrowed, done, own, [f"{o}_" for o in own]), "left_anti")
         state = stage(narrowed.drop("_stuck"), "selection")
     result = cuts[0]
     for cut in cuts[1:]:
@@ -127,13 +125,6 @@ def kth_per_group(keys: DataFrame, group: Sequence[str], order: Sequence[str], k
     return result.withColumnsRenamed(dict(zip(own, group)))
 
 
-def _pairs(left: Sequence[str], right: Sequence[str]) -> Column:
-    condition = F.lit(True)
-    for a, b in zip(left, right):
-        condition = condition & F.col(a).eqNullSafe(F.col(b))
-    return condition
-
-
 def _matches(left: DataFrame, right: DataFrame, names: Sequence[str], others: Sequence[str]) -> Column:
     condition = F.lit(True)
     for a, b in zip(names, others):

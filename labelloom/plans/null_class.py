@@ -17,7 +17,7 @@ def topic_rows(hits: DataFrame, cap: int | None = None) -> DataFrame:
     All hits count; a ``cap`` keeps that many per topic, by rank.
     """
     if cap is not None:
-        hits = top_per_group(hits, "topic", [F.col("rank"), F.col("paperId")], cap)
+        hits = top_per_group(hits, "topic", ["rank", "paperId"], cap)
     return drop_missing(hits, "abstract").select(
         "topic",
         F.col("paperId").alias("id"),

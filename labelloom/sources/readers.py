@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -80,9 +81,11 @@ def read_data(
     return spark.read.schema(schema).parquet(path)
 
 
-def read_model_tree(spark: SparkSession, base: str, model: str = "llama-3-70b") -> DataFrame:
+def read_model_tree(
+    spark: SparkSession, base: str, model: str = "llama-3-70b", files: str = "*.json*"
+) -> DataFrame:
     """All JSON-lines files two levels below one model's folder."""
-    return read_jsonl(spark, f"{base.rstrip('/')}/{model}/*/*.jsonl", schemas.SYNTHETIC)
+    return read_jsonl(spark, f"{base.rstrip('/')}/{model}/*/{files}", schemas.SYNTHETIC)
 
 
 def read_generated(spark: SparkSession, base: str, model: str | None = None) -> DataFrame:
@@ -99,7 +102,11 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_subtopics(spark: SparkSession, path: str) -> DataFrame:
-    """The nested topic catalogue as rows (sdg_id, main_topic, sub_topic)."""
+    """The nested topic catalogue as rows (sdg_id, main_topic, sub_topic).
+
+    A document is one value, since it is one nested map. A large catalogue is kept as
+    many documents, one per goal, say: each file is a row of its own.
+    """
     document = spark.read.text(path, wholetext=True).select(
         F.from_json("value", schemas.SUBTOPICS, {"mode": "FAILFAST"}).alias("goals")
     )
@@ -118,22 +125,58 @@ def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     return document.select(F.explode("papers").alias("id", "meta"))
 
 
+def header_table(spark: SparkSession, path: str, excluded: Sequence[str] = ()) -> DataFrame:
+    """(file, header): the first line of every CSV file whose name holds none of the excluded words.
+
+    Files without a line have no row. Only the first block of a file is read.
+    """
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_name").alias("_name"),
+        F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_at"),
+    )
+    for word in excluded:
+        lines = lines.filter(~F.contains("_name", F.lit(word)))
+    first = lines.filter(F.col("_start") == 0).groupBy("file").agg(F.min_by("value", "_at").alias("header"))
+    return first
+
+
 def read_topic_files(
     spark: SparkSession,
     folder: str,
     schema: str = schemas.NULL_CLASS_TOPIC,
     excluded: Sequence[str] = fixed.EXCLUDED_FILE_MARKERS,
 ) -> DataFrame:
-    """All CSV files of a folder whose names hold none of the excluded words.
+    """All CSV files of a folder whose names hold none of the excluded words, their columns by name.
 
-    The condition on the file name skips the files themselves. Write results
-    to another folder, or the next run reads them again.
+    Files may have their columns in any order, and further columns, such as the index
+    column without a name. The driver gets one line per file, its header; files with one header
+    are one scan. A file that lacks a column is an error. The condition on the file
+    name skips the files themselves. Write results to another folder, or the next run reads
+    them again.
     """
-    raw = _csv(spark, ",", True, enforceSchema=True).schema(schema).csv(f"{folder.rstrip('/')}/*.csv")
-    name = F.col("_metadata.file_name")
-    for word in excluded:
-        raw = raw.filter(~F.contains(name, F.lit(word)))
-    return raw.drop("_c0")
+    path = f"{folder.rstrip('/')}/*.csv"
+    fields = [f for f in _struct(schema).fields if not f.name.startswith("_c")]
+    layouts: dict[tuple[str, ...], list[str]] = {}
+    for row in header_table(spark, path, excluded).collect():
+        line = (row["header"] or "").removeprefix("\ufeff")
+        names = tuple(n or f"_c{k}" for k, n in enumerate(next(csv.reader([line]), [])))
+        if missing := [f.name for f in fields if f.name not in names]:
+            raise ValueError(f"{row['file']} has no column {', '.join(missing)}")
+        if len(set(names)) < len(names):
+            raise ValueError(f"{row['file']} has two columns of one name")
+        layouts.setdefault(names, []).append(row["file"])
+    parts = []
+    for names, files in sorted(layouts.items()):
+        texts = T.StructType([T.StructField(n, T.StringType()) for n in names])
+        raw = _csv(spark, ",", True, enforceSchema=True).schema(texts).csv(path)
+        raw = raw.filter(F.col("_metadata.file_path").isin(files))
+        parts.append(raw.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in fields]))
+    if not parts:
+        return spark.createDataFrame([], T.StructType(fields))
+    result = parts[0]
+    for part in parts[1:]:
+        result = result.unionByName(part)
+    return result
 
 
 def read_if_exists(spark: SparkSession, path: str, schema: str, format: str = "json") -> DataFrame:

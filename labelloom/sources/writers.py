@@ -16,11 +16,11 @@ def run_time(moment: Column | None = None) -> Column:
 
 
 def write_csv(
-    df: DataFrame, path: str, partition_by: list[str] | None = None, delimiter: str = ","
+    df: DataFrame, path: str, partition_by: list[str] | None = None, delimiter: str = ",", mode: str = "overwrite"
 ) -> str:
     """CSV in the dialect of ``readers.read_csv``; blanks around a text are kept."""
     writer = (
-        df.write.mode("overwrite")
+        df.write.mode(mode)
         .option("header", True)
         .option("sep", delimiter)
         .option("escape", '"')

@@ -141,12 +141,16 @@ def papers_per_category_first(spark, sf_dir):
 _PAPERS = """listed as (select cast(c_custkey as varchar) as id, r_name || ' > ' || n_name as first,
       c_mktsegment || ' > ' || n_name as second
       from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey),
-    labelled as (select cast(o_custkey as varchar) as id, arg_min(o_orderkey % 5, o_orderkey) as SDG from orders group by 1),
+    labelled as (select cast(o_custkey as varchar) as id, arg_min(o_orderkey % 5, o_orderkey) as SDG from orders
+      where o_custkey % 5 <> 0 group by 1),
     found as (select * from listed join labelled using (id))"""
 
 
 def _labelled_papers(spark, sf_dir):
-    """Customers with both category keys and another one; their first order gives the class."""
+    """Customers with both category keys and another one; their first order gives the class.
+
+    The label rows of every fifth customer have lost their id.
+    """
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment", "c_name")
     placed = customers.join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(
         table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")
@@ -158,7 +162,7 @@ def _labelled_papers(spark, sf_dir):
     )
     listed = placed.select(F.col("c_custkey").cast("string").alias("id"), meta.alias("meta"))
     labels = table(spark, sf_dir, "orders").select(
-        F.col("o_custkey").cast("string").alias("ID"), (F.col("o_orderkey") % 5).alias("SDG"), F.col("o_orderkey").alias("row_no")
+        F.when(F.col("o_custkey") % 5 != 0, F.col("o_custkey").cast("string")).alias("ID"), (F.col("o_orderkey") % 5).alias("SDG"), F.col("o_orderkey").alias("row_no")
     )
     return papers.label_papers(listed, labels)
 
@@ -426,10 +430,11 @@ _PARTS = f"""prepared as (select doc_id as row_id, {sql_process_text('text')} as
     weights as (select label, token, cast(round(ln(n + 1.0::double) * 1000) as bigint) as weight from counts),
     priors as (select label, cast(round(ln(rows::double / every) * 1000) as bigint) as prior,
       cast(round(ln(1.0::double / size) * 1000) as bigint) as unseen from classes),
-    words as (select row_id, label as truth, token from (select row_id, label, unnest(string_split(text_clean, ' ')) as token
-      from usable where row_id in (select row_id from held)) where token <> ''),
+    asked as (select row_id, label, text_clean from prepared where label is null or row_id in (select row_id from held)),
+    words as (select row_id, token from (select row_id, unnest(string_split(text_clean, ' ')) as token
+      from asked) where token <> ''),
     lengths as (select u.row_id, u.label as truth, (select count(*) from words w where w.row_id = u.row_id) as size
-      from usable u where row_id in (select row_id from held)),
+      from asked u),
     seen as (select row_id, w.label, sum(weight) as seen from words join weights w using (token) group by 1, 2),
     sums as (select s.row_id, truth, p.label, prior + size * unseen + coalesce(seen, 0) as total
       from lengths s cross join priors p left join seen on seen.row_id = s.row_id and seen.label = p.label),
@@ -439,18 +444,19 @@ _PARTS = f"""prepared as (select doc_id as row_id, {sql_process_text('text')} as
 
 @query(f"with {_PARTS} select row_id, truth, prediction from best")
 def classify(spark, sf_dir):
-    """Train on the train part of a rule-based split, predict its test part."""
+    """Train on the train part of a rule-based split, predict its test part and the documents without a label."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    rows = documents.join(labels, "doc_id", "left").filter(F.col("quality").isNotNull()).select(
+    rows = documents.join(labels, "doc_id", "left").select(
         F.col("doc_id").alias("row_id"), process_text(F.col("text")).alias("text_clean"),
         F.col("quality").alias("label"), F.lit(1).alias("is_abstract"),
     )
-    split = stage(sampling.rule_based_split(stage(rows, "labelled")), "split")
+    rows = stage(rows, "prepared")
+    split = stage(sampling.rule_based_split(rows.filter(F.col("label").isNotNull())), "split")
     model = classifier.train_counts(split.filter("split = 'train'"))
-    test = split.filter("split = 'test'")
-    found = classifier.score_counts(model, test, "row_id")
-    return test.select("row_id", F.col("label").alias("truth")).join(found, "row_id")
+    asked = rows.filter(F.col("label").isNull()).unionByName(split.filter("split = 'test'").drop("split"))
+    found = classifier.score_counts(model, asked, "row_id")
+    return asked.select("row_id", F.col("label").alias("truth")).join(found, "row_id")
 
 
 @query(

@@ -124,7 +124,7 @@ def mapped_splits(spark, sf_dir):
       0 as sdg_relation from benchmark"""
 )
 def topic_files(spark, sf_dir):
-    """A folder of CSV files, written with an index column; excluded names are skipped."""
+    """A folder of CSV files with columns in two orders, one with an index column; columns go by name."""
     path = staging.new_path(spark, "files")
     rows = table(spark, sf_dir, "benchmark").select(
         F.col("item_id").cast("int").alias("_c0"),
@@ -134,10 +134,46 @@ def topic_files(spark, sf_dir):
         F.lit("a;b").alias("field"),
         F.lit(0).alias("sdg_relation"),
     )
-    writers.write_csv(rows, path)
+    writers.write_csv(rows.filter(F.col("_c0") % 2 == 0), path)
+    other = rows.filter(F.col("_c0") % 2 == 1).select("abstract", "sdg_relation", "id", "field", "title")
+    writers.write_csv(other, path, mode="append")
     return readers.read_topic_files(spark, path)
 
 
+@query(
+    """select text, cast(conv_id % 17 + 1 as integer) as sdg_id, role as main_topic,
+      cast(turn as varchar) as sub_topic, 'plain' as style, 40 as length from conversations"""
+)
+def model_tree(spark, sf_dir):
+    """Files of one model, two levels below its folder; another model's stay unread."""
+    base = staging.new_path(spark, "tree")
+    turns = table(spark, sf_dir, "conversations").select(
+        "text",
+        (F.col("conv_id") % 17 + 1).cast("int").alias("sdg_id"),
+        F.col("role").alias("main_topic"),
+        F.col("turn").cast("string").alias("sub_topic"),
+        F.lit("plain").alias("style"),
+        F.lit(40).alias("length"),
+    )
+    for model, rows in (("llama-3-70b", turns), ("other", turns.withColumn("style", F.lit("dense")))):
+        rows.withColumn("sdg_goal", F.col("sdg_id")).hint("rebalance", "sdg_goal").write.partitionBy("sdg_goal").json(f"{base}/{model}")
+    return readers.read_model_tree(spark, base)
+
+
+@query("select distinct p_size as sdg_id, p_brand as main_topic, p_name as sub_topic from part")
+def subtopic_catalogue(spark, sf_dir):
+    """The nested catalogue as one document per goal, read back as rows."""
+    path = staging.new_path(spark, "catalogue")
+    parts = table(spark, sf_dir, "part").select("p_size", "p_brand", "p_name").distinct()
+    topics = parts.groupBy("p_size", "p_brand").agg(F.collect_list("p_name").alias("Subtopics"))
+    goals = topics.groupBy("p_size").agg(
+        F.map_from_entries(F.collect_list(F.struct("p_brand", F.struct("Subtopics")))).alias("topics")
+    )
+    document = F.to_json(F.create_map(F.col("p_size").cast("string"), F.col("topics")))
+    goals.select("p_size", document.alias("value")).repartition("p_size").write.partitionBy("p_size").text(path)
+    return readers.read_subtopics(spark, f"{path}/*/*.txt")
+
+
 @query("select cast(doc_id as varchar) as id, text from documents")
 def resume_source(spark, sf_dir):
     """Earlier output is read if it exists, else the frame is empty."""

@@ -10,6 +10,7 @@ from labelloom import fixed
 from labelloom.functions import html
 from labelloom.operators import (
     batching,
+    bloom,
     categories,
     dedup,
     filters,
@@ -68,6 +69,25 @@ def test_skip_named_by_suffix_and_exactly(spark):
     assert lookup.skip_named(topics, files).count() == 2
 
 
+def test_suffixes_are_cut_by_length_and_filtered(spark):
+    topics = spark.createDataFrame([("a",), ("long topic",), ("",), (None,)], "topic string")
+    files = spark.createDataFrame([("x a.csv",), ("no long topic.cs",), (None,), ("csv",)], "name string")
+    assert values(lookup.skip_named(topics.filter("topic is not null"), files, exact=False), "topic") == [("long topic",)]
+    assert lookup.skip_named(topics.limit(0), files, exact=False).count() == 0
+    assert lookup.skip_named(topics, files.limit(0), exact=False).count() == 4
+
+
+@pytest.mark.parametrize("most", [1 << 10, 1 << 21])
+def test_bloom_filter_loses_nothing(spark, monkeypatch, most):
+    monkeypatch.setattr(bloom, "MOST_BITS", most)
+    values_in = spark.range(0, 6000, 2).select(F.concat(F.lit("v"), "id").alias("v"))
+    found = bloom.build(values_in, "v")
+    asked = spark.range(6000).select("id", F.concat(F.lit("v"), "id").alias("v")).filter(found.may_contain(F.col("v")))
+    assert asked.filter("id % 2 = 0").count() == 3000
+    if most > 1 << 15:
+        assert asked.filter("id % 2 = 1").count() < 300
+
+
 def test_union_fills_missing_columns(spark):
     a = spark.createDataFrame([(1, "x")], "n int, s string")
     b = spark.createDataFrame([(1,)], "n int")

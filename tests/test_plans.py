@@ -91,6 +91,27 @@ def test_topic_files_skip_excluded_names(spark, tmp_path):
     assert readers.read_topic_files(spark, str(tmp_path)).count() == 1
 
 
+def test_topic_files_by_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(',id,title,abstract,field,sdg_relation\n0,1,t,"two\nlines, ""q""",f,0\n')
+    (tmp_path / "b c.csv").write_text("abstract,extra,sdg_relation,id,field,title\nA,e,0,2,f,T\n")
+    (tmp_path / "empty.csv").write_text("")
+    (tmp_path / "d.csv").write_text("\ufeffid,abstract,title,field,sdg_relation\n3,A3,T3,f,0\n")
+    got = readers.read_topic_files(spark, str(tmp_path))
+    assert values(got, "id", "title", "abstract") == [("1", "t", 'two\nlines, "q"'), ("2", "T", "A"), ("3", "T3", "A3")]
+    (tmp_path / "e.csv").write_text("id,title,field,sdg_relation\n4,T,f,0\n")
+    with pytest.raises(ValueError, match="abstract"):
+        readers.read_topic_files(spark, str(tmp_path))
+
+
+def test_topic_files_with_broken_rows_fail(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,title,abstract,field,sdg_relation\n1,t,a,f\n")
+    with pytest.raises(Exception):
+        readers.read_topic_files(spark, str(tmp_path)).collect()
+    (tmp_path / "a.csv").write_text("id,title,id,abstract,field,sdg_relation\n")
+    with pytest.raises(ValueError, match="two columns"):
+        readers.read_topic_files(spark, str(tmp_path))
+
+
 def test_read_if_exists(spark, tmp_path):
     assert readers.read_if_exists(spark, str(tmp_path / "no"), "id string").count() == 0
 
