@@ -226,30 +226,36 @@ def ordered_position(
 ) -> DataFrame:
     """Number the rows of each group from 1 in the given order.
 
-    The frame is range-sorted over (group, order), so a hot group spreads over
-    many ranges; per-range counts then give each range its offset. The sorted
-    frame is staged because range bounds are sampled anew in every run.
+    Only the distinct group and order columns are range-sorted and staged, so a hot
+    group spreads over many ranges; per-range counts then give each range its
+    offset. The rows themselves move once, to meet the position of their key. Rows with
+    equal keys get neighbouring numbers.
     """
     keys = [*group, *order]
-    sorted_rows = df.orderBy(*keys).select(
-        "*",
-        F.spark_partition_id().alias("_range"),
-        F.monotonically_increasing_id().alias("_place"),
-    )
-    staged = stage(sorted_rows, "sorted")
-    ranges = staged.groupBy(*group, "_range").agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_first")
+    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).orderBy(*keys)
+    # Staged, because range bounds are sampled anew in every run.
+    staged = stage(
+        counted.select("*", F.spark_partition_id().alias("_range"), F.monotonically_increasing_id().alias("_place")), "sorted"
     )
+    repeated = (staged.agg(F.max("_n")).first()[0] or 0) > 1
+    ranges = staged.groupBy(*group, "_range").agg(F.sum("_n").alias("_n"), F.min("_place").alias("_first"))
     before = Window.partitionBy(*group).orderBy("_range").rowsBetween(
         Window.unboundedPreceding, -1
     )
     offsets = ranges.select(
-        *group,
-        "_range",
-        (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_shift"),
+        *group, "_range", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")
     )
     offsets = stage(offsets, "ranges")
-    return staged.join(offsets, _same(staged, offsets, [*group, "_range"])).select(
-        *[staged[c] for c in df.columns],
-        (F.col("_place") + F.col("_shift")).cast("bigint").alias(name),
+    inside = F.col("_place") - F.col("_first")
+    if repeated:
+        within = Window.partitionBy(*[staged[c] for c in (*group, "_range")]).orderBy("_place")
+        inside = F.coalesce(F.sum(staged["_n"]).over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = [f"_k{i}" for i in range(len(keys))]
+    starts = staged.join(offsets, _same(staged, offsets, [*group, "_range"])).select(
+        *[staged[c].alias(o) for c, o in zip(keys, own)], (F.col("_offset") + inside + 1).alias("_start")
     )
+    placed = df.join(starts, _matches(df, starts, keys, own))
+    position = F.col("_start")
+    if repeated:
+        position = position + F.row_number().over(Window.partitionBy(*own).orderBy("_start")) - 1
+    return placed.select(*[df[c] for c in df.columns], position.cast("bigint").alias(name))

@@ -8,7 +8,7 @@ from labelloom import fixed
 from labelloom.functions.text import process_text
 from labelloom.functions.text import truncate_tokens as cut_tokens
 from labelloom.operators import batching, categories, sampling, targets
-from labelloom.plans import classifier, papers
+from labelloom.plans import classifier, papers, splits
 from labelloom.plans import targets as target_plans
 from labelloom.sources.staging import stage
 from labelloom.suite.registry import query, sql_key, sql_process_text, table
@@ -459,6 +459,23 @@ def classify(spark, sf_dir):
     return asked.select("row_id", F.col("label").alias("truth")).join(found, "row_id")
 
 
+@query()
+def training_epochs(spark, sf_dir):
+    """Trained on one part, scored on the development part after every epoch; floating-point sums have no SQL."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    rows = stage(
+        documents.join(labels, "doc_id").select(
+            F.col("doc_id").alias("row_id"), process_text(F.col("text")).alias("text_clean"),
+            F.col("quality").alias("label"), F.lit(1).alias("is_abstract"),
+        ),
+        "labelled",
+    )
+    split = stage(splits.three_way_split(rows), "split")
+    model = classifier.train_epochs(split.filter("split = 'train'"), split.filter("split = 'validation'"))
+    return classifier.epoch_table(model, split)
+
+
 @query(
     f"""select doc_id, array_to_string(string_split({sql_process_text('text')}, ' ')[1:256], ' ') as tokens from documents"""
 )

@@ -184,6 +184,28 @@ def test_ordered_position_with_a_hot_group(spark):
         assert [p for _, p in sorted(rows)] == list(range(1, len(rows) + 1))
 
 
+def test_ordered_position_of_equal_and_null_keys(spark):
+    df = spark.range(0, 600, 1, 5).select(
+        F.when(F.col("id") % 3 != 0, "g").alias("g"), F.when(F.col("id") % 7 != 0, F.col("id") % 50).alias("o"), F.col("id").alias("v")
+    )
+    got = ranking.ordered_position(df, ["g"], ["o"])
+    assert got.columns == ["g", "o", "v", "position"] and got.count() == 600
+    groups = {}
+    for r in got.collect():
+        groups.setdefault(r.g, []).append((r.position, -1 if r.o is None else r.o))
+    for rows in groups.values():
+        rows.sort()
+        assert [p for p, _ in rows] == list(range(1, len(rows) + 1))
+        assert [o for _, o in rows] == sorted(o for _, o in rows)
+    assert ranking.ordered_position(df.limit(0), ["g"], ["o"]).count() == 0
+
+
+def test_ordered_position_sorts_keys_only(spark, sf_dir):
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    plan = ranking.ordered_position(documents, ["lang"], ["doc_id"])._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and "Window" not in plan
+
+
 def test_first_per_group_with_a_hot_group(spark):
     df = spark.range(0, 5000, 1, 9).select(F.lit("hot").alias("g"), "id")
     got = ranking.first_per_group(df, ["g"], ["-id"], 3)

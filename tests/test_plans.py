@@ -2,6 +2,7 @@
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -405,5 +406,64 @@ def test_classifier_learns_and_reloads(spark, tmp_path):
     assert classifier.score(model, fresh).first().prediction == "2"
 
 
+def _plain_epochs(rows, held, labels, epochs, batches, rate, warm_up, features):
+    """The same training with dense matrices: (weights, accuracy) after every epoch."""
+
+    def matrix(listed):
+        x = np.zeros((len(listed), features + 1))
+        for k, r in enumerate(listed):
+            for f in r.features:
+                x[k, f] += 1 / np.sqrt(len(r.features))
+            x[k, -1] = 1
+        return x
+
+    w, out, t, steps = np.zeros((features + 1, len(labels))), [], 0, epochs * batches
+    rising = max(int(steps * warm_up), 1)
+    for _ in range(epochs):
+        for b in range(batches):
+            part = [r for r in rows if r.batch == b]
+            if part:
+                x, y = matrix(part), np.eye(len(labels))[[labels.index(r.label) for r in part]]
+                p = np.exp(x @ w)
+                p /= p.sum(axis=1, keepdims=True)
+                w = w - rate * min((t + 1) / rising, (steps - t) / (steps - rising)) * x.T @ (p - y) / len(part)
+            t += 1
+        guess = (matrix(held) @ w).argmax(axis=1)
+        out.append((w, np.mean([labels[g] == r.label for g, r in zip(guess, held)])))
+    return out
+
+
+def test_epochs_equal_numpy(spark, monkeypatch):
+    monkeypatch.setattr(classifier, "MOST_WORDS", 20)
+    words = ["soil", "wheat", "pupil", "class", "river", "law", "field"]
+    rows = [(" ".join(words[(k * j) % 7] for j in range(k % 6)), ("a", "b", "c")[k % 3] if k % 10 else None) for k in range(90)]
+    df = spark.createDataFrame(rows, "text_clean string, label string").repartition(3)
+    part = spark.createDataFrame(rows[:60], "text_clean string, label string").repartition(2)
+    given = dict(epochs=3, batches=4, rate=1.5, warm_up=0.2, features=32)
+    model = classifier.train_epochs(part, df, **given)
+    kept = []
+    monkeypatch.setattr(classifier, "stage", lambda frame, name: kept.append(frame) or frame)
+    classifier.train_epochs(part, df, **(given | {"epochs": 0}))
+    train_rows, held = (frame.collect() for frame in kept)
+    expected = _plain_epochs(train_rows, held, ["a", "b", "c"], **given)
+    assert [h[1] for h in model.history] == pytest.approx([a for _, a in expected])
+    assert np.abs(model.weights - expected[model.best - 1][0]).max() < 1e-9
+    scores = [(f1, accuracy) for _, accuracy, f1 in model.history]
+    assert model.best == scores.index(max(scores)) + 1
+    found = classifier.score_epochs(model, df.withColumn("id", F.monotonically_increasing_id()), "id")
+    assert found.count() == 90 and {r.prediction for r in found.collect()} <= {"a", "b", "c"}
+
+
+def test_epochs_without_rows(spark):
+    empty = spark.createDataFrame([("x", None)], "text_clean string, label string")
+    model = classifier.train_epochs(empty, empty, epochs=2, batches=2, features=8)
+    assert (model.labels, model.history, model.best) == ([], [], 0)
+    assert classifier.score_epochs(model, empty.withColumn("id", F.lit(1)), "id").first().prediction is None
+
+
+def test_step_rates():
+    assert classifier.step_rates(10, 1.0, 0.2) == pytest.approx([0.5, 1.0, 1.0, 0.875, 0.75, 0.625, 0.5, 0.375, 0.25, 0.125])
+
+
 def test_fixed_values_are_complete():
     assert len(fixed.NUMBER_WORDS) == len(fixed.GOAL_NAMES) == 18

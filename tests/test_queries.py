@@ -31,7 +31,8 @@ def test_query(spark, con, sf_dir, name):
 def test_sql_only_for_registered_queries():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert set(QUERIES) <= set(entry.queries())
-    assert set(QUERIES) == set(SQL)
+    # Floating-point sums of a training run have no SQL; test_plans holds them against numpy.
+    assert set(QUERIES) - set(SQL) == {"training_epochs"}
 
 
 def test_entry(spark):
