@@ -4,7 +4,8 @@ A text becomes a chain of characters. Every adjacent pair whose union is a piece
 an agenda ordered by score, then place; the best is merged, its new neighbours are
 entered, and entries whose sides have changed since are passed over. Characters that
 are no piece fall back to bytes. Where no piece goes across the beginning of a run of
-word marks, the runs are worked on one by one and kept.
+word marks, the runs are worked on one by one and kept; within a run the same holds
+between two characters that no piece has side by side.
 
 Decoding takes slices of one byte string that holds all pieces, found by an offset table.
 """
@@ -26,8 +27,13 @@ from labelloom.llm.common import map_texts, query, table
 
 #: The word mark that stands for a blank.
 MARK = "▁"
-#: Runs kept per task with their ids, and the longest run kept; a full table starts anew.
-CACHE_RUNS, CACHE_LENGTH = 500_000, 48
+#: Runs, and parts of runs, kept per task with their ids, and the longest kept; a full table starts anew.
+CACHE_RUNS, CACHE_LENGTH = 1_000_000, 48
+#: Up to this length a plain list serves as the agenda, beyond it a heap.
+SHORT = 32
+#: Entries of the heap are one number: rank of the score, place of the left symbol, length of the pair.
+_BITS = 32
+_MASK = (1 << _BITS) - 1
 #: Numbers of the published model format: kinds of pieces, the merge-type algorithm.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 MERGES = 2
@@ -118,7 +124,8 @@ class Codec:
 
     def __init__(self, vocabulary: Pieces):
         self.vocabulary = vocabulary
-        self.known: dict[str, tuple[float, int]] = {}
+        self.known: dict[str, int] = {}
+        scores: dict[str, float] = {}
         self.byte: dict[int, int] = {}
         self.unknown = 0
         own: list[str] = []
@@ -136,18 +143,26 @@ class Codec:
             elif kind == UNKNOWN:
                 self.unknown, surface = i, vocabulary.unknown_surface.encode()
             else:
-                self.known.setdefault(piece, (-score, i))
+                self.known.setdefault(piece, i)
+                scores.setdefault(piece, score)
                 surface = piece.replace(MARK, " ").encode()
                 self.marked[i] = piece.startswith(MARK)
                 own += [piece] if kind == USER else []
             self.start[i], self.length[i] = len(blob), len(surface)
             blob += surface
         self.blob = np.frombuffer(bytes(blob), np.uint8)
+        # Equal scores have one rank, so that the place decides.
+        ranks = {score: rank for rank, score in enumerate(sorted(set(scores.values()), reverse=True))}
+        self.rank = {piece: ranks[score] for piece, score in scores.items() if len(piece) > 1}
+        self.none = len(ranks)
+        self.beside = {piece[i : i + 2] for piece in self.rank for i in range(len(piece) - 1)}
         # Symbols of the user stand as they are and are never merged.
         self.whole = re.compile("|".join(map(re.escape, sorted(own, key=len, reverse=True)))) if own else None
         across = any(MARK in piece.lstrip(MARK) for piece in self.known) or bool(own)
         self.runs = re.compile(r"(?s).+" if across else f"{MARK}+[^{MARK}]*|[^{MARK}]+")
         self.cache: dict[str, bytes] = {}
+        #: Runs worked on since the last look, where somebody looks.
+        self.fresh: list[str] | None = None
 
     def prepared(self, text: str) -> str:
         """The text as it is cut: word marks for blanks, one more in front."""
@@ -157,64 +172,97 @@ class Codec:
             text = " " + text
         return text.replace(" ", MARK)
 
-    def symbols(self, run: str) -> tuple[list[str], list[bool]]:
-        """Characters of a run, and the symbols of the user whole; which are fixed."""
-        if self.whole is None:
-            return list(run), []
-        out, fixed, at = [], [], 0
-        for found in [*self.whole.finditer(run), None]:
-            between = run[at : found.start() if found else len(run)]
-            out += between
-            fixed += [False] * len(between)
-            if found:
-                out.append(found.group())
-                fixed.append(True)
-                at = found.end()
-        return out, fixed
-
     def merged(self, run: str) -> list[str]:
-        """The pieces of a run: best adjacent pairs first, from the left where scores tie."""
-        symbols, fixed = self.symbols(run)
-        known, n = self.known, len(symbols)
+        """The pieces of a run without symbols of the user: best adjacent pairs first, from the left where scores tie."""
+        if len(run) <= SHORT:
+            return self._merged_short(run)
+        symbols, rank, n = list(run), self.rank, len(run)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        agenda = []
-        for i in range(n - 1):
-            if (found := known.get(symbols[i] + symbols[i + 1])) and not (fixed and (fixed[i] or fixed[i + 1])):
-                agenda.append((found[0], i, i + 1, len(symbols[i]) + len(symbols[i + 1])))
+        agenda = [r << 2 * _BITS | i << _BITS | 2 for i in range(n - 1) if (r := rank.get(run[i : i + 2])) is not None]
         heapq.heapify(agenda)
+        push, pop = heapq.heappush, heapq.heappop
         while agenda:
-            _, left, right, size = heapq.heappop(agenda)
+            entry = pop(agenda)
+            at = entry >> _BITS & _MASK
+            left, next_at = symbols[at], after[at]
             # A side that has gone is empty, one that has grown makes the pair longer.
-            if not symbols[left] or not symbols[right] or len(symbols[left]) + len(symbols[right]) != size:
+            if not left or next_at == n or len(left) + len(symbols[next_at]) != entry & _MASK:
                 continue
-            symbols[left] += symbols[right]
-            symbols[right] = ""
-            behind, ahead = before[left], after[right]
-            after[left] = ahead
+            left += symbols[next_at]
+            symbols[at], symbols[next_at] = left, ""
+            ahead, behind = after[next_at], before[at]
+            after[at] = ahead
             if ahead < n:
-                before[ahead] = left
-            for one, two in ((behind, left), (left, ahead)):
-                if one >= 0 and two < n and not (fixed and (fixed[one] or fixed[two])):
-                    if found := known.get(symbols[one] + symbols[two]):
-                        heapq.heappush(agenda, (found[0], one, two, len(symbols[one]) + len(symbols[two])))
+                before[ahead] = at
+                right = symbols[ahead]
+                if (r := rank.get(left + right)) is not None:
+                    push(agenda, r << 2 * _BITS | at << _BITS | len(left) + len(right))
+            if behind >= 0:
+                right = symbols[behind]
+                if (r := rank.get(right + left)) is not None:
+                    push(agenda, r << 2 * _BITS | behind << _BITS | len(left) + len(right))
         return [s for s in symbols if s]
 
-    def run_ids(self, run: str) -> bytes:
-        """Ids of a run, as bytes of 32-bit integers; short runs are kept."""
-        ids: list[int] = []
-        for piece in self.merged(run):
-            if found := self.known.get(piece):
-                ids.append(found[1])
-            elif self.vocabulary.byte_fallback:
-                ids += [self.byte[b] for b in piece.encode()]
-            else:
-                ids.append(self.unknown)
-        out = array("i", ids).tobytes()
+    def _merged_short(self, run: str) -> list[str]:
+        """The same with the agenda as a list: the rank of every adjacent pair, in the order of the places."""
+        symbols, rank, none = list(run), self.rank, self.none
+        agenda = [rank.get(run[i : i + 2], none) for i in range(len(run) - 1)]
+        while agenda:
+            best = min(agenda)
+            if best == none:
+                break
+            at = agenda.index(best)
+            del agenda[at]
+            symbols[at] += symbols.pop(at + 1)
+            if at < len(agenda):
+                agenda[at] = rank.get(symbols[at] + symbols[at + 1], none)
+            if at:
+                agenda[at - 1] = rank.get(symbols[at - 1] + symbols[at], none)
+        return symbols
+
+    def _keep(self, run: str, ids: bytes) -> bytes:
         if len(run) <= CACHE_LENGTH:
             if len(self.cache) >= CACHE_RUNS:
                 self.cache.clear()
-            self.cache[run] = out
-        return out
+            self.cache[run] = ids
+        return ids
+
+    def _part_ids(self, part: str) -> bytes:
+        """Ids of a part whose neighbours no merge reaches."""
+        known, ids = self.known, array("i")
+        for piece in self.merged(part):
+            if (found := known.get(piece)) is not None:
+                ids.append(found)
+            elif self.vocabulary.byte_fallback:
+                ids.extend([self.byte[b] for b in piece.encode()])
+            else:
+                ids.append(self.unknown)
+        return ids.tobytes()
+
+    def _chain_ids(self, run: str) -> bytes:
+        """Ids of a run without symbols of the user, part by part."""
+        beside, kept = self.beside, self.cache.get
+        ends = [i + 1 for i in range(len(run) - 1) if run[i : i + 2] not in beside]
+        if not ends:
+            return self._part_ids(run)
+        parts = [run[i:j] for i, j in zip([0, *ends], [*ends, len(run)])]
+        return b"".join([kept(part) or self._keep(part, self._part_ids(part)) for part in parts])
+
+    def run_ids(self, run: str) -> bytes:
+        """Ids of a run, as bytes of 32-bit integers; short runs are kept."""
+        if self.fresh is not None:
+            self.fresh.append(run)
+        if self.whole is None:
+            return self._keep(run, self._chain_ids(run))
+        out, at = [], 0
+        for found in self.whole.finditer(run):
+            if found.start() > at:
+                out.append(self._chain_ids(run[at : found.start()]))
+            out.append(array("i", [self.known[found.group()]]).tobytes())
+            at = found.end()
+        if at < len(run):
+            out.append(self._chain_ids(run[at:]))
+        return self._keep(run, b"".join(out))
 
     def ids(self, text: str) -> np.ndarray:
         """Ids of a whole text."""
@@ -283,31 +331,64 @@ def encode(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") ->
     return map_texts(df, {key: key}, text, make, "ids array<int>")
 
 
-def encode_decode(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", check: bool = True) -> DataFrame:
-    """Key, ids, the text decoded from them, and whether the sentencepiece library gives the same ids and text.
+class Checked:
+    """The codec beside the library: ids and text of a text, and whether the library gives the same.
 
-    The library runs beside the agenda on the same Arrow batches; ``agrees`` is null
-    without ``check``. Nulls, repeated rows, other columns and empty tables as in ``encode``.
+    ``texts`` compares whole texts. ``runs`` compares every run that is worked on, which is
+    every distinct run of a task's texts at least once; since no piece goes across the
+    beginning of a run, the ids of a text are those of its runs.
     """
-    shared = df.sparkSession.sparkContext.broadcast(read_pieces(path))
 
-    def make():
-        own, library = codec(path, shared.value), None
+    def __init__(self, own: Codec, check: str | None):
+        if check not in (None, "texts", "runs"):
+            raise ValueError(f"unknown check {check!r}")
+        self.own, self.check, self.wrong = own, check, set()
         if check:
             import sentencepiece
 
-            library = sentencepiece.SentencePieceProcessor(model_proto=shared.value.file)
+            self.library = sentencepiece.SentencePieceProcessor(model_proto=own.vocabulary.file)
+
+    def __call__(self, value: str) -> tuple[np.ndarray, str, bool | None]:
+        own = self.own
+        own.fresh = [] if self.check == "runs" else None
+        ids = own.ids(value)
+        fresh, own.fresh = own.fresh, None
+        decoded = own.text(ids)
+        if self.check is None:
+            return ids, decoded, None
+        if self.check == "texts":
+            expected = self.library.encode(value)
+            return ids, decoded, ids.tolist() == expected and decoded == self.library.decode(expected)
+        # What is new in a text is a text too: its runs one after the other. Only where that differs are they told apart.
+        if fresh and not self.same("".join(fresh), self._ids(fresh)):
+            self.wrong.update(run for run in fresh if not self.same(run, self._ids([run])))
+        return ids, decoded, not self.wrong or self.wrong.isdisjoint(own.runs.findall(own.prepared(value)))
+
+    def _ids(self, runs: list[str]) -> np.ndarray:
+        return np.frombuffer(b"".join([self.own.cache.get(run) or self.own.run_ids(run) for run in runs]), np.int32)
+
+    def same(self, run: str, ids: np.ndarray) -> bool:
+        """Whether the library has these ids for prepared text; the word mark in front is the one it sets itself."""
+        text = run[int(self.own.vocabulary.dummy_prefix) :].replace(MARK, " ")
+        # A mark alone, as behind a blank at the end, is no text of its own.
+        expected = self.library.encode(text) if text else [self.library.piece_to_id(run)]
+        return ids.tolist() == expected and self.own.text(ids) == self.library.decode(expected)
 
-        def both(value: str) -> tuple:
-            ids = own.ids(value)
-            decoded = own.text(ids)
-            agrees = None
-            if library is not None:
-                expected = library.encode(value)
-                agrees = np.array_equal(ids, expected) and decoded == library.decode(expected)
-            return ids, decoded, agrees
 
-        return both
+_CHECKED: dict[tuple[str, str | None], Checked] = {}
+
+
+def encode_decode(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", check: str | None = "runs") -> DataFrame:
+    """Key, ids, the text decoded from them, and whether the sentencepiece library agrees.
+
+    The library runs beside the agenda on the same Arrow batches, see ``Checked``; ``agrees``
+    is null without ``check``. Nulls, repeated rows, other columns and empty tables as in ``encode``.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(read_pieces(path))
+
+    def make():
+        name = (path, check)
+        return _CHECKED.get(name) or _CHECKED.setdefault(name, Checked(Codec(shared.value), check))
 
     return map_texts(df, {key: key}, text, make, "ids array<int>, decoded string, agrees boolean")
 

@@ -56,11 +56,11 @@ def test_long_run_without_blanks(codec, library):
         assert codec.ids(text).tolist() == library.encode(text)
 
 
-def plain_merges(run: str, known: dict) -> list[str]:
+def plain_merges(run: str, score: dict) -> list[str]:
     """Merge the best pair of all, again and again."""
     out = list(run)
     while True:
-        best = min(((known[a + b][0], i) for i, (a, b) in enumerate(zip(out, out[1:])) if a + b in known), default=None)
+        best = min(((-score[a + b], i) for i, (a, b) in enumerate(zip(out, out[1:])) if a + b in score), default=None)
         if best is None:
             return out
         i = best[1]
@@ -75,7 +75,12 @@ def test_agenda_equals_plain_merges(seed):
     codec = merges.Codec(merges.Pieces(pieces))
     for _ in range(300):
         run = "".join(draw.choice("abc▁") for _ in range(draw.randint(0, 14)))
-        assert codec.merged(run) == plain_merges(run, codec.known)
+        expected = plain_merges(run, {w: s for w, s, kind in pieces if kind == merges.NORMAL})
+        assert codec.merged(run) == expected
+        longer = run * 4
+        assert codec.merged(longer) == plain_merges(longer, {w: s for w, s, kind in pieces if kind == merges.NORMAL})
+        ids = [codec.known.get(piece, 0) for piece in expected]
+        assert not run or np.frombuffer(codec._chain_ids(run), np.int32).tolist() == ids
 
 
 def test_user_symbols_unknowns_and_squeezed_blanks():
@@ -96,10 +101,27 @@ def test_query_equals_library(spark, sf_dir, library):
         assert row.decoded_sha256 == data.sha(library.decode(ids))
 
 
-def test_check_finds_differences(spark, monkeypatch):
+@pytest.mark.parametrize("check", ["texts", "runs"])
+def test_check_against_the_library(codec, check):
+    held = merges.Checked(merges.Codec(merges.read_pieces(PATH)), check)
+    for text in ("some words", "", " ", "a ", "  two  marks ▁ ▁▁", "\n\t", "x" * 100 + " y", "é日本"):
+        assert held(text)[2] is True
+    # A codec that is wrong about one word is found out, and only in the texts that hold it.
+    held.own.cache["▁words"] = held.own.cache["▁some"] = codec.run_ids("▁nothing")
+    if check == "texts":
+        assert held("some more words")[2] is False and held("other")[2] is True
+    else:
+        held.own.cache.clear()
+        held.own.merged = lambda part: list(part) if part in ("▁words", "▁some") else merges.Codec.merged(held.own, part)
+        assert held("other some words here")[2] is False and held.wrong == {"▁some", "▁words"}
+        assert held("some more")[2] is False and held("other here")[2] is True
+
+
+def test_check_is_an_option(spark):
     df = spark.createDataFrame([(1, "some words")], "doc_id long, text string")
-    assert merges.encode_decode(df, PATH).first().agrees is True
-    assert merges.encode_decode(df, PATH, check=False).first().agrees is None
+    assert [merges.encode_decode(df, PATH, check=c).first().agrees for c in ("texts", "runs", None)] == [True, True, None]
+    with pytest.raises(ValueError):
+        merges.Checked(None, "some")
 
 
 def test_other_models_are_refused(tmp_path):
