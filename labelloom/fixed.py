@@ -20,6 +20,14 @@ METADATA_BLOCK_CLASS = "ep_block"
 TARGET_TABLE_CLASS = "wikitable"
 EXCLUDED_FILE_MARKERS = ("clean", "osdg")
 
+# --- fixed values: patterns --------------------------------------------------
+# Body of a character class holding every Unicode blank.
+BLANKS = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+TAG = r"<[^>\n]*>"
+URL = rf"https?://[^{BLANKS}]+|www\.[^{BLANKS}]+"
+DIGITS = r"\p{Nd}+"
+LIST_MARKER = rf"(?md)^\p{{Nd}}+\.[{BLANKS}]+"
+
 # --- fixed values: sizes and shares -----------------------------------------
 MIN_AGREEMENT = 0.5
 TEST_SHARE = "0.3"

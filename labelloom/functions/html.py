@@ -29,13 +29,15 @@ _NAMES = {n: c for n in html.entities.name2codepoint if 160 <= (c := html.entiti
 _NAMES |= {n: ord(html.unescape(f"&{n};")) for n in _MORE}
 
 
-def _kind(opening: str) -> str:
-    """One letter for the tag at the beginning of the piece ``w``; block openings are told from other tags."""
-    return f"""case
-        when contains(w, 'class') and w rlike {literal("^(?is)<" + opening)} then if(w rlike '^<(?i)table', 'b', 'c')
-        else case lower(regexp_extract(w, '^<(/?[A-Za-z]+)', 1))
-          when 'table' then 't' when '/table' then 'z' when 'tr' then 'r' when 'th' then 'h' when 'td' then 'd'
-          when '/td' then 'f' when '/th' then 'f' when '' then 'o' else 'e' end end"""
+def _kinds(opening: str) -> str:
+    """One letter for the tag at the beginning of every piece of ``w``; block openings are told from other tags."""
+    block = f"contains(g, 'class') and g rlike {literal('^(?is)<' + opening)}"
+    # Besides block openings a piece begins with a table tag; the first one may begin with text.
+    return f"""transform(transform(w, g -> named_struct('tag', lower(left(g, 5)), 'block', {block}, 'own', g rlike '^(?i)<table\\\\b')), t -> case
+        when t.block then if(t.own, 'b', 'c')
+        when startswith(t.tag, '<td') then 'd' when startswith(t.tag, '</td') then 'f' when startswith(t.tag, '<tr') then 'r'
+        when t.tag in ('<thea', '</the') then 'e' when startswith(t.tag, '<th') then 'h' when startswith(t.tag, '</th') then 'f'
+        when t.own then 't' when t.tag = '</tab' then 'z' when startswith(t.tag, '<') then 'e' else 'o' end)"""
 
 
 #: Depth of tables (-1 outside a block), whether a row and a cell are open, and the letters so far.
@@ -71,7 +73,7 @@ def blocks(page: Column, css_class: str) -> Column:
         when 'D' then concat('{CELL}d', {body}) when 'i' then {body} when 'n' then concat('<br>', {body})
         else '' end), ''), if(p.found.depth > 1, '{OPEN}', ''))"""
     scanned = f"""get(transform(array(named_struct('pieces', w, 'found', aggregate(
-        transform(w, w -> {_kind(opening)}), {_STATE}, (s, k) -> {_STEP}))), p -> {text}), 0)"""
+        {_kinds(opening)}, {_STATE}, (s, k) -> {_STEP}))), p -> {text}), 0)"""
     behind = "filter(split({}, '{}'), (x, i) -> i > 0)".format
     cells = behind(f"rtrim('{OPEN}', r)", CELL)
     rows = f"transform({behind('b', ROW)}, r -> struct(not endswith(r, '{OPEN}') as closed, {cells} as cells))"

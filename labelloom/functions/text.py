@@ -22,14 +22,7 @@ from labelloom.functions.lambdas import (
     map_value,
 )
 
-# Body of a character class holding every Unicode blank.
-BLANKS = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-
-TAG = r"<[^>\n]*>"
-# The leading look-aheads below only reject a position early; they match nothing more.
-URL = rf"(?=[hw])(?:https?://[^{BLANKS}]+|www\.[^{BLANKS}]+)"
-DIGITS = r"\p{Nd}+"
-LIST_MARKER = rf"(?md)^\p{{Nd}}+\.[{BLANKS}]+"
+BLANKS = fixed.BLANKS
 
 # Characters and pairs that are always tokens of their own, and the blanks
 # other than a space. No word token holds them, so a space in their place gives
@@ -60,11 +53,11 @@ def _word_pattern(abbreviations: Sequence[str]) -> str:
 
 def strip_html(text: Column) -> Column:
     """Remove tags; a tag ends at the first ">" on its line."""
-    return F.regexp_replace(text, TAG, "")
+    return F.regexp_replace(text, fixed.TAG, "")
 
 
 def strip_urls(text: Column) -> Column:
-    return F.regexp_replace(text, URL, "")
+    return F.regexp_replace(text, fixed.URL, "")
 
 
 def strip_html_and_urls(text: Column) -> Column:
@@ -72,7 +65,7 @@ def strip_html_and_urls(text: Column) -> Column:
 
 
 def strip_digits(text: Column) -> Column:
-    return F.regexp_replace(text, DIGITS, "")
+    return F.regexp_replace(text, fixed.DIGITS, "")
 
 
 def strip_blanks(text: Column) -> Column:
@@ -81,7 +74,7 @@ def strip_blanks(text: Column) -> Column:
 
 
 def strip_numbered_lists(text: Column) -> Column:
-    return F.regexp_replace(text, LIST_MARKER, "")
+    return F.regexp_replace(text, fixed.LIST_MARKER, "")
 
 
 def _spaced(text: Column) -> Column:

@@ -32,14 +32,15 @@ def learn_profiles(
 ) -> DataFrame:
     """All tokens per language as (lang, token, weight).
 
-    The weight is the token's share in its language, in parts per ``PARTS``. The
-    texts are read once: their token counts (pre-aggregated before the shuffle)
+    The weight is the token's share in its language, in parts per ``PARTS`` and rounded
+    up, so that no token weighs nothing, however long the corpus. The texts are read once: their token counts (pre-aggregated before the shuffle)
     are staged, and the totals read that table.
     """
     counts = _word_counts(df, text, language)
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    share = (F.col("n").cast("decimal(19,0)") * PARTS / F.col("total")).cast("decimal(38,6)")
-    return counts.join(totals, "lang").select("lang", "token", F.floor(share).cast("bigint").alias("weight"))
+    parts = F.col("n").cast("decimal(38,0)") * PARTS
+    whole = (parts - parts % F.col("total")) / F.col("total") + (parts % F.col("total") > 0).cast("int")
+    return counts.join(totals, "lang").select("lang", "token", whole.cast("bigint").alias("weight"))
 
 
 def detect_by_join(

@@ -29,7 +29,8 @@ def metadata_entries(
     ends are not closed; see ``valid_entries``.
     """
     block = F.get(html.blocks(F.col(column), css_class), F.lit(0))
-    rows = pages.select(page_id, F.posexplode(block).alias("row_no", "row"))
+    # Outer, because a filter on the block's size would be inferred and compute the block again.
+    rows = pages.select(page_id, F.posexplode_outer(block).alias("row_no", "row")).filter(F.col("row").isNotNull())
     return rows.select(
         page_id,
         F.col("row_no").cast("bigint").alias("row_no"),

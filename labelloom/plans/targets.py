@@ -9,6 +9,7 @@ from labelloom import fixed
 from labelloom.functions import html
 from labelloom.operators.batching import nested_lists
 from labelloom.operators.targets import fill_targets, indicators, rejected_rows
+from labelloom.sources.staging import stage
 
 
 def all_table_rows(
@@ -20,8 +21,9 @@ def all_table_rows(
     Row numbers count from 1 in document order; row 1 is the table's header
     and is left out. A row with an inner table that never ends is not closed.
     """
+    # Outer, because a filter on the blocks' number would be inferred and compute the blocks again.
     tables = pages.select(
-        page_id, F.posexplode(html.blocks(F.col(column), css_class)).alias("_table", "rows")
+        page_id, F.posexplode_outer(html.blocks(F.col(column), css_class)).alias("_table", "rows")
     )
     rows = tables.select(
         page_id, (F.col("_table") + 1).alias("goal"), F.posexplode("rows").alias("_row", "row")
@@ -49,8 +51,12 @@ def open_rows(
 
 
 def goal_targets(rows: DataFrame, page_id: str = "page_id") -> tuple[DataFrame, DataFrame]:
-    """(indicators per page, goal and target, rejected rows)."""
-    filled = fill_targets(rows, [page_id, "goal"])
+    """(indicators per page, goal and target, rejected rows).
+
+    Table rows come from whole pages, so they are staged before they are used more
+    than once, and the filled rows as well.
+    """
+    filled = stage(fill_targets(stage(rows, "table-rows"), [page_id, "goal"]), "filled-rows")
     return indicators(filled, [page_id, "goal"]), rejected_rows(filled)
 
 

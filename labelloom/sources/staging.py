@@ -8,6 +8,7 @@ therefore become broadcast joins only while it really is below
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,14 +20,17 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder named in ``spark.checkpoint.dir``.
 
     Where it is unset, a folder below the user's home on the session's default
-    Hadoop file system, which all executors reach.
+    Hadoop file system, which all executors reach. A default file system of one machine
+    will do for a local session only; on a cluster it is refused.
     """
     named = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
     hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-    home = spark.sparkContext._jvm.org.apache.hadoop.fs.FileSystem.get(hadoop).getHomeDirectory()
-    return f"{home.toString().rstrip('/')}/.labelloom"
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs.FileSystem.get(hadoop)
+    if files.getUri().getScheme() == "file" and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError(f"staged tables need a folder that all executors reach: set {CHECKPOINT_DIR}")
+    return f"{files.getHomeDirectory().toString().rstrip('/')}/.labelloom"
 
 
 def new_path(spark: SparkSession, name: str) -> str:

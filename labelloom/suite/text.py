@@ -270,7 +270,7 @@ _LEARNED = f"""
     counts as (select lang, token, count(*) as n from tokens group by 1, 2),
     totals as (select lang, sum(n) as total from counts group by 1),
     profile as (select lang, token,
-      cast(cast(n as hugeint) * {languages.PARTS} // cast(total as hugeint) as bigint) as weight
+      cast((cast(n as hugeint) * {languages.PARTS} + cast(total as hugeint) - 1) // cast(total as hugeint) as bigint) as weight
       from counts join totals using (lang))"""
 
 

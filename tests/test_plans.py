@@ -131,6 +131,24 @@ def test_staged_table_lies_in_the_named_folder(spark):
     assert all(named in f for f in staged.inputFiles()) and staged.count() == 3
 
 
+def test_a_folder_of_one_machine_is_refused_on_a_cluster():
+    from types import SimpleNamespace as Fake
+
+    local = Fake(getUri=lambda: Fake(getScheme=lambda: "file"), getHomeDirectory=lambda: Fake(toString=lambda: "file:/home/u/"))
+
+    def session(master):
+        system = Fake(get=lambda conf: local)
+        jvm = Fake(org=Fake(apache=Fake(hadoop=Fake(fs=Fake(FileSystem=system)))))
+        context = Fake(getCheckpointDir=lambda: None, _jsc=Fake(hadoopConfiguration=lambda: None), _jvm=jvm, master=master)
+        return Fake(conf=Fake(get=lambda name, default: default), sparkContext=context)
+
+    for master in ("local", "local[8]"):
+        assert staging.shared_dir(session(master)) == "file:/home/u/.labelloom"
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            staging.shared_dir(session(master))
+
+
 # --- corpus ---------------------------------------------------------------------------
 
 
