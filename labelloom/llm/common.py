@@ -32,6 +32,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, or one like it, that no column of a frame has."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def is_training(key: str | Column, held_out: int) -> Column:
     """Whether crc32 of the key as text, modulo 5, is not ``held_out``; a null key counts as empty text."""
     key = F.col(key) if isinstance(key, str) else key

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from labelloom.llm import shingles
-from labelloom.llm.common import query, table
+from labelloom.llm.common import free_name, query, table
 from labelloom.sources.staging import stage
 
 #: Weighted Jaccard similarity from which two texts are near duplicates.
@@ -438,13 +438,15 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", similar: fl
     keep one row for each different text.
     """
     classes = near_duplicates(df, key, text, similar)
+    kept_key, node = free_name(df, "_kept"), free_name(df, "_node")
     first = F.col(key).eqNullSafe(F.col("class_id"))
-    kept = stage(classes.filter(first).groupBy(F.col(key).alias("_kept")).agg(F.count(F.lit(1)).alias("_rows")), "dedup-kept")
-    rows = df.join(kept, F.col(f"`{key}`").eqNullSafe(F.col("_kept")), "left_semi")
+    kept = classes.filter(first).groupBy(F.col(key).alias(kept_key)).agg(F.count(F.lit(1)).alias("_rows"))
+    kept = stage(kept, "dedup-kept")
+    rows = df.join(kept.select(kept_key), F.col(f"`{key}`").eqNullSafe(F.col(kept_key)), "left_semi")
     if kept.filter("_rows > 1").isEmpty():
         return rows
     words = normalised(F.col(f"`{text}`"))
-    return rows.withColumn("_node", node_of(F.col(f"`{text}`"), words)).dropDuplicates([key, "_node"]).drop("_node")
+    return rows.withColumn(node, node_of(F.col(f"`{text}`"), words)).dropDuplicates([key, node]).drop(node)
 
 
 @query("op3_near_duplicates")

@@ -15,10 +15,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelloom.llm.common import query, table
+from labelloom.llm.common import free_name, query, table
 from labelloom.sources.staging import stage
 
-#: Words in a window; items with fewer words are one window, those under ``LEAST_WINDOW`` can't be told.
+#: Words in a window; items with fewer words are one window, those under ``LEAST_WINDOW`` whole texts.
 WINDOW, LEAST_WINDOW = 8, 4
 #: Words of an item that must be found on one diagonal, or all if it has fewer.
 LEAST_WORDS = 13
@@ -32,11 +32,20 @@ UNITS = (
 UNIT, NUMBER, NAME, JOINT = "\x02", "\x03", "\x04", "\x05"
 
 
-def valued(text: Column) -> Column:
+#: Which words are names: all capitalised ones; these without the first words of sentences; these and
+#: all first words of sentences; none. Documents are read the first way, items in all of them.
+READINGS = ("capitalised", "within", "beginnings", "none")
+_CAPITALISED, _WITHIN = r"(?<![\p{L}\p{N}])(\p{Lu}\p{Ll}+)", r"(?<=[\p{L}\p{N},;] )(\p{Lu}\p{Ll}+)"
+_BEGINNING = r"((?:^|[.?!][\"')]*\s+)[\"'(]*)(\p{Ll}+)"
+
+
+def valued(text: Column, reading: str = "capitalised") -> Column:
     """Template of a text with its values: lower-case words, one blank apart.
 
     A slot is a word that begins with the sign of its type and goes on with its value.
-    Names are capitalised words within a sentence.
+    What a word is depends on the word, not on the text around it, so a passage has the
+    same template wherever it is quoted. Items are read in further ways, see ``READINGS``, for quotations
+    that differ from them in the case of first words or of all words.
     """
     text = F.translate(F.coalesce(text, F.lit("")), UNIT + NUMBER + NAME + JOINT, "    ")
     joined = F.regexp_replace(
@@ -48,7 +57,10 @@ def valued(text: Column) -> Column:
     )
     numbers = F.regexp_replace(joined, rf"[0-9][0-9{JOINT}]*", f" {NUMBER}$0 ")
     text = F.when(text.rlike("[0-9]"), numbers).otherwise(text)
-    text = F.regexp_replace(text, r"(?<=[\p{L}\p{N},;] )(\p{Lu}\p{Ll}+)", f"{NAME}$1")
+    if reading == "beginnings":
+        text = F.regexp_replace(text, _BEGINNING, f"$1{NAME}$2")
+    if reading != "none":
+        text = F.regexp_replace(text, _WITHIN if reading == "within" else _CAPITALISED, f"{NAME}$1")
     return F.trim(F.regexp_replace(F.lower(text), rf"[^\p{{L}}\p{{N}}{UNIT}-{JOINT}]+", " "))
 
 
@@ -63,28 +75,42 @@ def window_texts(values: Column, size: int) -> Column:
 
 
 def items_of(benchmark: DataFrame, item: str, text: str) -> DataFrame:
-    """Items with their template and its number of words.
+    """Templates of the items in every reading, with a number for each and its words.
 
-    Equal templates with equal values are kept once under their smallest id. A null text
+    Equal templates with equal values are kept once under the smallest id. A null text
     has no words.
     """
-    rows = benchmark.select(F.col(f"`{item}`").alias("item"), valued(F.col(f"`{text}`")).alias("values"))
-    size = F.size(F.split("values", " "))
-    return (
-        rows.filter(F.col("values") != "")
-        .groupBy("values")
-        .agg(F.min("item").alias("item"))
-        .withColumn("n_item", size)
-        .filter(size >= LEAST_WINDOW)
+    texts = benchmark.select(F.col(f"`{item}`").alias("item"), F.col(f"`{text}`").alias("_text"))
+    readings = F.explode(F.array_distinct(F.array(*[valued(F.col("_text"), r) for r in READINGS])))
+    rows = texts.select("item", readings.alias("values")).filter(F.col("values") != "")
+    return rows.groupBy("values").agg(F.min("item").alias("item")).select(
+        "item", "values", F.xxhash64("values").alias("variant"), F.size(F.split("values", " ")).alias("n_item")
     )
 
 
 def item_windows(items: DataFrame) -> DataFrame:
-    """Hashes of the items' windows with their places."""
+    """Hashes of the windows of the items that are long enough, with their places."""
     size = F.least(F.lit(WINDOW), "n_item")
     windows = F.when(F.col("n_item") >= WINDOW, window_texts(F.col("values"), WINDOW)).otherwise(F.array(template(F.col("values"))))
-    return items.select("item", "n_item", size.alias("size"), F.posexplode(windows).alias("item_at", "window")).select(
-        F.xxhash64("window").alias("hash"), "size", "item", "item_at", "n_item"
+    long = items.filter(F.col("n_item") >= LEAST_WINDOW)
+    return long.select("item", "variant", "n_item", size.alias("size"), F.posexplode(windows).alias("item_at", "window")).select(
+        F.xxhash64("window").alias("hash"), "size", "item", "variant", "item_at", "n_item"
+    )
+
+
+def whole_texts(df: DataFrame, items: DataFrame, key: str, text: str) -> DataFrame:
+    """Documents that are nothing but an item too short for a window: key, item, words, slots, changed slots.
+
+    Every run of letters is in a word of its own, so a text with more of them than a
+    short item has words is told by its beginning.
+    """
+    letters = r"\p{L}+[^\p{L}]+" * (LEAST_WINDOW - 1) + r"\p{L}"
+    brief = df.filter(F.coalesce(~F.col(f"`{text}`").rlike(letters), F.lit(False)))
+    brief = brief.select(F.col(f"`{key}`").alias("key"), valued(F.col(f"`{text}`")).alias("values"))
+    slots = F.size(F.filter(F.split("values", " "), lambda w: w.rlike(f"^[{UNIT}-{NAME}]")))
+    short = items.filter(F.col("n_item") < LEAST_WINDOW)
+    return brief.join(short, "values").select(
+        "key", "item", F.col("n_item").cast("long").alias("n_words"), slots.cast("long").alias("n_slots"), F.lit(0).cast("long").alias("n_changed")
     )
 
 
@@ -93,7 +119,9 @@ def find_leaks(
 ) -> DataFrame:
     """Documents that hold a benchmark item: key, item, words found, slots, slots with another value.
 
-    A pair is returned once, for its best diagonal. Rows with one key and different texts
+    An item of fewer than ``LEAST_WINDOW`` words is found where it is the whole text. A pair
+    is returned once, for its best reading and diagonal: the one with the most words, then the fewest
+    changed slots, then the fewest slots. Rows with one key and different texts
     are judged each; repeated rows give one result. Null texts hold nothing; a null key
     is a key. Empty tables give no rows. Other columns are left out.
     """
@@ -112,14 +140,14 @@ def find_leaks(
         found = found.unionByName(part)
     # Words of the item found on each diagonal; an item bounds its number of rows.
     diagonals = (
-        found.groupBy("key", "text_hash", "item", "n_item", (F.col("at") - F.col("item_at")).alias("shift"))
+        found.groupBy("key", "text_hash", "item", "variant", "n_item", (F.col("at") - F.col("item_at")).alias("shift"))
         .agg(F.collect_set(F.struct("item_at", "size")).alias("windows"))
         .withColumn(
             "words",
             F.array_distinct(F.flatten(F.transform("windows", lambda w: F.sequence(w["item_at"], w["item_at"] + w["size"] - 1)))),
         )
         .filter(F.size("words") >= F.least(F.lit(LEAST_WORDS), "n_item"))
-        .select("key", "text_hash", "item", "shift", "words")
+        .select("key", "text_hash", "item", "variant", "shift", "words")
     )
     diagonals = stage(diagonals, "leak-diagonals")
     # Only documents with a candidate are read again, for the values in their slots.
@@ -133,7 +161,7 @@ def find_leaks(
     both = (
         diagonals.alias("d")
         .join(texts.alias("t"), F.col("d.key").eqNullSafe(F.col("t.key")) & (F.col("d.text_hash") == F.col("t.text_hash")))
-        .join(items.select("item", F.split("values", " ").alias("item_words")).dropDuplicates(["item"]).alias("i"), F.col("d.item").eqNullSafe(F.col("i.item")))
+        .join(items.select("variant", F.split("values", " ").alias("item_words")).alias("i"), F.col("d.variant") == F.col("i.variant"))
         .select("d.key", "d.item", "d.shift", "d.words", "t.doc_words", "i.item_words")
     )
     pairs = F.transform(
@@ -152,18 +180,25 @@ def find_leaks(
         .withColumn("n_changed", changed.cast("long"))
         .filter(one_to_one & (~few | (F.col("n_changed") == 0)))
     )
-    best = F.struct(F.size("words").cast("long").alias("n_words"), F.size("slots").cast("long").alias("n_slots"), "n_changed")
-    return (
-        judged.groupBy("key", "item")
-        .agg(F.max_by(best, F.struct(F.size("words"), -F.col("n_changed"))).alias("b"))
-        .select("key", "item", "b.n_words", "b.n_slots", "b.n_changed")
+    counted = judged.select(
+        "key", "item", F.size("words").cast("long").alias("n_words"), F.size("slots").cast("long").alias("n_slots"), "n_changed"
+    ).unionByName(whole_texts(df, items, key, text))
+    best = F.max(F.struct("n_words", -F.col("n_changed"), -F.col("n_slots"))).alias("b")
+    return counted.groupBy("key", "item").agg(best).select(
+        "key", "item", "b.n_words", (-F.col("b.col3")).alias("n_slots"), (-F.col("b.col2")).alias("n_changed")
     )
 
 
 def drop_leaks(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents whose key has no leak, with all their columns."""
-    found = stage(find_leaks(df, benchmark, key, text).select(F.col("key").alias("_leaked")).distinct(), "leaked")
-    return df.join(found, F.col(f"`{key}`").eqNullSafe(F.col("_leaked")), "left_anti")
+    """The documents whose key has no leak, with all their columns.
+
+    Documents with null or empty texts stay, as do repeated rows of a clean document; all rows of a key
+    with a leak go, a null key being a key. Without items every document stays. Columns may
+    have any names.
+    """
+    leaked = free_name(df, "_leaked")
+    found = stage(find_leaks(df, benchmark, key, text).select(F.col("key").alias(leaked)).distinct(), "leaked")
+    return df.join(found, F.col(f"`{key}`").eqNullSafe(F.col(leaked)), "left_anti")
 
 
 @query("op5_leaks")

@@ -5,14 +5,14 @@ from __future__ import annotations
 import hashlib
 import random
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _text string, key long, row long, words string, node long, host string, x double, n_tokens long"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _text string, key long, row long, words string, node long, host string, x double, n_tokens long, _kept string, _leaked long, _node string"
 
 LONG = "lorem ipsum " * 20_000
 
 
 def odd_rows():
     """Nulls, an empty and a very long text, repeated rows, and columns with names the operators use."""
-    extra = ("t", 1, 2, "w", 3, "h", 0.5, 4)
+    extra = ("t", 1, 2, "w", 3, "h", 0.5, 4, "k", 5, "n")
     return [
         (1, "Alpha beta gamma delta epsilon zeta eta theta", "en", "a", 45, *extra),
         (1, "Alpha beta gamma delta epsilon zeta eta theta", "en", "a", 45, *extra),
@@ -20,7 +20,7 @@ def odd_rows():
         (3, "", "en", "a", 0, *extra),
         (None, "no key here", "en", "b", 11, *extra),
         (4, LONG, "en", "b", len(LONG), *extra),
-        (5, " \t\n", "en", None, 3, *([None] * 8)),
+        (5, " \t\n", "en", None, 3, *([None] * 11)),
     ]
 
 

@@ -77,6 +77,35 @@ def test_fit_orders_pairs():
     assert quality.fit(x, np.ones(400)) is None
 
 
+def test_fit_equals_plain_descent():
+    """The logistic loss over the same pairs, pair by pair, by plain gradient descent."""
+    draw = np.random.default_rng(4)
+    y = (draw.random(60) < 0.6).astype(int)
+    x = draw.normal(size=(60, 3)) * [1.0, 5.0, 0.2] + np.outer(y, [0.8, 2.0, 0.0])
+    model = quality.fit(x, y, partners=3, decay=1e-2, seed=5)
+    random, good, bad = np.random.default_rng(5), np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    left = [*np.repeat(good, 3), *random.choice(good, 3 * len(bad))]
+    right = [*random.choice(bad, 3 * len(good)), *np.repeat(bad, 3)]
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    weights = np.zeros(3)
+    for _ in range(4000):
+        step = np.zeros(3)
+        for a, b in zip(left, right):
+            step += (z[a] - z[b]) / (1 + np.exp((z[a] - z[b]) @ weights))
+        weights += 0.5 * (step / len(left) - 1e-2 * weights)
+    assert np.abs(np.array(model.weights) - weights).max() < 1e-6
+
+
+def test_labelled_rows_are_bounded(spark, sf_dir, monkeypatch):
+    docs, labels = data.table(spark, sf_dir, "documents"), data.table(spark, sf_dir, "labels")
+    seen, fit = [], quality.fit
+    monkeypatch.setattr(quality, "fit", lambda x, y: seen.append(len(y)) or fit(x, y))
+    for most in (0, 20, 10**6):
+        quality.rank(docs, labels, most_labelled=most).count()
+    usable = docs.join(labels, "doc_id").filter(common.is_training("doc_id", 0)).count()
+    assert seen[0] <= 20 and seen[1] == usable > 20
+
+
 def test_odd_inputs_of_quality(spark):
     labels = spark.createDataFrame([(1, 1, 0), (4, 0, 0), (4, 1, 0), (None, 0, 0), (3, None, 0)], "doc_id long, quality int, toxic int")
     rows = quality.rank(data.odd(spark), labels).collect()
