@@ -34,7 +34,7 @@ HEADLINE = (
     "corpus_round_trip", "generated_round_trip", "classify", "lemma_table", "nested_lists",
     "tree_documents", "three_way_exact_split", "target_pages", "detect_open_set",
     "abbreviation_scores", "learned_tokens", "apply_lemmas", "sample_per_group",
-    "attempt_ledger", "mapped_splits", "topic_files", "batch_numbers", "training_epochs",
+    "attempt_ledger", "mapped_splits", "topic_files", "batch_numbers",
 )
 
 
