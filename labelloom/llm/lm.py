@@ -370,12 +370,13 @@ def row_grams(docs: DataFrame, hot, depth: int) -> DataFrame:
                     part = part[min(at, depth) :] if at else part
                     if at + BLOCK < len(raw) + 1:
                         part = part[:BLOCK]
-                    if len(keys):
-                        places = np.minimum(np.searchsorted(keys, part), len(keys) - 1)
-                        hit = keys[places] == part
-                        total += float(codes[places[hit]].sum())
-                        part = part[~hit]
+                    # Sorted first: neighbours are then looked up side by side, and each one once.
                     rest, n = np.unique(part, return_counts=True)
+                    if len(keys):
+                        places = np.minimum(np.searchsorted(keys, rest), len(keys) - 1)
+                        hit = keys[places] == rest
+                        total += float((codes[places[hit]] * n[hit]).sum())
+                        rest, n = rest[~hit], n[~hit]
                     rows.append(np.full(len(rest), row)), found.append(rest), times.append(n), known.append(np.zeros(len(rest)))
                     size += len(rest)
                 rows.append([row]), found.append([-1 - (row & 0x7FFFFFFFFFFFFFF)]), times.append([0]), known.append([total])
