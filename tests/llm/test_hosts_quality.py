@@ -120,3 +120,41 @@ def test_keep_good_agrees_with_rank(spark, sf_dir):
     kept = quality.keep_good(docs, labels)
     assert kept.columns == docs.columns
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in quality.rank(docs, labels).filter("predicted = 1").collect()}
+
+
+def test_all_labelled_rows_count_beyond_the_driver(spark, sf_dir):
+    """With more labelled rows than the driver takes, cut and weights are those of all of them."""
+    docs, labels = data.table(spark, sf_dir, "documents"), data.table(spark, sf_dir, "labels")
+    every, few = (quality.rank(docs, labels, most_labelled=most).join(labels, "doc_id").collect() for most in (10**6, 20))
+    trained = [r for r in few if not r.held_out]
+    assert sum(r.predicted == 0 for r in trained) == sum(r.quality == 0 for r in trained) > 0
+    a, b = (np.array([r.worth for r in sorted(rows, key=lambda r: r.doc_id)]) for rows in (every, few))
+    assert np.corrcoef(a, b)[0, 1] > 0.99
+
+
+def test_fit_of_a_table(spark, tmp_path, monkeypatch):
+    """Groups of rows with a rare class: pairs of every row, and the weights of a fit in memory on the same pairs."""
+    monkeypatch.setattr(quality, "GROUP", 50)
+    monkeypatch.setattr(quality, "GROUP_RARE", 4)
+    draw = np.random.default_rng(2)
+    y = (draw.random(900) < 0.98).astype(int)
+    x = draw.normal(size=(900, len(quality.NAMES))) + np.outer(y, np.eye(len(quality.NAMES))[0])
+    order = draw.integers(-(2**62), 2**62, 900)
+    rows = [(int(o), r.tolist(), int(k)) for o, r, k in zip(order, x, y)]
+    table = spark.createDataFrame(rows, "_order long, x array<double>, _label int")
+    groups = quality._grouped(table, {0: int((y == 0).sum()), 1: int((y == 1).sum())}).collect()
+    own = [r["_order"] for g in groups for r in g.rows if r["_own"]]
+    assert len(groups) == 18 and sorted(own) == sorted(order.tolist())
+    z, differences = (x - x.mean(axis=0)) / x.std(axis=0), []
+    at = {int(o): k for k, o in enumerate(order)}
+    for g in groups:
+        k = [at[r["_order"]] for r in g.rows]
+        random = np.random.default_rng([5, g["_group"]])
+        differences.append(quality._differences(z[k], y[k], np.array([r["_own"] for r in g.rows]), 3, random))
+    difference = np.concatenate(differences)
+    assert len(difference) == 3 * 900
+    weights = quality._newton(np.zeros(x.shape[1]), lambda w: quality._pair_sums(difference, w), 1e-2)
+    model = quality.fit_table(table, partners=3, decay=1e-2, seed=5)
+    assert np.abs(np.array(model.weights) - weights).max() < 1e-9
+    assert (model.worths(x) < model.threshold).sum() == (y == 0).sum()
+    assert quality.fit_table(table.filter("_label = 1")) is None
