@@ -81,9 +81,9 @@ def blocks(page: Column, css_class: str) -> Column:
 
 
 def _cells(row: Column, kind: str) -> Column:
-    return F.transform(
-        F.filter(row["cells"], lambda c: c.startswith(kind)), lambda c: cell_text(F.substr(c, F.lit(2)))
-    )
+    """Texts of the cells of a kind, in two steps: the second one names its argument more than once."""
+    bare = F.transform(F.filter(row["cells"], lambda c: c.startswith(kind)), lambda c: _without_tags(F.substr(c, F.lit(2))))
+    return F.transform(bare, lambda t: strip_blanks(decode_entities(t)))
 
 
 def header_cells(row: Column) -> Column:
@@ -117,8 +117,10 @@ def decode_entities(text: Column) -> Column:
     return F.when(text.contains("&"), found).otherwise(text)
 
 
+def _without_tags(cell: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(cell, r"(?i)<br\s*/?>", "\n"), r"(?s)<.*?>", "")
+
+
 def cell_text(cell: Column) -> Column:
     """Visible text: line breaks kept, tags removed, entities decoded, trimmed."""
-    text = F.regexp_replace(cell, r"(?i)<br\s*/?>", "\n")
-    text = F.regexp_replace(text, r"(?s)<.*?>", "")
-    return strip_blanks(decode_entities(text))
+    return strip_blanks(decode_entities(_without_tags(cell)))

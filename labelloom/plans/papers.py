@@ -29,15 +29,16 @@ def metadata_entries(
     ends are not closed; see ``valid_entries``.
     """
     block = F.get(html.blocks(F.col(column), css_class), F.lit(0))
-    # Outer, because a filter on the block's size would be inferred and compute the block again.
-    rows = pages.select(page_id, F.posexplode_outer(block).alias("row_no", "row")).filter(F.col("row").isNotNull())
-    return rows.select(
-        page_id,
-        F.col("row_no").cast("bigint").alias("row_no"),
-        F.get(html.header_cells(F.col("row")), F.lit(0)).alias("key"),
-        F.get(html.data_cells(F.col("row")), F.lit(0)).alias("value"),
-        F.col("row.closed").alias("closed"),
+    # The cells are made before the rows are told apart, or a filter on them would make them again.
+    entries = F.transform(
+        block,
+        lambda r: F.struct(
+            F.get(html.header_cells(r), F.lit(0)).alias("key"), F.get(html.data_cells(r), F.lit(0)).alias("value"), r["closed"].alias("closed")
+        ),
     )
+    # Outer, because a filter on the block's size would be inferred and compute the block again.
+    rows = pages.select(page_id, F.posexplode_outer(entries).alias("row_no", "row")).filter(F.col("row").isNotNull())
+    return rows.select(page_id, F.col("row_no").cast("bigint").alias("row_no"), "row.key", "row.value", "row.closed")
 
 
 def _valid() -> Column:

@@ -19,6 +19,19 @@ def _struct(schema: str | T.StructType) -> T.StructType:
     return schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
 
 
+#: Rows of a part if each row is made into a whole page.
+PAGES = 5_000
+
+
+def spread(rows: DataFrame, key: str, size: int = PAGES) -> DataFrame:
+    """The rows in parts of about ``size`` by a key that is unique or nearly so.
+
+    For narrow rows with much work behind each: files are cut by bytes, which may leave all
+    the work to one task. The number of parts follows the number of rows.
+    """
+    return rows.repartition(max(1, -(-rows.count() // size)), key)
+
+
 def read_jsonl(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
     """JSON lines; a malformed line fails the read."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)

@@ -10,6 +10,7 @@ from labelloom.functions.text import truncate_tokens as cut_tokens
 from labelloom.operators import batching, categories, sampling, targets
 from labelloom.plans import classifier, papers, splits
 from labelloom.plans import targets as target_plans
+from labelloom.sources.readers import spread
 from labelloom.sources.staging import stage
 from labelloom.suite.registry import query, sql_key, sql_process_text, table
 from labelloom.suite.sampling import sql_stratified
@@ -284,7 +285,7 @@ def _inner(value, side_by_side=1, levels=1):
 
 def _metadata_pages(spark, sf_dir):
     c = F.col
-    return table(spark, sf_dir, "customer").select(
+    return spread(table(spark, sf_dir, "customer"), "c_custkey").select(
         c("c_custkey").alias("id"),
         F.concat(
             F.lit('<html><div class="x"><table class="a ep_block b"><caption>c</caption>'),

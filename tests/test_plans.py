@@ -7,9 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from labelloom import fixed, schemas
-from labelloom.plans import attempts, classifier, corpus, null_class, splits, synthesis
+from labelloom.plans import attempts, classifier, corpus, null_class, papers, splits, synthesis
 from labelloom.sources import publish, readers, staging, writers
 from labelloom.streaming import landing
+from labelloom.suite import analysis
 
 EN = "The results of this study are in the paper that we have from the field"
 DE = "Die Ergebnisse der Studie sind nicht mit dem Feld auf das Ende"
@@ -485,3 +486,24 @@ def test_step_rates():
 
 def test_fixed_values_are_complete():
     assert len(fixed.NUMBER_WORDS) == len(fixed.GOAL_NAMES) == 18
+
+
+def test_pages_of_one_file_are_spread(spark, tmp_path):
+    """One small file is one split; the pages made of its rows are many times as much work."""
+    c = F.col("id")
+    customers = spark.range(12_000).select(
+        c.alias("c_custkey"), F.lit("n").alias("c_name"), F.lit("s").alias("c_mktsegment"), F.lit(1).alias("c_nationkey")
+    )
+    customers.coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    part = spark.range(12_000).select(c.alias("p_partkey"), *[F.lit("a").alias(f"p_{n}") for n in ("name", "brand", "type")], F.lit(1).alias("p_size"))
+    part.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    for pages in (analysis._metadata_pages(spark, str(tmp_path)),):
+        sizes = [r["count"] for r in pages.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(sizes) == 3 and max(sizes) < 5_000
+
+
+def test_cells_are_made_once(spark):
+    """A filter on key and value does not make the cells a second time, nor does decoding their tags."""
+    pages = spark.createDataFrame([("p", "x")], "id string, html string")
+    plan = papers.valid_entries(papers.metadata_entries(pages))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("<br\\s*/?>") == 2
