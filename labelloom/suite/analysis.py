@@ -336,7 +336,7 @@ def _table_pages(spark, sf_dir):
     c = F.col
     header = _row(_cell("th", F.lit("Target")), _cell("th", F.lit("Indicator")))
     opening = F.lit("<p>text</p><table class='wikitable sortable'>")
-    return table(spark, sf_dir, "part").select(
+    return spread(table(spark, sf_dir, "part"), "p_partkey").select(
         c("p_partkey").alias("page_id"),
         F.concat(
             opening,

@@ -497,7 +497,7 @@ def test_pages_of_one_file_are_spread(spark, tmp_path):
     customers.coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
     part = spark.range(12_000).select(c.alias("p_partkey"), *[F.lit("a").alias(f"p_{n}") for n in ("name", "brand", "type")], F.lit(1).alias("p_size"))
     part.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
-    for pages in (analysis._metadata_pages(spark, str(tmp_path)),):
+    for pages in (analysis._metadata_pages(spark, str(tmp_path)), analysis._table_pages(spark, str(tmp_path))):
         sizes = [r["count"] for r in pages.groupBy(F.spark_partition_id()).count().collect()]
         assert len(sizes) == 3 and max(sizes) < 5_000
 
