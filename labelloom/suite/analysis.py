@@ -397,7 +397,7 @@ def target_pages(spark, sf_dir):
     """From landed pages to nested lists; every page has its own goals, rows before a target are rejected."""
     c = F.col
     opening = "<table class=wide><tr><td>no</table><table class='wikitable'><tr><th>Target<th>Indicator"
-    pages = table(spark, sf_dir, "part").select(
+    pages = spread(table(spark, sf_dir, "part"), "p_partkey").select(
         c("p_partkey").alias("page_id"),
         F.concat(
             F.lit(opening + "<tr><td>"), c("p_name"), F.lit("<td>"), c("p_brand"), F.lit("<td>c<tr><td>"), c("p_type"),
