@@ -28,8 +28,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from labelloom.llm.common import is_training, map_texts, query, table
+from labelloom.llm.common import is_training, query, table
 from labelloom.sources.staging import stage
 
 #: Bytes of context.
@@ -39,7 +40,7 @@ SPLIT = 3
 #: Byte that UTF-8 never uses: it stands before a text and ends it.
 EDGE = 255
 #: Most words that are looked up in a table sent to all tasks.
-HOT = 1 << 16
+HOT = 1 << 18
 #: Most bytes in context whose code lengths are looked up in a table sent to all tasks.
 HOT_GRAMS = 1 << 21
 #: Rows with ``crc32 % 5`` equal to this are held out.
@@ -352,17 +353,17 @@ def code_lengths(counts: DataFrame, depth: int) -> DataFrame:
 
 
 def row_grams(docs: DataFrame, hot, depth: int) -> DataFrame:
-    """(row, gram, n, known) of each text: the bytes in context that are not in the table of hot ones and their times.
+    """(row, gram, n) of each text: the bytes in context that are not in the table of hot ones and their times.
 
-    Every text has one row more, with a number below 0 that no byte in context has, for the
-    code lengths of those that are in the table.
+    Every text has one row more, with a number below 0 that no byte in context has; its ``n``
+    is the sum of the code lengths of those that are in the table.
     """
-    schema = pa.schema([("row", pa.int64()), ("gram", pa.int64()), ("n", pa.int64()), ("known", pa.float64())])
+    schema = pa.schema([("row", pa.int64()), ("gram", pa.int64()), ("n", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, codes = hot.value
         for batch in batches:
-            rows, found, times, known, size = [], [], [], [], 0
+            rows, found, times, size = [], [], [], 0
             for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 raw, total = lowered(text), 0.0
                 for at in range(0, len(raw) + 1, BLOCK):  # a long text in blocks
@@ -377,16 +378,16 @@ def row_grams(docs: DataFrame, hot, depth: int) -> DataFrame:
                         hit = keys[places] == rest
                         total += float((codes[places[hit]] * n[hit]).sum())
                         rest, n = rest[~hit], n[~hit]
-                    rows.append(np.full(len(rest), row)), found.append(rest), times.append(n), known.append(np.zeros(len(rest)))
+                    rows.append(np.full(len(rest), row)), found.append(rest), times.append(n.astype(np.float64))
                     size += len(rest)
-                rows.append([row]), found.append([-1 - (row & 0x7FFFFFFFFFFFFFF)]), times.append([0]), known.append([total])
+                rows.append([row]), found.append([-1 - (row & 0x7FFFFFFFFFFFFFF)]), times.append([total])
                 if size >= 100_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (rows, found, times, known)], schema=schema)
-                    rows, found, times, known, size = [], [], [], [], 0
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (rows, found, times)], schema=schema)
+                    rows, found, times, size = [], [], [], 0
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (rows, found, times, known)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (rows, found, times)], schema=schema)
 
-    return docs.select("row", "_text").mapInArrow(run, "row long, gram long, n long, known double")
+    return docs.select("row", "_text").mapInArrow(run, "row long, gram long, n double")
 
 
 # --- words ---------------------------------------------------------------------------
@@ -420,26 +421,50 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("_text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def rare_words(docs: DataFrame, hot) -> DataFrame:
-    """(row, word, times) of the words of each text that are not in the table of hot ones."""
+def word_rows(docs: DataFrame, hot) -> DataFrame:
+    """Two kinds of rows: one per text with its own figures, and (row, word, n) of its words that are not in the table of hot ones.
+
+    The figures are in one pass with the words, since both need every word. The row of a
+    text has a word that no text has, so that these rows spread in a join on the word.
+    """
+    figures = "n_tokens long, hot_known long, hot_base double, n_bytes long"
+    schema = StructType(
+        [*StructType.fromDDL("row long, word binary, n int").fields, docs.schema["key"], docs.schema["held_out"], *StructType.fromDDL(figures).fields]
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = hot.value
-        schema = pa.schema([("row", pa.int64()), ("word", pa.binary()), ("n", pa.int32())])
+        known, log10, names = hot.value, math.log10, schema.names
+
+        def rest(rows: list, words: list, times: list, kinds: list[pa.DataType]) -> pa.RecordBatch:
+            own = [pa.array(rows, pa.int64()), pa.array(words, pa.binary()), pa.array(times, pa.int32())]
+            return pa.RecordBatch.from_arrays([*own, *(pa.nulls(len(rows), kind) for kind in kinds)], names)
+
         for batch in batches:
-            rows, words, times = [], [], []
-            for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                counts = Counter(words_of(text))
-                own = [w for w in counts if w not in known]
-                words += own
-                times += [counts[w] for w in own]
-                rows += [row] * len(own)
+            kinds = [batch.column(1).type, batch.column(2).type, pa.int64(), pa.int64(), pa.float64(), pa.int64()]
+            rows, words, times, own, markers = [], [], [], [], []
+            for row, text in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist()):
+                raw = lowered(text)
+                every = raw.split()
+                counts, found, base = Counter(every), 0, 0.0
+                counts[b""] = 1  # the end
+                for word, n in counts.items():
+                    c = known.get(word)
+                    if c is None:
+                        words.append(word), times.append(n), rows.append(row)
+                    else:
+                        found += n
+                        base += n * log10(c + 0.5)
+                own.append((len(every) + 1, found, base, len(raw) + 1))
+                markers.append(row.to_bytes(8, "big", signed=True) + b" ")
                 if len(rows) >= 100_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(words, pa.binary()), pa.array(times, pa.int32())], schema=schema)
+                    yield rest(rows, words, times, kinds)
                     rows, words, times = [], [], []
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(words, pa.binary()), pa.array(times, pa.int32())], schema=schema)
+            yield rest(rows, words, times, kinds)
+            made = [pa.array([x[k] for x in own], kind) for k, kind in enumerate(kinds[2:])]
+            first = [batch.column(0), pa.array(markers, pa.binary()), pa.nulls(len(own), pa.int32())]
+            yield pa.RecordBatch.from_arrays([*first, batch.column(1), batch.column(2), *made], names)
 
-    return docs.select("row", "_text").mapInArrow(run, "row long, word binary, n int")
+    return docs.select("row", "key", "held_out", "_text").mapInArrow(run, schema)
 
 
 def score(df: DataFrame, key: str = "doc_id", text: str = "text", depth: int = DEPTH, held_out: int = HELD_OUT) -> DataFrame:
@@ -471,35 +496,18 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", depth: int = D
     order = np.argsort(keys)
     looked_up = spark.sparkContext.broadcast((keys[order], values[order]))
 
-    def make():
-        counts, log10 = hot.value, math.log10
-
-        def one(value: str) -> tuple:
-            words = words_of(value)
-            known, base = 0, 0.0
-            for word, times in Counter(words).items():
-                c = counts.get(word)
-                if c is not None:
-                    known += times
-                    base += times * log10(c + 0.5)
-            return len(words), known, base, len(lowered(value)) + 1
-
-        return one
-
-    rows = map_texts(
-        docs, {"key": "key", "row": "row", "held_out": "held_out"}, "_text", make,
-        "n_tokens long, hot_known long, hot_base double, n_bytes long",
-    )
-    rare = rare_words(docs, hot).join(vocabulary, "word", "left")
+    joined = word_rows(docs, hot).join(vocabulary, "word", "left")
     c = F.coalesce("c", F.lit(0))
-    sums_ = rare.groupBy("row").agg(
-        F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("rare_known"), F.sum(F.col("n") * F.log10(c + 0.5)).alias("rare_base")
+    # Repeated rows share one number, so their sums hold every one of them.
+    times = joined.groupBy("row").agg(
+        F.count("n_tokens").alias("times"),
+        *(F.first(x, ignorenulls=True).alias(x) for x in ("key", "held_out", "n_tokens", "hot_known", "hot_base", "n_bytes")),
+        F.sum(F.when(c > 0, F.col("n"))).alias("rare_known"),
+        F.sum(F.col("n") * F.log10(c + 0.5)).alias("rare_base"),
     )
     coded = row_grams(docs, looked_up, depth).join(codes, "gram", "left").groupBy("row")
-    coded = coded.agg(F.sum(F.col("known") + F.col("n") * F.coalesce("code", F.lit(0.0))).alias("coded"))
-    # Repeated rows share one number, so their sums hold every one of them.
-    times = rows.groupBy("row").agg(F.count(F.lit(1)).alias("times"), *(F.first(x).alias(x) for x in rows.columns if x != "row"))
-    both = times.join(sums_, "row", "left").join(coded, "row").withColumn("score", F.col("coded") / F.col("times")).select(
+    coded = coded.agg(F.sum(F.when(F.col("gram") < 0, F.col("n")).otherwise(F.col("n") * F.coalesce("code", F.lit(0.0)))).alias("coded"))
+    both = times.join(coded, "row").withColumn("score", F.col("coded") / F.col("times")).select(
         "*", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("copy")
     )
     rare_base = F.coalesce(F.col("rare_base") / F.col("times"), F.lit(0.0))

@@ -163,3 +163,11 @@ def _shortened(counts, depth):
     for gram, n in counts.items():
         out[gram & ((1 << 8 * (depth + 1)) - 1)] += n
     return out
+
+
+def test_words_take_one_pass(spark):
+    """Figures and rare words of a text come from one pass over the texts, the bytes in context from another; keys of any type."""
+    df = spark.createDataFrame([("a", "one two two"), ("a", "one two two"), (None, "x"), ("b", None)], "doc_id string, text string")
+    scored = lm.score(df)
+    assert scored._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 2
+    assert sorted((r.doc_id or "", r.n_tokens) for r in scored.collect()) == [("", 2), ("a", 4), ("a", 4), ("b", 1)]
