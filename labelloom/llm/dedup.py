@@ -6,11 +6,12 @@
 3. Improved consistent weighted sampling draws ``BANDS * ROWS`` samples per node; two
    nodes draw the same sample with a probability equal to their weighted Jaccard
    similarity. Samples are banded; nodes that share a band are candidates.
-4. In a bucket every node is compared with one hub only, the node with the most company
+4. In a bucket every node is compared with one hub first, the node with the most company
    over all bands, which for copies of an original is the original. So a bucket of n
    nodes gives n - 1 pairs. Every pair is verified by its weighted Jaccard similarity.
-5. Where a comparison with a hub fails, links between other members may remain. The
-   members' differences from the hub tell which: what most members have in common
+5. Where a comparison with a hub fails, links between other members may remain. In
+   buckets of at most ``SMALL`` nodes all pairs between classes are then compared.
+6. In larger buckets the members' differences from the hub tell which links may remain: what most members have in common
    against the hub is the hub's own doing and is turned round, so that the differences
    are those from the members' consensus. Two members are similar only if they share
    enough of their differences, by weight, or if both are so near the consensus that
@@ -18,8 +19,9 @@
    frequent differences of a member that together weigh less than it must share with
    anyone are left out; members that share one of the others are the buckets of the
    next round, if they belong to more than one class so far. No possible link between
-   classes is lost by that. Rounds go on until no new pair comes up.
-6. Links are joined into classes by alternating star operations on tables.
+   classes is lost by that. Of these, small buckets are settled by all their pairs too;
+   rounds go on with the larger ones until no new pair comes up.
+7. Links are joined into classes by alternating star operations on tables.
 """
 
 from __future__ import annotations
@@ -40,6 +42,8 @@ from labelloom.sources.staging import stage
 SIMILAR = 0.8
 #: Bands and samples in a band: a pair at the threshold is missed once in 4,600.
 BANDS, ROWS = 16, 4
+#: Most nodes of a bucket in which all pairs between classes are compared: at most ``SMALL / 2`` for each member.
+SMALL = 128
 #: Changed bits of a difference that the node has more of than its hub.
 MORE = -0x61C8864680B583EB
 #: Cells in each of the two rows of the sketch of document frequencies, and how it is cut for summing.
@@ -211,22 +215,34 @@ def signatures(docs: DataFrame, weights) -> DataFrame:
 # --- candidates --------------------------------------------------------------------
 
 
-def hub_pairs(buckets: DataFrame) -> DataFrame:
-    """(node, hub) pairs of buckets (``bucket``, ``node``): every member with the member that has the most company."""
+def bucket_members(buckets: DataFrame) -> DataFrame:
+    """Members (``bucket``, ``node``) of buckets with more than one, the bucket's size and the company the node has over all buckets."""
     shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = stage(buckets.join(shared, "bucket"), "dedup-members")
-    company = members.groupBy("node").agg(F.sum("n").alias("company"))
-    hubs = (
-        members.join(company, "node")
-        .groupBy("bucket")
-        .agg(F.max(F.struct("company", "node")).alias("best"))
-        .select("bucket", F.col("best.node").alias("hub"))
-    )
+    members = stage(buckets.join(shared, "bucket"), "dedup-buckets")
+    return members.join(members.groupBy("node").agg(F.sum("n").alias("company")), "node")
+
+
+def hub_pairs(members: DataFrame) -> DataFrame:
+    """(node, hub) pairs of buckets: every member with the member that has the most company."""
+    hubs = members.groupBy("bucket").agg(F.max(F.struct("company", "node")).alias("best")).select("bucket", F.col("best.node").alias("hub"))
     return members.join(hubs, "bucket").filter("node != hub").select("node", "hub").distinct()
 
 
-def compare(pairs: DataFrame, texts: DataFrame, weights) -> DataFrame:
-    """Similarity and weights of node and hub, and their difference: shingles and weights.
+def pairs_within(members: DataFrame) -> DataFrame:
+    """(node, hub) pairs of all members (``bucket``, ``node``, ``node_root``) of a bucket that are not in one class yet."""
+    other = members.select(F.col("bucket").alias("_bucket"), F.col("node").alias("hub"), F.col("node_root").alias("hub_root"))
+    same = (F.col("bucket") == F.col("_bucket")) & (F.col("node") > F.col("hub")) & (F.col("node_root") != F.col("hub_root"))
+    return members.join(other, same).select("node", "hub").distinct()
+
+
+def rooted(frame: DataFrame, roots: DataFrame, name: str = "node") -> DataFrame:
+    """A frame with the class so far of a column's nodes; ``roots`` has that of every linked node."""
+    own = roots.select(F.col("node").alias(name), F.col("root").alias(f"{name}_root"))
+    return frame.join(own, name, "left").withColumn(f"{name}_root", F.coalesce(f"{name}_root", name))
+
+
+def compare(pairs: DataFrame, texts: DataFrame, weights, wide: bool = True) -> DataFrame:
+    """Similarity and weights of node and hub, and their difference: shingles and weights; if not ``wide``, the similarity only.
 
     The difference holds every shingle whose weights are not the same, with the amount;
     the bits of those that the node has more of are changed by ``MORE``.
@@ -254,6 +270,8 @@ def compare(pairs: DataFrame, texts: DataFrame, weights) -> DataFrame:
                 every = total_v + total_w - common
                 s = common / every if every else 0.0
                 similar.append(s)
+                if not wide:
+                    continue
                 totals.append(total_w)
                 hub_totals.append(total_v)
                 a, b = w.copy(), v.copy()
@@ -261,6 +279,9 @@ def compare(pairs: DataFrame, texts: DataFrame, weights) -> DataFrame:
                 b[to] -= w[at]
                 differences.append(np.concatenate([g[a > 0].view(np.int64) ^ np.int64(MORE), h[b > 0].view(np.int64)]))
                 amounts.append(np.concatenate([a[a > 0], b[b > 0]]))
+            if not wide:
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(similar, pa.float64())], ["node", "hub", "similarity"])
+                continue
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), batch.column(1), pa.array(similar, pa.float64()), pa.array(totals, pa.float64()), pa.array(hub_totals, pa.float64()),
@@ -271,9 +292,10 @@ def compare(pairs: DataFrame, texts: DataFrame, weights) -> DataFrame:
 
     left = pairs.join(texts, "node").select("node", "hub", F.col("words").alias("node_words"))
     both = left.join(texts.select(F.col("node").alias("hub"), F.col("words").alias("hub_words")), "hub")
-    return both.select("node", "hub", "node_words", "hub_words").mapInArrow(
-        run, "node long, hub long, similarity double, total double, hub_total double, differences array<long>, amounts array<float>"
-    )
+    kind = "node long, hub long, similarity double"
+    if wide:
+        kind += ", total double, hub_total double, differences array<long>, amounts array<float>"
+    return both.select("node", "hub", "node_words", "hub_words").mapInArrow(run, kind)
 
 
 def both_ways(compared: DataFrame) -> DataFrame:
@@ -291,16 +313,19 @@ def once(pairs: DataFrame) -> DataFrame:
     return ends.select("p.node", "p.hub")
 
 
+def new_pairs(pairs: DataFrame, done: DataFrame) -> DataFrame:
+    """Pairs, in one direction, that have not been compared in either."""
+    old = done.select("node", "hub").unionByName(done.select(F.col("hub").alias("node"), F.col("node").alias("hub")))
+    return stage(once(pairs).join(old, ["node", "hub"], "left_anti"), "dedup-pairs")
+
+
 def further_pairs(compared: DataFrame, roots: DataFrame, similar: float) -> DataFrame:
     """(node, hub) pairs of members of one hub that may be similar and are not in one class yet.
 
-    ``roots`` has the class so far of every linked node.
+    ``roots`` has the class so far of every linked node. Pairs that are ``wide`` stand for
+    more members of their hub; the others are all pairs of small buckets.
     """
-    members = compared
-    for name in ("node", "hub"):
-        own = roots.select(F.col("node").alias(name), F.col("root").alias(f"{name}_root"))
-        members = members.join(own, name, "left").withColumn(f"{name}_root", F.coalesce(f"{name}_root", name))
-    members = stage(members, "dedup-members")
+    members = stage(rooted(rooted(compared, roots), roots, "hub"), "dedup-members")
     open_ = (
         members.groupBy("hub")
         .agg(F.count(F.lit(1)).alias("m"), F.max(F.col("node_root") != F.col("hub_root")).alias("open"), F.max("total").alias("most"))
@@ -352,24 +377,30 @@ def further_pairs(compared: DataFrame, roots: DataFrame, similar: float) -> Data
         .filter(F.col("so_far") >= F.col("must"))
         .select(F.xxhash64("hub", "d").alias("bucket"), "node", "node_root")
     )
+    kept = stage(kept, "dedup-kept")
     chosen = (
         kept.groupBy("bucket")
-        .agg(F.min("node").alias("hub"), (F.min("node_root") != F.max("node_root")).alias("open"))
+        .agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("hub"), (F.min("node_root") != F.max("node_root")).alias("open"))
         .filter("open")
     )
-    pairs = kept.join(chosen.select("bucket", "hub"), "bucket").filter("node != hub").select("node", "hub")
-    return pairs.unionByName(to_nearest).distinct()
+    kept = stage(kept.join(chosen.select("bucket", "n", "hub"), "bucket"), "dedup-kept")
+    pairs = kept.filter((F.col("n") > SMALL) & (F.col("node") != F.col("hub"))).select("node", "hub").unionByName(to_nearest).distinct()
+    settled = pairs_within(kept.filter(F.col("n") <= SMALL).select("bucket", "node", "node_root"))
+    return pairs.withColumn("wide", F.lit(True)).unionByName(settled.withColumn("wide", F.lit(False)))
 
 
 # --- classes -----------------------------------------------------------------------
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, linked: DataFrame | None = None) -> DataFrame:
     """(node, root) of all linked nodes, root being the least node of the component.
 
+    ``linked`` has those of links that came before.
     Alternates the large-star and the small-star operation until the edges stay the
     same; each half step is a grouping and a join, and is written out.
     """
+    if linked is not None:
+        links = links.select("a", "b").unionByName(linked.select(F.col("node").alias("a"), F.col("root").alias("b")))
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct()
     edges = stage(edges, "dedup-edges")
     before = None
@@ -402,28 +433,42 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", simi
     signed = stage(signatures(docs, weights), "dedup-signatures")
     nodes = signed.groupBy("node").agg(F.min("key").alias("key"))
     bands = signed.select("node", F.explode("bands").alias("bucket")).distinct()
-    pairs = stage(once(hub_pairs(bands)), "dedup-pairs")
+    members = stage(bucket_members(bands), "dedup-members")
+    small = members.filter(F.col("n") <= SMALL)
+    wide = stage(once(hub_pairs(members.filter(F.col("n") > SMALL))), "dedup-pairs")
+    first = new_pairs(hub_pairs(small), wide)
+    pairs = wide.unionByName(first)
     # The texts of candidates, one row per node: the document with the least key stands for its copies.
     wanted = pairs.select("node").union(pairs.select("hub")).distinct().join(nodes, "node")
     chosen = docs.alias("d").join(
         wanted.alias("w"), (F.col("d.node") == F.col("w.node")) & F.col("d.key").eqNullSafe(F.col("w.key")), "left_semi"
     )
     texts = stage(chosen.select("node", "words").dropDuplicates(["node"]), "dedup-texts")
-    done, links, every = None, None, None
-    while True:
-        compared = stage(compare(pairs, texts, weights), "dedup-compared")
-        found = compared.filter(F.col("similarity") >= similar).select(F.col("node").alias("a"), F.col("hub").alias("b"))
-        links = found if links is None else links.unionByName(found)
-        done = pairs if done is None else done.unionByName(pairs)
-        linked = components(links)
+
+    def linking(compared: DataFrame) -> DataFrame:
+        return compared.filter(F.col("similarity") >= similar).select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b"))
+
+    compared = stage(compare(wide, texts, weights), "dedup-compared")
+    links = linking(compared).unionByName(linking(stage(compare(first, texts, weights, wide=False), "dedup-compared")))
+    linked = components(links)
+    rest = new_pairs(pairs_within(rooted(small, linked)), pairs)
+    found = linking(stage(compare(rest, texts, weights, wide=False), "dedup-compared"))
+    links, linked = links.unionByName(found), components(found, linked)
+    # ``done`` has the pairs whose differences are known, ``every`` both ways of them; ``settled`` those whose similarity is.
+    done, settled, every = wide, pairs.unionByName(rest), None
+    while not wide.isEmpty():
         # A hub with a new pair is looked into with all its members, of earlier rounds and as the other end of a pair too.
         sides = both_ways(compared)
         every = sides if every is None else every.unionByName(sides)
         more = further_pairs(every.join(stage(sides.select("hub").distinct(), "dedup-hubs"), "hub", "left_semi"), linked, similar)
-        old = done.select("node", "hub").unionByName(done.select(F.col("hub").alias("node"), F.col("node").alias("hub")))
-        pairs = stage(once(more).join(old, ["node", "hub"], "left_anti"), "dedup-pairs")
-        if pairs.isEmpty():
-            break
+        more = stage(more, "dedup-further")
+        wide = new_pairs(more.filter("wide"), done)
+        rest = new_pairs(more.filter("not wide"), settled.unionByName(wide))
+        compared = stage(compare(wide, texts, weights), "dedup-compared")
+        found = linking(compared).unionByName(linking(stage(compare(rest, texts, weights, wide=False), "dedup-compared")))
+        links, linked = links.unionByName(found), components(found, linked)
+        done, settled = done.unionByName(wide), settled.unionByName(wide).unionByName(rest)
+    links = links.distinct()
     degrees = links.select("a", "b").union(links.select("b", "a")).toDF("node", "other").groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     known = nodes.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = known.groupBy("root").agg(F.min("key").alias("class_id"))

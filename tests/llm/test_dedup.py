@@ -1,11 +1,14 @@
 import itertools
 import re
+import time
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from labelloom.llm import dedup, shingles
+from labelloom.sources import staging
 from tests.llm import data
 
 
@@ -161,3 +164,39 @@ def test_pairs_of_a_hub_count_in_either_direction(spark, monkeypatch):
     a = data.prose(200, 1)
     texts = {1: a, 2: data.edited(a, 2, 5), 3: data.edited(a, 8, 9)}
     assert class_of_pairs(spark, monkeypatch, texts, [(3, 1), (2, 3)])[2] == 1
+
+
+@pytest.mark.parametrize("most", [1, 3])
+def test_large_buckets_give_the_same_classes(spark, monkeypatch, most):
+    df = spark.createDataFrame(family(), "doc_id long, text string")
+    expected = {r.doc_id: r.class_id for r in dedup.near_duplicates(df).collect()}
+    monkeypatch.setattr(dedup, "SMALL", most)
+    assert {r.doc_id: r.class_id for r in dedup.near_duplicates(df).collect()} == expected
+
+
+def test_small_buckets_need_no_rounds(spark, monkeypatch):
+    """Edits of an original that is not there, similar to each other or not, are settled by one comparison of all pairs."""
+    bases = [data.prose(300, 900 + f) for f in range(3)]
+    rows = [(10 * f + k, data.edited(base, 9, 100 * f + k)) for f, base in enumerate(bases) for k in range(9)]
+    rows += [(10 * f + 9, data.edited(rows[9 * f + 4][1], 2, f)) for f in range(3)]
+    monkeypatch.setattr(dedup, "further_pairs", lambda *_: pytest.fail("another round"))
+    found = {r.doc_id: r.class_id for r in dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    own = {k: counted(t) for k, t in rows}
+    links = [(a, b) for a, b in itertools.combinations(own, 2) if jaccard(own[a], own[b]) >= 0.83]
+    assert links and all(found[a] == found[b] for a, b in links)
+    assert len({found[k] for k in own}) > 9
+
+
+def test_staging_leaves_no_shuffle_files(spark):
+    def files():
+        found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {found.apply(k).getName() for k in range(found.size()) if found.apply(k).getName().startswith("shuffle_")}
+
+    before, was = files(), spark.conf.get(staging.CLEAN_UP, None)
+    staged = staging.stage(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "test")
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before and staged.count() == 7
+    assert spark.conf.get(staging.CLEAN_UP, None) == was
