@@ -15,7 +15,7 @@
    against the hub is the hub's own doing and is turned round, so that the differences
    are those from the members' consensus. Two members are similar only if they share
    enough of their differences, by weight, or if both are so near the consensus that
-   they are similar to the member nearest to it. As in prefix filtering, the most
+   they are similar to one member near it. As in prefix filtering, the most
    frequent differences of a member that together weigh less than it must share with
    anyone are left out; members that share one of the others are the buckets of the
    next round, if they belong to more than one class so far. No possible link between
@@ -44,6 +44,8 @@ SIMILAR = 0.8
 BANDS, ROWS = 16, 4
 #: Most nodes of a bucket in which all pairs between classes are compared: at most ``SMALL / 2`` for each member.
 SMALL = 128
+#: Shingles of texts that a task keeps at hand.
+WEIGHED = 1 << 21
 #: Changed bits of a difference that the node has more of than its hub.
 MORE = -0x61C8864680B583EB
 #: Cells in each of the two rows of the sketch of document frequencies, and how it is cut for summing.
@@ -217,22 +219,24 @@ def signatures(docs: DataFrame, weights) -> DataFrame:
 
 def bucket_members(buckets: DataFrame) -> DataFrame:
     """Members (``bucket``, ``node``) of buckets with more than one, the bucket's size and the company the node has over all buckets."""
-    shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = stage(buckets.join(shared, "bucket"), "dedup-buckets")
-    return members.join(members.groupBy("node").agg(F.sum("n").alias("company")), "node")
+    sized = buckets.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("bucket"))).filter("n > 1")
+    return sized.withColumn("company", F.sum("n").over(Window.partitionBy("node")))
 
 
 def hub_pairs(members: DataFrame) -> DataFrame:
     """(node, hub) pairs of buckets: every member with the member that has the most company."""
-    hubs = members.groupBy("bucket").agg(F.max(F.struct("company", "node")).alias("best")).select("bucket", F.col("best.node").alias("hub"))
-    return members.join(hubs, "bucket").filter("node != hub").select("node", "hub").distinct()
+    best = F.max(F.struct("company", "node")).over(Window.partitionBy("bucket"))
+    return members.withColumn("hub", best["node"]).filter("node != hub").select("node", "hub").distinct()
 
 
-def pairs_within(members: DataFrame) -> DataFrame:
-    """(node, hub) pairs of all members (``bucket``, ``node``, ``node_root``) of a bucket that are not in one class yet."""
-    other = members.select(F.col("bucket").alias("_bucket"), F.col("node").alias("hub"), F.col("node_root").alias("hub_root"))
+def pairs_within(members: DataFrame, also: Column | None = None) -> DataFrame:
+    """(node, hub) pairs of all members (``bucket``, ``node``, ``node_root``) of a bucket that are not in one class yet.
+
+    A condition may name the members' further columns, those of the hub with ``hub_`` before them.
+    """
+    other = members.select(*(F.col(c).alias({"bucket": "_bucket", "node": "hub", "node_root": "hub_root"}.get(c, f"hub_{c}")) for c in members.columns))
     same = (F.col("bucket") == F.col("_bucket")) & (F.col("node") > F.col("hub")) & (F.col("node_root") != F.col("hub_root"))
-    return members.join(other, same).select("node", "hub").distinct()
+    return members.join(other, same if also is None else same & also).select("node", "hub").distinct()
 
 
 def rooted(frame: DataFrame, roots: DataFrame, name: str = "node") -> DataFrame:
@@ -250,21 +254,27 @@ def compare(pairs: DataFrame, texts: DataFrame, weights, wide: bool = True) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = weights.value
-        last: tuple[int | None, tuple] = (None, ())
+        known: dict[int, tuple[np.ndarray, np.ndarray, float]] = {}
+        size = 0
 
-        def weighed(text: str) -> tuple[np.ndarray, np.ndarray, float]:
-            _, hashes, times, _ = next(shingles.groups([text]))
-            w = own.of(hashes, times)
-            return hashes, w, float(w.sum())
+        def weighed(node: int, text: str) -> tuple[np.ndarray, np.ndarray, float]:
+            nonlocal size
+            if node not in known:
+                if size > WEIGHED:
+                    known.clear()
+                    size = 0
+                _, hashes, times, _ = next(shingles.groups([text]))
+                w = own.of(hashes, times)
+                known[node] = hashes, w, float(w.sum())
+                size += len(hashes)
+            return known[node]
 
         for batch in batches:
-            hubs, node_words, hub_words = (batch.column(k).to_pylist() for k in range(1, 4))
+            nodes, hubs, node_words, hub_words = (batch.column(k).to_pylist() for k in range(4))
             similar, totals, hub_totals, differences, amounts = [], [], [], [], []
-            for hub, text, hub_text in zip(hubs, node_words, hub_words):
-                if last[0] != hub:
-                    last = hub, weighed(hub_text)
-                h, v, total_v = last[1]
-                g, w, total_w = weighed(text)
+            for node, hub, text, hub_text in zip(nodes, hubs, node_words, hub_words):
+                h, v, total_v = weighed(hub, hub_text)
+                g, w, total_w = weighed(node, text)
                 _, at, to = np.intersect1d(g, h, assume_unique=True, return_indices=True)
                 common = float(np.minimum(w[at], v[to]).sum())
                 every = total_v + total_w - common
@@ -323,7 +333,7 @@ def further_pairs(compared: DataFrame, roots: DataFrame, similar: float) -> Data
     """(node, hub) pairs of members of one hub that may be similar and are not in one class yet.
 
     ``roots`` has the class so far of every linked node. Pairs that are ``wide`` stand for
-    more members of their hub; the others are all pairs of small buckets.
+    more members of their hub; the others are all pairs of small buckets that may share enough, and those with the member near the consensus.
     """
     members = stage(rooted(rooted(compared, roots), roots, "hub"), "dedup-members")
     open_ = (
@@ -348,13 +358,17 @@ def further_pairs(compared: DataFrame, roots: DataFrame, similar: float) -> Data
     distance = F.col("weight") - 2 * F.coalesce("inside", F.lit(0.0)) + F.coalesce("whole", F.lit(0.0))
     near = own.join(inside, ["hub", "node"], "left").join(whole, "hub", "left")
     near = near.select("hub", "most", "node", "node_root", "total", F.greatest(F.lit(0.0), distance).alias("distance"))
-    nearest = near.groupBy("hub").agg(F.min(F.struct("distance", "node", "node_root")).alias("best"))
+    # Members that share nothing are similar if they exceed what they may differ in by 0 at most together; then each is similar to the one with the least excess.
+    share = (1 - similar) / (1 + similar)
+    near = near.withColumn("excess", F.col("distance") - share * F.col("total"))
+    nearest = near.groupBy("hub").agg(F.min("distance").alias("least"), F.min(F.struct("excess", "node", "node_root", "total")).alias("best"))
     # What two similar texts may differ in, the other one being at most this heavy.
     other = F.least(F.col("total") / similar, "most")
-    allowed = (1 - similar) / (1 + similar) * (F.col("total") + other) * 1.001
-    placed = near.join(nearest, "hub").withColumn("must", (F.col("distance") + F.col("best.distance") - allowed) / 2)
-    placed = stage(placed.select("hub", "node", "node_root", F.col("best.node").alias("nearest"), F.col("best.node_root").alias("nearest_root"), "must"), "dedup-distances")
-    to_nearest = placed.filter("must <= 0 and node_root != nearest_root").select("node", F.col("nearest").alias("hub"))
+    allowed = share * (F.col("total") + other) * 1.001
+    placed = near.join(nearest, "hub").withColumn("must", (F.col("distance") + F.col("least") - allowed) / 2)
+    placed = placed.withColumn("beside", F.col("excess") + F.col("best.excess") <= 0.001 * share * (F.col("total") + F.col("best.total")))
+    placed = stage(placed.select("hub", "node", "node_root", "distance", "total", F.col("best.node").alias("nearest"), F.col("best.node_root").alias("nearest_root"), "must", "beside"), "dedup-distances")
+    to_nearest = placed.filter("beside and node_root != nearest_root").select("node", F.col("nearest").alias("hub"))
     # Differences that members of two classes share: present ones, and turned ones that are absent or less than the most.
     told = counts.filter("n * 2 <= m and open").select("hub", "d", "n")
     shared = rows.select("hub", "node", "d", "w").join(told, ["hub", "d"])
@@ -373,20 +387,27 @@ def further_pairs(compared: DataFrame, roots: DataFrame, similar: float) -> Data
     common = Window.partitionBy("hub", "node").orderBy(F.col("n").desc(), "d")
     kept = (
         shared.withColumn("so_far", F.sum("w").over(common))
-        .join(placed.select("hub", "node", "must", "node_root"), ["hub", "node"])
+        .join(placed.select("hub", "node", "must", "node_root", "distance", "total"), ["hub", "node"])
         .filter(F.col("so_far") >= F.col("must"))
-        .select(F.xxhash64("hub", "d").alias("bucket"), "node", "node_root")
+        .select(F.xxhash64("hub", "d").alias("bucket"), "d", "node", "node_root", "so_far", "distance", "total")
     )
     kept = stage(kept, "dedup-kept")
     chosen = (
         kept.groupBy("bucket")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("hub"), (F.min("node_root") != F.max("node_root")).alias("open"))
+        .agg(
+            F.first("d").alias("d"), F.count(F.lit(1)).alias("n"), F.min("node").alias("hub"), (F.min("node_root") != F.max("node_root")).alias("open"),
+            F.bit_xor("node").alias("x"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("y"),
+        )
         .filter("open")
-    )
+        .groupBy("n", "hub", "x", "y")
+        .agg(F.max_by("bucket", "d").alias("bucket"))
+    )  # the last bucket stands for all with the same members
     kept = stage(kept.join(chosen.select("bucket", "n", "hub"), "bucket"), "dedup-kept")
-    pairs = kept.filter((F.col("n") > SMALL) & (F.col("node") != F.col("hub"))).select("node", "hub").unionByName(to_nearest).distinct()
-    settled = pairs_within(kept.filter(F.col("n") <= SMALL).select("bucket", "node", "node_root"))
-    return pairs.withColumn("wide", F.lit(True)).unionByName(settled.withColumn("wide", F.lit(False)))
+    pairs = kept.filter((F.col("n") > SMALL) & (F.col("node") != F.col("hub"))).select("node", "hub").distinct()
+    # In the bucket of the rarest difference that two members share, all that they share is in what each has so far.
+    must = F.col("distance") + F.col("hub_distance") - share * (F.col("total") + F.col("hub_total")) * 1.001
+    settled = pairs_within(kept.filter(F.col("n") <= SMALL).drop("n", "hub", "d"), F.least("so_far", "hub_so_far") * 2.001 >= must)
+    return pairs.withColumn("wide", F.lit(True)).unionByName(settled.unionByName(to_nearest).withColumn("wide", F.lit(False)))
 
 
 # --- classes -----------------------------------------------------------------------
@@ -451,7 +472,10 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", simi
     compared = stage(compare(wide, texts, weights), "dedup-compared")
     links = linking(compared).unionByName(linking(stage(compare(first, texts, weights, wide=False), "dedup-compared")))
     linked = components(links)
-    rest = new_pairs(pairs_within(rooted(small, linked)), pairs)
+    # A node has at most one bucket for each band; a pair comes up in the first one of both.
+    within = rooted(small, linked).withColumn("buckets", F.collect_list("bucket").over(Window.partitionBy("node")))
+    first_of_both = F.array_min(F.array_intersect("buckets", "hub_buckets")) == F.col("bucket")
+    rest = new_pairs(pairs_within(within.select("bucket", "node", "node_root", "buckets"), first_of_both), pairs)
     found = linking(stage(compare(rest, texts, weights, wide=False), "dedup-compared"))
     links, linked = links.unionByName(found), components(found, linked)
     # ``done`` has the pairs whose differences are known, ``every`` both ways of them; ``settled`` those whose similarity is.
