@@ -48,7 +48,7 @@ HELD_OUT = 1
 #: Distinct words a task gathers before it passes their counts on.
 GATHERED = 500_000
 #: Bytes of texts handled at once.
-BLOCK = 1 << 22
+BLOCK = 1 << 20
 #: Distinct bytes in context a task gathers before it passes their counts on, and rows of the trees it handles at once.
 GATHERED_GRAMS, TREE_ROWS = 1 << 20, 1 << 15
 
