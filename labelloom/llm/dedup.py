@@ -9,18 +9,14 @@
 4. In a bucket every node is compared with one hub first, the node with the most company
    over all bands, which for copies of an original is the original. So a bucket of n
    nodes gives n - 1 pairs. Every pair is verified by its weighted Jaccard similarity.
-5. Where a comparison with a hub fails, links between other members may remain. In
-   buckets of at most ``SMALL`` nodes all pairs between classes are then compared.
-6. In larger buckets the members' differences from the hub tell which links may remain: what most members have in common
-   against the hub is the hub's own doing and is turned round, so that the differences
-   are those from the members' consensus. Two members are similar only if they share
-   enough of their differences, by weight, or if both are so near the consensus that
-   they are similar to one member near it. As in prefix filtering, the most
-   frequent differences of a member that together weigh less than it must share with
-   anyone are left out; members that share one of the others are the buckets of the
-   next round, if they belong to more than one class so far. No possible link between
-   classes is lost by that. Of these, small buckets are settled by all their pairs too;
-   rounds go on with the larger ones until no new pair comes up.
+5. Where a comparison with a hub fails, links between other members may remain. Buckets
+   of more than ``SMALL`` nodes that have the same hub are one group. Its members that are
+   not in its largest class yet, the rest, are compared with all members, block against
+   block: a task gets two blocks of bounded size, sums what their texts have in common by
+   matrix products and gives back just the links that join classes. First every block is
+   compared with the rest in itself, which leaves few of them; then the rest with all
+   blocks. Every pair of two classes of a bucket is compared.
+6. In buckets of at most ``SMALL`` nodes all pairs between classes are then compared one by one.
 7. Links are joined into classes by alternating star operations on tables.
 """
 
@@ -46,8 +42,12 @@ BANDS, ROWS = 16, 4
 SMALL = 128
 #: Shingles of texts that a task keeps at hand.
 WEIGHED = 1 << 21
-#: Changed bits of a difference that the node has more of than its hub.
-MORE = -0x61C8864680B583EB
+#: Most texts, and bytes of texts, of a block, about; a task compares two blocks.
+BLOCK, BLOCK_BYTES = 2048, 1 << 22
+#: A shingle is counted in a matrix product if at least one in so many pairs of texts has it, else pair by pair.
+DENSE = 100
+#: Columns of a matrix, and pairs counted one by one, at a time.
+COLUMNS, PAIRS = 512, 1 << 20
 #: Cells in each of the two rows of the sketch of document frequencies, and how it is cut for summing.
 SKETCH, SKETCH_PARTS = 1 << 19, 64
 #: How much rarer shingles weigh: from 1 for one in every document to 1 + RARITY for one in a single document.
@@ -229,14 +229,14 @@ def hub_pairs(members: DataFrame) -> DataFrame:
     return members.withColumn("hub", best["node"]).filter("node != hub").select("node", "hub").distinct()
 
 
-def pairs_within(members: DataFrame, also: Column | None = None) -> DataFrame:
+def pairs_within(members: DataFrame, also: Column) -> DataFrame:
     """(node, hub) pairs of all members (``bucket``, ``node``, ``node_root``) of a bucket that are not in one class yet.
 
-    A condition may name the members' further columns, those of the hub with ``hub_`` before them.
+    The condition may name the members' further columns, those of the hub with ``hub_`` before them.
     """
     other = members.select(*(F.col(c).alias({"bucket": "_bucket", "node": "hub", "node_root": "hub_root"}.get(c, f"hub_{c}")) for c in members.columns))
     same = (F.col("bucket") == F.col("_bucket")) & (F.col("node") > F.col("hub")) & (F.col("node_root") != F.col("hub_root"))
-    return members.join(other, same if also is None else same & also).select("node", "hub").distinct()
+    return members.join(other, same & also).select("node", "hub").distinct()
 
 
 def rooted(frame: DataFrame, roots: DataFrame, name: str = "node") -> DataFrame:
@@ -245,12 +245,8 @@ def rooted(frame: DataFrame, roots: DataFrame, name: str = "node") -> DataFrame:
     return frame.join(own, name, "left").withColumn(f"{name}_root", F.coalesce(f"{name}_root", name))
 
 
-def compare(pairs: DataFrame, texts: DataFrame, weights, wide: bool = True) -> DataFrame:
-    """Similarity and weights of node and hub, and their difference: shingles and weights; if not ``wide``, the similarity only.
-
-    The difference holds every shingle whose weights are not the same, with the amount;
-    the bits of those that the node has more of are changed by ``MORE``.
-    """
+def compare(pairs: DataFrame, texts: DataFrame, weights) -> DataFrame:
+    """Similarity of node and hub."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = weights.value
@@ -271,50 +267,19 @@ def compare(pairs: DataFrame, texts: DataFrame, weights, wide: bool = True) -> D
 
         for batch in batches:
             nodes, hubs, node_words, hub_words = (batch.column(k).to_pylist() for k in range(4))
-            similar, totals, hub_totals, differences, amounts = [], [], [], [], []
+            similar = []
             for node, hub, text, hub_text in zip(nodes, hubs, node_words, hub_words):
                 h, v, total_v = weighed(hub, hub_text)
                 g, w, total_w = weighed(node, text)
                 _, at, to = np.intersect1d(g, h, assume_unique=True, return_indices=True)
                 common = float(np.minimum(w[at], v[to]).sum())
                 every = total_v + total_w - common
-                s = common / every if every else 0.0
-                similar.append(s)
-                if not wide:
-                    continue
-                totals.append(total_w)
-                hub_totals.append(total_v)
-                a, b = w.copy(), v.copy()
-                a[at] -= v[to]
-                b[to] -= w[at]
-                differences.append(np.concatenate([g[a > 0].view(np.int64) ^ np.int64(MORE), h[b > 0].view(np.int64)]))
-                amounts.append(np.concatenate([a[a > 0], b[b > 0]]))
-            if not wide:
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(similar, pa.float64())], ["node", "hub", "similarity"])
-                continue
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0), batch.column(1), pa.array(similar, pa.float64()), pa.array(totals, pa.float64()), pa.array(hub_totals, pa.float64()),
-                    pa.array(differences, pa.list_(pa.int64())), pa.array([x.astype(np.float32) for x in amounts], pa.list_(pa.float32())),
-                ],
-                ["node", "hub", "similarity", "total", "hub_total", "differences", "amounts"],
-            )
+                similar.append(common / every if every else 0.0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(similar, pa.float64())], ["node", "hub", "similarity"])
 
     left = pairs.join(texts, "node").select("node", "hub", F.col("words").alias("node_words"))
     both = left.join(texts.select(F.col("node").alias("hub"), F.col("words").alias("hub_words")), "hub")
-    kind = "node long, hub long, similarity double"
-    if wide:
-        kind += ", total double, hub_total double, differences array<long>, amounts array<float>"
-    return both.select("node", "hub", "node_words", "hub_words").mapInArrow(run, kind)
-
-
-def both_ways(compared: DataFrame) -> DataFrame:
-    """Compared pairs, each with either text as the hub."""
-    other = compared.select(
-        F.col("hub").alias("node"), F.col("node").alias("hub"), "similarity", F.col("hub_total").alias("total"), F.col("total").alias("hub_total"),
-        F.transform("differences", lambda d: d.bitwiseXOR(F.lit(MORE))).alias("differences"), "amounts",
-    )
-    return compared.unionByName(other)
+    return both.select("node", "hub", "node_words", "hub_words").mapInArrow(run, "node long, hub long, similarity double")
 
 
 def once(pairs: DataFrame) -> DataFrame:
@@ -329,85 +294,122 @@ def new_pairs(pairs: DataFrame, done: DataFrame) -> DataFrame:
     return stage(once(pairs).join(old, ["node", "hub"], "left_anti"), "dedup-pairs")
 
 
-def further_pairs(compared: DataFrame, roots: DataFrame, similar: float) -> DataFrame:
-    """(node, hub) pairs of members of one hub that may be similar and are not in one class yet.
+# --- groups of large buckets -------------------------------------------------------
+
+
+def hub_members(pairs: DataFrame) -> DataFrame:
+    """Members (``hub``, ``node``) of every hub: the nodes that have it as their hub, the hubs that it has, and itself."""
+    hubs = pairs.select("hub").distinct()
+    other = pairs.select(F.col("node").alias("hub"), F.col("hub").alias("node")).join(hubs, "hub", "left_semi")
+    return pairs.select("hub", "node").unionByName(other).unionByName(hubs.withColumn("node", F.col("hub"))).distinct()
+
+
+def open_hubs(members: DataFrame) -> DataFrame:
+    """Hubs with members (``hub``, ``node``, ``size``, ``node_root``) of more than one class: the largest class, the blocks of all members and those of the rest."""
+    classes = members.groupBy("hub", "node_root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    hubs = classes.groupBy("hub").agg(F.max(F.struct("n", "node_root", "size")).alias("most"), F.sum("n").alias("n"), F.sum("size").alias("size"))
+
+    def blocks(n: Column, size: Column) -> Column:
+        return F.ceil(F.greatest(n / BLOCK, size / BLOCK_BYTES)).cast("int")
 
-    ``roots`` has the class so far of every linked node. Pairs that are ``wide`` stand for
-    more members of their hub; the others are all pairs of small buckets that may share enough, and those with the member near the consensus.
+    return hubs.filter(F.col("n") > F.col("most.n")).select(
+        "hub", F.col("most.node_root").alias("main"), blocks(F.col("n"), F.col("size")).alias("blocks"),
+        blocks(F.col("n") - F.col("most.n"), F.col("size") - F.col("most.size")).alias("rest_blocks"),
+    )
+
+
+def _weighed(texts: list[str], own: Weights) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shingles of texts, each as often as the text has it, under names of their own; number of the text and weight."""
+    names, owners, weights = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+    for first, hashes, times, offsets in shingles.groups(texts):
+        again = (np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)).astype(np.uint64)
+        name = np.repeat(hashes, times)
+        names.append(np.where(again > 0, shingles.mix(name + again * np.uint64(0x9E3779B97F4A7C15)), name))
+        owners.append(np.repeat(np.repeat(np.arange(first, first + len(offsets) - 1), np.diff(offsets)), times))
+        weights.append(np.repeat(own.of(hashes, np.ones(len(hashes), np.int64)), times))
+    return np.concatenate(names), np.concatenate(owners), np.concatenate(weights)
+
+
+def similarities(left: list[str], right: list[str], own: Weights) -> np.ndarray:
+    """Weighted Jaccard similarity of every left text with every right one."""
+    (name, a, w), (other, b, v) = _weighed(left, own), _weighed(right, own)
+    shape = len(left), len(right)
+    names, at = np.unique(np.concatenate([name, other]), return_inverse=True)
+    at, to = at[: len(name)], at[len(name) :]
+    n_at, n_to = np.bincount(at, minlength=len(names)), np.bincount(to, minlength=len(names))
+    often = n_at * n_to * DENSE > shape[0] * shape[1]
+    common = np.zeros(shape)
+    columns = np.flatnonzero(often)
+    for start in range(0, len(columns), COLUMNS):
+        chosen = columns[start : start + COLUMNS]
+        place = np.full(len(names), -1)
+        place[chosen] = np.arange(len(chosen))
+        x, y = np.zeros((shape[0], len(chosen))), np.zeros((shape[1], len(chosen)))
+        in_x, in_y = place[at] >= 0, place[to] >= 0
+        x[a[in_x], place[at[in_x]]] = w[in_x]
+        y[b[in_y], place[to[in_y]]] = 1
+        common += x @ y.T
+    # Entries of the right by name; every left entry of a rarer name meets those of the same name.
+    by_name = b[np.argsort(to, kind="stable")]
+    begins = np.cumsum(n_to) - n_to
+    rare = np.flatnonzero(~often[at] & (n_to[at] > 0))
+    met = np.cumsum(n_to[at[rare]])
+    flat = common.reshape(-1)
+    start = 0
+    while start < len(rare):
+        end = max(start + 1, int(np.searchsorted(met, (met[start - 1] if start else 0) + PAIRS, "right")))
+        e = rare[start:end]
+        times = n_to[at[e]]
+        within = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        np.add.at(flat, np.repeat(a[e] * shape[1], times) + by_name[np.repeat(begins[at[e]], times) + within], np.repeat(w[e], times))
+        start = end
+    every = np.bincount(a, w, shape[0])[:, None] + np.bincount(b, v, shape[1])[None, :] - common
+    return np.divide(common, every, out=np.zeros(shape), where=every > 0)
+
+
+def joining(similar: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """Of the (left, right) pairs that are similar, those that join classes; ``left`` and ``right`` have the classes so far."""
+    left, right, out = left.copy(), right.copy(), []
+    for k in np.flatnonzero(similar.any(axis=1)):
+        found = np.flatnonzero(similar[k])
+        found = found[right[found] != left[k]]
+        if len(found):
+            classes, first = np.unique(right[found], return_index=True)
+            out += [(int(k), int(m)) for m in found[first]]
+            own = left[k]
+            left[np.isin(left, classes)] = own
+            right[np.isin(right, classes)] = own
+    return out
+
+
+def further_pairs(members: DataFrame, hubs: DataFrame, texts: DataFrame, weights, similar: float, across: bool) -> DataFrame:
+    """Similar (node, hub) pairs of members of one hub that join classes: of the rest with all members of its block, or ``across`` all blocks.
+
+    ``members`` has ``hub``, ``node`` and ``node_root``, ``hubs`` is from ``open_hubs``.
     """
-    members = stage(rooted(rooted(compared, roots), roots, "hub"), "dedup-members")
-    open_ = (
-        members.groupBy("hub")
-        .agg(F.count(F.lit(1)).alias("m"), F.max(F.col("node_root") != F.col("hub_root")).alias("open"), F.max("total").alias("most"))
-        .filter(F.col("open") & (F.col("m") > 1))
-        .select("hub", "m", "most")
-    )
-    difference = F.explode(F.arrays_zip("differences", "amounts")).alias("x")
-    rows = members.join(open_, "hub").select("hub", "m", "most", "node", "node_root", "total", difference)
-    rows = rows.select("hub", "m", "most", "node", "node_root", "total", F.col("x.differences").alias("d"), F.col("x.amounts").alias("w"))
-    counts = rows.groupBy("hub", "m", "d").agg(
-        F.count(F.lit(1)).alias("n"), (F.min("node_root") != F.max("node_root")).alias("open"), F.max("w").alias("w")
-    )
-    counts = stage(counts.filter("n > 1"), "dedup-differences")
-    turned = counts.filter("n * 2 > m")
-    # Distances from the consensus: own differences, less those turned, plus the turned ones that are not among them.
-    own = rows.groupBy("hub", "most", "node", "node_root", "total").agg(F.sum("w").alias("weight"))
-    inside = rows.select("hub", "d", "node", "w").join(turned.select("hub", "d"), ["hub", "d"])
-    inside = inside.groupBy("hub", "node").agg(F.sum("w").alias("inside"))
-    whole = turned.groupBy("hub").agg(F.sum("w").alias("whole"))
-    distance = F.col("weight") - 2 * F.coalesce("inside", F.lit(0.0)) + F.coalesce("whole", F.lit(0.0))
-    near = own.join(inside, ["hub", "node"], "left").join(whole, "hub", "left")
-    near = near.select("hub", "most", "node", "node_root", "total", F.greatest(F.lit(0.0), distance).alias("distance"))
-    # Members that share nothing are similar if they exceed what they may differ in by 0 at most together; then each is similar to the one with the least excess.
-    share = (1 - similar) / (1 + similar)
-    near = near.withColumn("excess", F.col("distance") - share * F.col("total"))
-    nearest = near.groupBy("hub").agg(F.min("distance").alias("least"), F.min(F.struct("excess", "node", "node_root", "total")).alias("best"))
-    # What two similar texts may differ in, the other one being at most this heavy.
-    other = F.least(F.col("total") / similar, "most")
-    allowed = share * (F.col("total") + other) * 1.001
-    placed = near.join(nearest, "hub").withColumn("must", (F.col("distance") + F.col("least") - allowed) / 2)
-    placed = placed.withColumn("beside", F.col("excess") + F.col("best.excess") <= 0.001 * share * (F.col("total") + F.col("best.total")))
-    placed = stage(placed.select("hub", "node", "node_root", "distance", "total", F.col("best.node").alias("nearest"), F.col("best.node_root").alias("nearest_root"), "must", "beside"), "dedup-distances")
-    to_nearest = placed.filter("beside and node_root != nearest_root").select("node", F.col("nearest").alias("hub"))
-    # Differences that members of two classes share: present ones, and turned ones that are absent or less than the most.
-    told = counts.filter("n * 2 <= m and open").select("hub", "d", "n")
-    shared = rows.select("hub", "node", "d", "w").join(told, ["hub", "d"])
-    most = turned.select("hub", "d", F.col("w").alias("w_most"), (F.col("m") - F.col("n")).alias("lacking"))
-    partly = rows.select("hub", "node", "d", "w").join(most, ["hub", "d"]).filter("w < w_most")
-    partly = stage(partly.select("hub", "node", "d", (F.col("w_most") - F.col("w")).alias("w")), "dedup-partly")
-    most = most.join(partly.groupBy("hub", "d").agg(F.count(F.lit(1)).alias("less")), ["hub", "d"], "left")
-    most = most.withColumn("n", F.col("lacking") + F.coalesce("less", F.lit(0))).filter("n > 1")
-    absent = most.filter("lacking > 0").select("hub", F.struct("d", F.col("w_most").alias("w"), "n").alias("x"))
-    absent = absent.groupBy("hub").agg(F.collect_list("x").alias("turned"))  # at most the words of two texts
-    without = members.join(absent, "hub").select(
-        "hub", "node", F.explode(F.filter("turned", lambda x: ~F.array_contains("differences", x["d"]))).alias("x")
-    )
-    shared = shared.unionByName(without.select("hub", "node", "x.d", "x.w", "x.n"))
-    shared = shared.unionByName(partly.join(most.select("hub", "d", "n"), ["hub", "d"]).select("hub", "node", "d", "w", "n"))
-    common = Window.partitionBy("hub", "node").orderBy(F.col("n").desc(), "d")
-    kept = (
-        shared.withColumn("so_far", F.sum("w").over(common))
-        .join(placed.select("hub", "node", "must", "node_root", "distance", "total"), ["hub", "node"])
-        .filter(F.col("so_far") >= F.col("must"))
-        .select(F.xxhash64("hub", "d").alias("bucket"), "d", "node", "node_root", "so_far", "distance", "total")
-    )
-    kept = stage(kept, "dedup-kept")
-    chosen = (
-        kept.groupBy("bucket")
-        .agg(
-            F.first("d").alias("d"), F.count(F.lit(1)).alias("n"), F.min("node").alias("hub"), (F.min("node_root") != F.max("node_root")).alias("open"),
-            F.bit_xor("node").alias("x"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("y"),
-        )
-        .filter("open")
-        .groupBy("n", "hub", "x", "y")
-        .agg(F.max_by("bucket", "d").alias("bucket"))
-    )  # the last bucket stands for all with the same members
-    kept = stage(kept.join(chosen.select("bucket", "n", "hub"), "bucket"), "dedup-kept")
-    pairs = kept.filter((F.col("n") > SMALL) & (F.col("node") != F.col("hub"))).select("node", "hub").distinct()
-    # In the bucket of the rarest difference that two members share, all that they share is in what each has so far.
-    must = F.col("distance") + F.col("hub_distance") - share * (F.col("total") + F.col("hub_total")) * 1.001
-    settled = pairs_within(kept.filter(F.col("n") <= SMALL).drop("n", "hub", "d"), F.least("so_far", "hub_so_far") * 2.001 >= must)
-    return pairs.withColumn("wide", F.lit(True)).unionByName(settled.unionByName(to_nearest).withColumn("wide", F.lit(False)))
+
+    def run(block: pa.Table) -> pa.Table:
+        nodes, roots = block.column("node").to_numpy(), block.column("node_root").to_numpy()
+        words = block.column("words").to_pylist()
+        left, right = (np.flatnonzero(block.column(c).to_numpy(zero_copy_only=False)) for c in ("left", "right"))
+        found: list[tuple[int, int]] = []
+        if len(left) and len(right):
+            alike = similarities([words[k] for k in left], [words[k] for k in right], weights.value) >= similar
+            found = joining(alike, roots[left], roots[right])
+        return pa.table({"node": pa.array([nodes[left[k]] for k, _ in found], pa.int64()), "hub": pa.array([nodes[right[m]] for _, m in found], pa.int64())})
+
+    rows = members.join(hubs, "hub").join(texts, "node")
+    rest = F.col("node_root") != F.col("main")
+    own, own_rest = (F.pmod(F.xxhash64("node"), F.col(c)).cast("int") for c in ("blocks", "rest_blocks"))
+    columns = ["hub", "node", "node_root", "words"]
+    if across:
+        every = [F.explode(F.sequence(F.lit(0), F.col(c) - 1)) for c in ("blocks", "rest_blocks")]
+        lefts = rows.filter(rest).select(*columns, own_rest.alias("i"), every[0].alias("j"), F.lit(True).alias("left"), F.lit(False).alias("right"))
+        rights = rows.select(*columns, every[1].alias("i"), own.alias("j"), F.lit(False).alias("left"), F.lit(True).alias("right"))
+        blocks = lefts.unionByName(rights)
+    else:
+        blocks = rows.select(*columns, own.alias("i"), own.alias("j"), rest.alias("left"), F.lit(True).alias("right"))
+    return blocks.groupBy("hub", "i", "j").applyInArrow(run, "node long, hub long")
 
 
 # --- classes -----------------------------------------------------------------------
@@ -456,9 +458,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", simi
     bands = signed.select("node", F.explode("bands").alias("bucket")).distinct()
     members = stage(bucket_members(bands), "dedup-members")
     small = members.filter(F.col("n") <= SMALL)
-    wide = stage(once(hub_pairs(members.filter(F.col("n") > SMALL))), "dedup-pairs")
-    first = new_pairs(hub_pairs(small), wide)
-    pairs = wide.unionByName(first)
+    wide = stage(hub_pairs(members.filter(F.col("n") > SMALL)), "dedup-wide")
+    pairs = stage(once(wide.unionByName(hub_pairs(small))), "dedup-pairs")
     # The texts of candidates, one row per node: the document with the least key stands for its copies.
     wanted = pairs.select("node").union(pairs.select("hub")).distinct().join(nodes, "node")
     chosen = docs.alias("d").join(
@@ -469,29 +470,24 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", simi
     def linking(compared: DataFrame) -> DataFrame:
         return compared.filter(F.col("similarity") >= similar).select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b"))
 
-    compared = stage(compare(wide, texts, weights), "dedup-compared")
-    links = linking(compared).unionByName(linking(stage(compare(first, texts, weights, wide=False), "dedup-compared")))
+    links = linking(stage(compare(pairs, texts, weights), "dedup-compared"))
     linked = components(links)
+    if not wide.isEmpty():
+        sizes = texts.select("node", F.octet_length("words").alias("size"))
+        groups = stage(hub_members(wide).join(sizes, "node"), "dedup-groups")
+        for across in (False, True):
+            own = stage(rooted(groups, linked), "dedup-members")
+            hubs = stage(open_hubs(own).filter(F.col("blocks") > F.lit(1 if across else 0)), "dedup-hubs")
+            if not hubs.isEmpty():
+                joined = stage(further_pairs(own.drop("size"), hubs, texts, weights, similar, across), "dedup-joined")
+                found = joined.select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b"))
+                links, linked = links.unionByName(found), components(found, linked)
     # A node has at most one bucket for each band; a pair comes up in the first one of both.
     within = rooted(small, linked).withColumn("buckets", F.collect_list("bucket").over(Window.partitionBy("node")))
     first_of_both = F.array_min(F.array_intersect("buckets", "hub_buckets")) == F.col("bucket")
     rest = new_pairs(pairs_within(within.select("bucket", "node", "node_root", "buckets"), first_of_both), pairs)
-    found = linking(stage(compare(rest, texts, weights, wide=False), "dedup-compared"))
+    found = linking(stage(compare(rest, texts, weights), "dedup-compared"))
     links, linked = links.unionByName(found), components(found, linked)
-    # ``done`` has the pairs whose differences are known, ``every`` both ways of them; ``settled`` those whose similarity is.
-    done, settled, every = wide, pairs.unionByName(rest), None
-    while not wide.isEmpty():
-        # A hub with a new pair is looked into with all its members, of earlier rounds and as the other end of a pair too.
-        sides = both_ways(compared)
-        every = sides if every is None else every.unionByName(sides)
-        more = further_pairs(every.join(stage(sides.select("hub").distinct(), "dedup-hubs"), "hub", "left_semi"), linked, similar)
-        more = stage(more, "dedup-further")
-        wide = new_pairs(more.filter("wide"), done)
-        rest = new_pairs(more.filter("not wide"), settled.unionByName(wide))
-        compared = stage(compare(wide, texts, weights), "dedup-compared")
-        found = linking(compared).unionByName(linking(stage(compare(rest, texts, weights, wide=False), "dedup-compared")))
-        links, linked = links.unionByName(found), components(found, linked)
-        done, settled = done.unionByName(wide), settled.unionByName(wide).unionByName(rest)
     links = links.distinct()
     degrees = links.select("a", "b").union(links.select("b", "a")).toDF("node", "other").groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     known = nodes.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))

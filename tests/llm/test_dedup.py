@@ -187,6 +187,57 @@ def test_small_buckets_need_no_rounds(spark, monkeypatch):
     assert len({found[k] for k in own}) > 9
 
 
+class PlainWeights:
+    def of(self, hashes, times):
+        return times * np.ones(len(hashes))
+
+
+def test_similarities_of_blocks_equal_plain_counts(monkeypatch):
+    base = data.prose(200, 4)
+    texts = [data.edited(base, n, n) for n in range(20)] + [base + " a b c d e" * n for n in (1, 40)] + [data.prose(150, 9), "two words", "x"]
+    own = [counted(t) for t in texts]
+    words = [normal(t) for t in texts]
+    for columns, pairs, dense in ((512, 1 << 20, 100), (3, 7, 2), (3, 7, 1 << 20)):
+        monkeypatch.setattr(dedup, "COLUMNS", columns), monkeypatch.setattr(dedup, "PAIRS", pairs), monkeypatch.setattr(dedup, "DENSE", dense)
+        found = dedup.similarities(words[:15], words[5:], PlainWeights())
+        expected = [[jaccard(a, b) for b in own[5:]] for a in own[:15]]
+        assert np.allclose(found, expected, rtol=0, atol=1e-12)
+
+
+def test_links_that_join_classes():
+    alike = np.array([[1, 1, 0, 0, 0], [0, 1, 1, 0, 0], [0, 0, 0, 1, 1]], bool)
+    assert dedup.joining(alike, np.array([1, 2, 3]), np.array([1, 5, 6, 7, 7])) == [(0, 1), (1, 1), (1, 2), (2, 3)]
+
+
+@pytest.mark.parametrize(("most", "of_block"), [(1, 5), (3, 5), (1, 40)])
+def test_groups_of_many_blocks_give_the_same_classes(spark, monkeypatch, most, of_block):
+    df = spark.createDataFrame(family(), "doc_id long, text string")
+    expected = {r.doc_id: r.class_id for r in dedup.near_duplicates(df).collect()}
+    monkeypatch.setattr(dedup, "SMALL", most), monkeypatch.setattr(dedup, "BLOCK", of_block)
+    assert {r.doc_id: r.class_id for r in dedup.near_duplicates(df).collect()} == expected
+
+
+def test_rows_of_a_large_group_grow_with_its_members(spark, monkeypatch):
+    """Copies of one original, many unlike it: no table has more rows than the buckets have members and the small ones pairs."""
+    base = data.prose(150, 31)
+    texts = [base, *(data.edited(base, 1 + k % 12, k) for k in range(400))]
+    staged = []
+
+    def counting(frame, name):
+        out = staging.stage(frame, name)
+        staged.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(dedup, "stage", counting), monkeypatch.setattr(dedup, "SMALL", 2)
+    found = {r.doc_id: r.class_id for r in dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    members = max(n for name, n in staged[:2] if name == "dedup-members")
+    assert max(n for _, n in staged) <= members
+    own = [counted(t) for t in texts]
+    for a, b in itertools.combinations(range(len(own)), 2):
+        if jaccard(own[a], own[b]) >= 0.83:
+            assert found[a] == found[b]
+
+
 def test_staging_leaves_no_shuffle_files(spark):
     def files():
         found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
