@@ -43,11 +43,11 @@ SMALL = 128
 #: Shingles of texts that a task keeps at hand.
 WEIGHED = 1 << 21
 #: Most texts, and bytes of texts, of a block, about; a task compares two blocks.
-BLOCK, BLOCK_BYTES = 2048, 1 << 22
+BLOCK, BLOCK_BYTES = 1024, 1 << 20
 #: A shingle is counted in a matrix product if at least one in so many pairs of texts has it, else pair by pair.
 DENSE = 100
 #: Columns of a matrix, and pairs counted one by one, at a time.
-COLUMNS, PAIRS = 512, 1 << 20
+COLUMNS, PAIRS = 256, 1 << 17
 #: Cells in each of the two rows of the sketch of document frequencies, and how it is cut for summing.
 SKETCH, SKETCH_PARTS = 1 << 19, 64
 #: How much rarer shingles weigh: from 1 for one in every document to 1 + RARITY for one in a single document.
